@@ -28,11 +28,16 @@ def dates_within(date: Column, start: DateLike | None, end: DateLike | None) ->
 def in_period(log: DataFrame, start: DateLike | None, end: DateLike | None) -> Column:
     """`DATE(timestamp_utc)` within the inclusive bounds.
 
-    The optimizer turns the date comparison into a timestamp range that reaches
-    the Parquet scan. A partitioned table prunes only on its partition column,
-    so the redundant `day` is bounded too wherever the table has it.
+    Written as a range of timestamps, which the Parquet scan can use to skip row
+    groups. A partitioned table prunes only on its partition column, so the
+    redundant `day` is bounded too wherever the table has it.
     """
-    condition = dates_within(F.to_date("timestamp_utc"), start, end)
+    moment = F.col("timestamp_utc")
+    condition = F.lit(True)
+    if start is not None:
+        condition = condition & (moment >= as_log_time(log, date_lit(start)))
+    if end is not None:
+        condition = condition & (moment < as_log_time(log, F.date_add(date_lit(end), 1)))
     if "day" in log.columns:
         condition = condition & dates_within(F.col("day"), start, end)
     return condition
@@ -51,6 +56,16 @@ def latest_timestamp(log: DataFrame) -> Column:
     return log.agg(F.max("timestamp_utc")).scalar()
 
 
+def latest_timestamp_by_day(log: DataFrame) -> Column:
+    """`latest_timestamp` for a table that is partitioned by `day`.
+
+    Finds the last day first, which needs no data column, and reads the
+    timestamps of that day only. Pass it as `anchor`.
+    """
+    last_day = log.agg(F.max("day")).scalar()
+    return log.where(F.col("day") == last_day).agg(F.max("timestamp_utc")).scalar()
+
+
 def since(log: DataFrame, moment: Column) -> Column:
     """`timestamp_utc >= moment`, with the partition column bounded alongside.
 

@@ -40,14 +40,21 @@ def geo_cube(log: DataFrame) -> DataFrame:
     runs once per distinct text and day rather than once per request, and texts
     that parse alike are merged afterwards.
     """
-    per_text = (
-        with_known_geo(log).groupBy("geo", "day", "user_is_bot").agg(hits(log).alias("count"))
-    )
-    return (
-        parsed_geo(per_text)
-        .groupBy("country", "city", "day", "user_is_bot")
-        .agg(F.sum("count").alias("count"))
-    )
+    per_text = _per_geo_text(with_known_geo(log), log, "day", "user_is_bot")
+    cube = per_text.groupBy("country", "city", "day", "user_is_bot")
+    return cube.agg(F.sum("count").alias("count"))
+
+
+def _per_geo_text(rows: DataFrame, log: DataFrame, *keys: str) -> DataFrame:
+    """Requests per `geo` text and `keys`, with the text parsed.
+
+    The parsed columns depend on the count, which is always positive. Without
+    that, the optimizer would move filters on them (a known country, a present
+    city) below the aggregation and parse every request's text again.
+    """
+    counted = parsed_geo(rows.groupBy("geo", *keys).agg(hits(log).alias("count")))
+    held = {c: F.when(F.col("count") > 0, F.col(c)) for c in ("country", "city")}
+    return counted.withColumns(held)
 
 
 def ordered_geo_cube(log: DataFrame) -> DataFrame:
@@ -123,11 +130,8 @@ def country_counts_24h(
 ) -> DataFrame:
     """`country, count, iso_alpha` over the trailing hours, largest first."""
     recent = with_known_geo(in_last_hours(log, hours, anchor))
-    per_text = recent.groupBy("geo").agg(hits(log).alias("count"))
-    counted = (
-        per_text.groupBy(country_of(F.col("geo")).alias("country"))
-        .agg(F.sum("count").alias("count"))
-    )
+    per_text = _per_geo_text(recent, log)
+    counted = per_text.groupBy("country").agg(F.sum("count").alias("count"))
     return (
         located(counted, countries)
         .select("country", "count", "iso_alpha")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -198,8 +200,8 @@ def error_ips_by_class(
     task passes on at most `k` clients of a class, so no task sorts a whole class.
     """
     code = F.col("status_code")
-    marked = on_dates(log, start, end).withColumn("status_class", status_class(code))
-    rows = with_values(marked, "status_class", classes)
+    wanted = reduce(or_, [code.between(*class_codes(c)) for c in classes])
+    rows = on_dates(log, start, end).where(wanted).withColumn("status_class", status_class(code))
     per_ip = _per_error_ip(log, rows, "status_class")
     ranked = per_ip.withColumn("rank", _ranking("status_class")).where(F.col("rank") <= k)
     return ranked.select("status_class", "rank", "ip", "request_count", "geo").orderBy(

@@ -7,7 +7,7 @@ are asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # User agent, browser, operating system, mobile flag, bot flag.
@@ -46,8 +46,65 @@ CITIES = [
 ]
 
 
-def _pick(values: list, kind: str, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), index.cast("int"))
+EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING"
+PAGES_SCHEMA = "page_id BIGINT, url STRING"
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    return f"CAST({value} AS DOUBLE)" if isinstance(value, float) else f"'{value}'"
+
+
+def _pick(values: list, index: str) -> str:
+    listed = ", ".join(_literal(v) for v in values)
+    return f"get(array({listed}), CAST({index} AS INT))"
+
+
+AGENT = "(user_id * 5 + IF(event_id % 11 = 0, 1, 0)) % 9"
+PLACE = "(user_id * user_id + IF(event_id % 5 = 0, event_id, 0)) % 13"
+SOURCE = "((event_id % 17) * (event_id % 3)) % 17"
+
+COLUMNS = {
+    "timestamp_utc": "ts",
+    "day": "to_date(ts)",
+    "hour": "date_format(ts, \"yyyy-MM-dd'T'HH\")",
+    "ip": """CASE
+        WHEN event_id % 997 = 0 THEN NULL
+        WHEN event_id % 5 = 0 THEN concat('172.16.', (event_id div 256) % 256, '.', event_id % 256)
+        ELSE concat('10.0.', user_id div 256, '.', user_id % 256) END""",
+    "user_agent": _pick([a[0] for a in AGENTS], AGENT),
+    "user_browser": _pick([a[1] for a in AGENTS], AGENT),
+    "user_os": _pick([a[2] for a in AGENTS], AGENT),
+    "user_is_mobile": _pick([a[3] for a in AGENTS], AGENT),
+    "user_is_bot": _pick([a[4] for a in AGENTS], AGENT),
+    "status_code": """CAST(CASE
+        WHEN event_id % 499 = 0 THEN 100
+        WHEN event_type = 'error' AND event_id % 3 = 0 THEN 500 + event_id % 4
+        WHEN event_type = 'error' THEN 400 + event_id % 5
+        WHEN event_type = 'click' AND event_id % 4 = 0 THEN 302
+        WHEN event_type = 'click' AND event_id % 4 = 1 THEN 304
+        ELSE 200 END AS INT)""",
+    "http_method": """CASE
+        WHEN event_type = 'purchase' THEN 'POST'
+        WHEN event_id % 17 = 0 THEN 'HEAD' ELSE 'GET' END""",
+    "referrer_domain": _pick(REFERRERS, SOURCE),
+    "geo": _pick(GEOS, PLACE),
+}
+URL_COLUMNS = {
+    "url": "url",
+    "url_path": r"""CASE
+        WHEN event_id % 41 = 0 THEN '/'
+        WHEN event_id % 43 = 0 THEN NULL
+        WHEN event_id % 47 = 0 THEN ''
+        ELSE regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) END""",
+}
+
+
+def _columns(expressions: dict[str, str]) -> list[str]:
+    return [f"{text} AS {name}" for name, text in expressions.items()]
 
 
 def request_log(events: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -55,79 +112,30 @@ def request_log(events: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 
     Works on a stream of events as long as `pages` is not asked for.
     """
-    e, u, kind, ts = (F.col(c) for c in ("event_id", "user_id", "event_type", "ts"))
-    agent = (u * 5 + F.when(e % 11 == 0, 1).otherwise(0)) % 9
-    place = (u * u + F.when(e % 5 == 0, e).otherwise(0)) % 13
-    source = ((e % 17) * (e % 3)) % 17
-
-    def octets(prefix: str, n: Column, wrap: bool) -> Column:
-        high = F.floor(n / 256.0)
-        high = high % 256 if wrap else high
-        return F.concat(F.lit(prefix), high.cast("string"), F.lit("."), (n % 256).cast("string"))
-
-    ip = (
-        F.when(e % 997 == 0, None)
-        .when(e % 5 == 0, octets("172.16.", e, True))
-        .otherwise(octets("10.0.", u, False))
-    )
-    error = kind == "error"
-    status = (
-        F.when(e % 499 == 0, 100)
-        .when(error & (e % 3 == 0), 500 + (e % 4))
-        .when(error, 400 + (e % 5))
-        .when((kind == "click") & (e % 4 == 0), 302)
-        .when((kind == "click") & (e % 4 == 1), 304)
-        .otherwise(200)
-    )
-    method = F.when(kind == "purchase", "POST").when(e % 17 == 0, "HEAD").otherwise("GET")
-    columns = [
-        ts.alias("timestamp_utc"),
-        F.to_date(ts).alias("day"),
-        F.date_format(ts, "yyyy-MM-dd'T'HH").alias("hour"),
-        ip.alias("ip"),
-        _pick([a[0] for a in AGENTS], "string", agent).alias("user_agent"),
-        _pick([a[1] for a in AGENTS], "string", agent).alias("user_browser"),
-        _pick([a[2] for a in AGENTS], "string", agent).alias("user_os"),
-        _pick([a[3] for a in AGENTS], "boolean", agent).alias("user_is_mobile"),
-        _pick([a[4] for a in AGENTS], "boolean", agent).alias("user_is_bot"),
-        status.cast("int").alias("status_code"),
-        method.alias("http_method"),
-        _pick(REFERRERS, "string", source).alias("referrer_domain"),
-        _pick(GEOS, "string", place).alias("geo"),
-    ]
     if pages is None:
-        return events.select(*columns)
-
+        return events.selectExpr(*_columns(COLUMNS))
     # every page is some request's target: ids run from 0 to count - 1
-    n_pages = pages.agg(F.count(F.lit(1))).scalar()
-    keyed = events.withColumn("page_key", ((e % n_pages) * (e % 7)) % n_pages)
-    urls = pages.select(F.col("page_id").alias("page_key"), "url")
-    url = F.col("url")
-    path = (
-        F.when(e % 41 == 0, "/")
-        .when(e % 43 == 0, None)
-        .when(e % 47 == 0, "")
-        .otherwise(F.regexp_extract(url, r"^https?://[^/]+(/[^?#]*)", 1))
-    )
-    return keyed.join(urls, "page_key", "left").select(*columns, url, path.alias("url_path"))
+    n = pages.agg(F.count(F.lit(1))).scalar()
+    e = F.col("event_id")
+    keyed = events.withColumn("page_id", ((e % n) * (e % 7)) % n)
+    return keyed.join(pages, "page_id", "left").selectExpr(*_columns(COLUMNS | URL_COLUMNS))
 
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+
+
+def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(PAGES_SCHEMA).parquet(f"{sf_dir}/pages.parquet")
 
 
 def requests(spark: SparkSession, sf_dir: str, urls: bool = False) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet") if urls else None
+    pages = pages_table(spark, sf_dir) if urls else None
     return request_log(events_table(spark, sf_dir), pages)
 
 
 def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    def text(v) -> str:
-        if v is None:
-            return "CAST(NULL AS STRING)"
-        return f"CAST({v} AS DOUBLE)" if isinstance(v, float) else f"'{v}'"
-
-    body = ", ".join("(" + ", ".join(text(v) for v in row) + ")" for row in rows)
+    body = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
 
 

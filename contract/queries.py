@@ -411,10 +411,8 @@ on_search("l6_displayed", lambda found: search.displayed(search.search_page(foun
 
 @query("s1_streamed_hourly_counts")
 def _(spark, sf):
-    schema = fixture.events_table(spark, sf).schema
-    arrivals = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    )
+    stream = spark.readStream.schema(fixture.EVENTS_SCHEMA)
+    arrivals = stream.option("pathGlobFilter", "events.parquet").parquet(sf)
     folder = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
     out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
     write_hourly_counts(fixture.request_log(arrivals), out, checkpoint).awaitTermination()
