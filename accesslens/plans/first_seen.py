@@ -20,13 +20,17 @@ def merge_first_seen(first_seen: DataFrame, new_requests: DataFrame) -> DataFram
     return both.groupBy(VISITOR_KEY).agg(F.min("first_visit_time").alias("first_visit_time"))
 
 
-def save_first_seen(first_seen: DataFrame, table: str, buckets: int = 1024) -> None:
+def save_first_seen(first_seen: DataFrame, table: str, buckets: int | None = None) -> None:
     """Save as a new table bucketed by visitor, which later joins need not shuffle.
 
-    Choose a new table name for each version: the previous one is usually the
-    input of `merge_first_seen`. Rows are spread by bucket before writing, so the
-    table has one file per bucket.
+    `buckets` defaults to the session's number of shuffle partitions: the shuffle
+    that aggregates a period's visits then already matches the table, and the join
+    adds none. Choose a new table name for each version: the previous one is
+    usually the input of `merge_first_seen`. Rows are spread by bucket before
+    writing, so the table has one file per bucket.
     """
+    if buckets is None:
+        buckets = int(first_seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         first_seen.repartition(buckets, *VISITOR_KEY)
         .write.bucketBy(buckets, *VISITOR_KEY)
