@@ -23,6 +23,7 @@ def spark(tmp_path_factory):
         master="local[8]",
         settings={
             **SMALL,
+            **FULL_PLAN_TEXT,
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
@@ -38,6 +39,7 @@ def spark(tmp_path_factory):
 # fixtures run interpreted. Oracle and plan tests restore the defaults.
 SMALL = {"spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "2"}
 PRODUCTION = {"spark.sql.codegen.wholeStage": "true", "spark.sql.shuffle.partitions": "8"}
+FULL_PLAN_TEXT = {"spark.sql.maxMetadataStringLength": "10000"}
 
 
 @pytest.fixture(scope="module")
