@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 DateLike = str | dt.date
 
 
+def as_date(value: DateLike) -> dt.date:
+    return dt.date.fromisoformat(str(value))
+
+
 def date_lit(value: DateLike) -> Column:
     return F.lit(str(value)).cast("date")
 

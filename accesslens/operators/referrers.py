@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from accesslens.functions.channels import (
     CHANNELS,
@@ -45,15 +46,35 @@ def latest_rows(
 ) -> DataFrame:
     """Newest requests first: `timestamp_utc, referrer_domain, url`.
 
-    With a limit each task keeps its own newest rows only; `limit=None` returns
-    all rows of the period in order.
+    With a limit only the last days that together hold enough rows are read, and
+    each task keeps its own newest rows; `limit=None` returns all rows of the
+    period in order.
     """
     rows = on_dates(require_columns(log, REFERRER_COLUMNS), start, end)
+    if limit is not None:
+        rows = _last_days_with(rows, limit)
     rows = rows.select(*REFERRER_COLUMNS)
     rows = rows.orderBy(F.col("timestamp_utc").desc(), "referrer_domain", "url")
     return rows if limit is None else rows.limit(limit)
 
 
+def _last_days_with(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of the fewest last days that hold at least `limit` rows, else all rows.
+
+    Rows are counted per day, which needs no column of a table partitioned by
+    `day`; the running total spans one row per day. The scan of the other columns
+    then evaluates the first day needed before it selects partitions.
+    """
+    if "day" not in rows.columns:
+        rows = rows.withColumn("day", F.to_date("timestamp_utc"))
+    running = F.sum("n").over(Window.orderBy(F.col("day").desc()))
+    per_day = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    enough = per_day.withColumn("running", running).where(F.col("running") >= limit)
+    first_day = enough.agg(F.max("day")).scalar()
+    # NULL when there are fewer rows than the limit: then every row stays
+    return rows.where(F.coalesce(F.col("day") >= first_day, F.lit(True)))
+
+
 def filter_by_channel(
     log: DataFrame,
     start: DateLike | None = None,

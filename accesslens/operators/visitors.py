@@ -9,14 +9,19 @@ A visitor is an (ip, user_agent) pair. Three notions of "new" coexist:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from accesslens.functions.periods import DateLike, in_period, last_hours
+from accesslens.functions.periods import DateLike, as_date, in_period, last_hours
 from accesslens.operators.selection import on_dates, on_device, top, without_nulls
 from accesslens.schema import VISITOR_KEY
 
+WORD = 64  # bits
+MAX_BITMAP_DAYS = 8 * WORD  # wider rows would cost more than the window they replace
+
 
 def first_visits(log: DataFrame) -> DataFrame:
     """`ip, user_agent, first_visit_date` over the whole history."""
@@ -126,19 +131,16 @@ def visitor_counts_by_device(log: DataFrame, start: DateLike, end: DateLike) ->
 def daily_visitors(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """`visit_date, total_visitors, new_visitors, returning_visitors`.
 
-    Requests are reduced to one row per visitor and day before the window, so a
-    window partition holds at most one row per day of the period however busy
-    the visitor is.
+    A visitor is new on the first of their days within the period.
     """
-    visits = (
-        on_dates(log, start, end)
-        .select(F.to_date("timestamp_utc").alias("visit_date"), *VISITOR_KEY)
-        .distinct()
-    )
-    first = F.min("visit_date").over(Window.partitionBy(*VISITOR_KEY))
-    marked = visits.withColumn("first_visit_date", first)
+    days = (as_date(end) - as_date(start)).days + 1
+    rows = on_dates(log, start, end).withColumn("visit_date", F.to_date("timestamp_utc"))
+    if 0 < days <= MAX_BITMAP_DAYS:
+        visits = _visits_by_bitmap(rows, as_date(start), days)
+    else:
+        visits = _visits_by_window(rows)
     return (
-        marked.groupBy("visit_date")
+        visits.groupBy("visit_date")
         .agg(
             F.count(F.lit(1)).alias("total_visitors"),
             F.count_if(F.col("visit_date") == F.col("first_visit_date")).alias("new_visitors"),
@@ -150,6 +152,50 @@ def daily_visitors(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     )
 
 
+def _visits_by_window(rows: DataFrame) -> DataFrame:
+    """`visit_date, first_visit_date`, one row per visitor and day, for any period.
+
+    Requests are reduced to one row per visitor and day before the window, so a
+    window partition holds at most one row per day however busy the visitor is.
+    """
+    visits = rows.select("visit_date", *VISITOR_KEY).distinct()
+    first = F.min("visit_date").over(Window.partitionBy(*VISITOR_KEY))
+    return visits.select("visit_date", first.alias("first_visit_date"))
+
+
+def _visits_by_bitmap(rows: DataFrame, start: dt.date, days: int) -> DataFrame:
+    """The same rows with a visitor's days held as bits of a few 64-bit words.
+
+    `bit_or` over fixed-width words is a hash aggregation that combines on the map
+    side, so the days of a visitor are found in a single shuffle without a sort.
+    The window needs two shuffles of all visitor-days and a sort.
+    """
+    first_day = F.lit(start.isoformat()).cast("date")
+    offset = F.date_diff("visit_date", first_day)
+    starts = range(0, days, WORD)
+    words = [
+        F.bit_or(
+            F.when(
+                offset.between(s, s + WORD - 1),
+                F.call_function("shiftleft", F.lit(1).cast("bigint"), offset - s),
+            )
+        ).alias(f"word_{s}")
+        for s in starts
+    ]
+
+    def days_in(s: int) -> Column:
+        numbers = F.sequence(F.lit(s), F.lit(min(s + WORD, days) - 1))
+        return F.filter(numbers, lambda n: F.getbit(F.col(f"word_{s}"), n - s) == 1)
+
+    visitors = rows.groupBy(VISITOR_KEY).agg(*words)
+    visited = visitors.select(F.concat(*[days_in(s) for s in starts]).alias("days"))
+    each = visited.select(F.explode("days").alias("day"), F.get("days", F.lit(0)).alias("first"))
+    return each.select(
+        F.date_add(first_day, F.col("day")).alias("visit_date"),
+        F.date_add(first_day, F.col("first")).alias("first_visit_date"),
+    )
+
+
 def environment_stats(
     log: DataFrame, start: DateLike, end: DateLike, device: str = "all"
 ) -> DataFrame:

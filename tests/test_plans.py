@@ -84,6 +84,21 @@ def test_trailing_window_reads_the_last_days_only(log):
     assert anchored.count() == selection.in_last_hours(log).count()
 
 
+def test_latest_rows_read_the_last_days_only(log):
+    per_day = [r.n for r in log.groupBy("day").agg(F.count("*").alias("n")).orderBy(F.desc("day")).collect()]
+    for limit in (1, 200, 2000):
+        needed = next(d for d in range(1, 31) if sum(per_day[:d]) >= limit)
+        assert needed < 10
+        assert files_read(referrers.latest_rows(log, limit=limit)) == [needed]
+
+
+def test_daily_visitors_shuffle_visitors_once(log):
+    plan = final_plan(visitors.daily_visitors(log, *PERIOD))
+    assert "Window" not in plan and "SortAggregate" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(ip#\d+, user_agent#\d+", plan)) == 1
+    assert plan.count("Exchange hashpartitioning") == 2  # visitors, then a few dates
+
+
 def test_top_k_never_sorts_everything(log):
     for df in (
         referrers.top_referrers(log, *PERIOD),
@@ -111,7 +126,8 @@ def test_requests_are_combined_before_every_shuffle(log):
     """A key holding most requests costs each task one row, not one row per request."""
     for df, partial in (
         (visitors.visitor_counts(log, *PERIOD), "partial_min"),
-        (visitors.daily_visitors(log, *PERIOD), r"HashAggregate\(keys=\[visit_date"),
+        (visitors.daily_visitors(log, *PERIOD), "partial_bit_or"),
+        (visitors.daily_visitors(log, "2020-01-01", "2024-01-31"), r"HashAggregate\(keys=\[visit_date"),
         (traffic.unique_users_per_day(log, *PERIOD), r"HashAggregate\(keys=\[day#\d+, ip"),
         (referrers.channel_distribution(log, *PERIOD), "partial_count"),
         (geography.geo_cube(log), "partial_count"),

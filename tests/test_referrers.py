@@ -86,6 +86,23 @@ def test_latest_rows(log):
         referrers.latest_rows(log.drop("url"))
 
 
+@pytest.mark.parametrize("limit", [1, 2, 4, 5, 7, 8, 9, 100])
+def test_latest_rows_for_any_limit(log, limit):
+    expected = tuples(referrers.latest_rows(log, limit=None))[:limit]
+    assert tuples(referrers.latest_rows(log, limit=limit)) == expected
+    assert tuples(referrers.latest_rows(log.drop("day"), limit=limit)) == expected
+
+
+def test_rows_without_a_time_come_last(log, make_log):
+    timeless = make_log(hit("2024-01-01 00:00:00", "none")).selectExpr(
+        *["NULL AS timestamp_utc", "NULL AS day"],
+        *[f"`{c}`" for c in log.columns if c not in ("timestamp_utc", "day")],
+    )
+    both = log.unionByName(timeless)
+    assert tuples(referrers.latest_rows(both, limit=9))[-1][1] == "none"
+    assert tuples(referrers.latest_rows(both, limit=8)) == tuples(referrers.latest_rows(log, limit=8))
+
+
 def test_sample_analysis(log):
     view = {k: tuples(v) for k, v in referrer_view(referrers.latest_rows(log, *PERIOD)).items()}
     assert view["daily"] == [(D(2024, 1, 1), 2, 1, 1, 0), (D(2024, 1, 2), 1, 1, 1, 0)]

@@ -155,6 +155,26 @@ def test_counts_against_brute_force(make_log, seed):
     assert tuples(visitors.daily_visitors(per_day, start, end)) == daily
 
 
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("2024-01-03", "2024-01-03"),  # one day
+        ("2024-01-02", "2024-03-05"),  # 64 days: one full word
+        ("2024-01-02", "2024-03-06"),  # 65 days: two words
+        ("2023-11-03", "2024-01-08"),  # days in the last bits of a word
+        ("2023-01-01", "2024-05-26"),  # 512 days: the last period held in bits
+        ("2023-01-01", "2024-05-27"),  # 513 days: window
+        ("2024-01-08", "2024-01-02"),  # empty
+    ],
+)
+def test_daily_visitors_for_short_and_long_periods(make_log, start, end):
+    rows, log = random_log(make_log, 5)
+    far = [visit("2024-03-05 01:00:00", "hot", "x"), visit("2024-05-26 01:00:00", None, "x")]
+    rows, log = rows + far, log.unionByName(make_log(*far))
+    expected = brute_force(rows, D.fromisoformat(start), D.fromisoformat(end))[2]
+    assert tuples(visitors.daily_visitors(log, start, end)) == expected
+
+
 def test_first_seen_accepts_late_and_repeated_requests(make_log):
     _, log = random_log(make_log, 7)
     late, early = log.where("day >= '2024-01-04'"), log.where("day <= '2024-01-06'")
