@@ -61,7 +61,8 @@ def visitor_counts(
     """`total_visitors, new_visitors, returning_visitors` of the period, day-level.
 
     First-ever and last-in-period dates come from one scan and one shuffle: the
-    second is a conditional maximum, so no self-join of the log is needed.
+    second is a conditional maximum, so no self-join of the log is needed. Days
+    after the period are not read: a visitor counted has an earlier visit in it.
     Visitors with a NULL key part never match and are left out before the shuffle.
 
     With a maintained `first_seen` table (`accesslens.plans.first_seen`) only the
@@ -70,7 +71,7 @@ def visitor_counts(
     identified = without_nulls(log, *VISITOR_KEY)
     visit_date = F.to_date("timestamp_utc")
     if first_seen is None:
-        visits = identified.groupBy(VISITOR_KEY).agg(
+        visits = on_dates(identified, None, end).groupBy(VISITOR_KEY).agg(
             F.min(visit_date).alias("first_visit_date"),
             F.max(F.when(in_period(log, start, end), visit_date)).alias("last_visit_date"),
         )

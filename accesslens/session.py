@@ -17,19 +17,30 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+SPARK_DEFAULT_PARTITIONS = "200"
+
 
 def spark_session(
     app: str = "accesslens",
     master: str | None = None,
     settings: dict[str, str] | None = None,
 ) -> SparkSession:
-    """Build a session; `master` stays unset when a cluster launcher supplies it."""
+    """Build a session; `master` stays unset when a cluster launcher supplies it.
+
+    Unless the number of shuffle partitions is given, it becomes three per core of
+    the cluster: enough for the largest shuffle (distinct visitors of all history),
+    while adaptive execution merges the partitions of small ones.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if spark.conf.get("spark.sql.shuffle.partitions") == SPARK_DEFAULT_PARTITIONS:
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.shuffle.partitions", str(3 * cores))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:

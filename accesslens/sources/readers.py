@@ -7,20 +7,28 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.schema import CITY_SCHEMA
-
-FILE_FORMATS = ("parquet", "orc", "csv", "json")
+from accesslens.schema import CITY_SCHEMA, WEBLOG_SCHEMA
 
 
 def open_log(spark: SparkSession, source: str, fmt: str | None = None) -> DataFrame:
-    """A catalog table by name, or files when `fmt` is given or `source` is a path."""
+    """A catalog table by name, or what `source` holds in a format Spark can load.
+
+    Without `fmt`, a name containing a slash is a Parquet path. Text formats get
+    the request table's column types; any other format with a connector on the
+    class path works too and brings its own types.
+    """
     if fmt is None and "/" not in source:
         return spark.table(source)
-    fmt = fmt or "parquet"
-    if fmt not in FILE_FORMATS:
-        raise ValueError(f"unsupported format: {fmt}")
-    reader = spark.read.format(fmt)
-    return reader.option("header", "true").load(source) if fmt == "csv" else reader.load(source)
+    if fmt == "csv":
+        return _typed(spark.read.csv(source, header=True, inferSchema=False))
+    if fmt == "json":
+        return spark.read.schema(WEBLOG_SCHEMA).json(source)
+    return spark.read.format(fmt or "parquet").load(source)
+
+
+def _typed(log: DataFrame) -> DataFrame:
+    types = {f.name: f.dataType for f in WEBLOG_SCHEMA.fields}
+    return log.select([F.col(c).cast(types.get(c, "string")) for c in log.columns])
 
 
 def run_sql(

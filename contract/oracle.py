@@ -329,7 +329,6 @@ ORACLE_SQL: dict[str, str] = {
     "r8_device_mobile": _sql(f"SELECT {ROW}, user_is_mobile FROM weblog WHERE user_is_mobile = TRUE"),
     "r8_device_desktop": _sql(f"SELECT {ROW}, user_is_mobile FROM weblog WHERE user_is_mobile = FALSE"),
     "r9_bot_membership": _sql(f"SELECT {ROW}, user_is_bot FROM weblog WHERE user_is_bot IN (TRUE)"),
-    "r9_empty_membership": _sql(f"SELECT {ROW}, user_is_bot FROM weblog WHERE FALSE"),
     "r10_drop_null_keys": _sql(f"SELECT {ROW}, user_os FROM weblog WHERE ip IS NOT NULL AND user_os IS NOT NULL"),
     "r11_required_columns": _sql("SELECT timestamp_utc, referrer_domain, url FROM weblog"),
     "r12_renamed": _sql(f"SELECT day, {HITS} AS requests, {USERS} AS visitors FROM weblog WHERE {DAYS} GROUP BY day"),

@@ -113,10 +113,6 @@ on_log(
     "r9_bot_membership",
     lambda log: selection.with_values(log, "user_is_bot", [True]).select(*ROW, "user_is_bot"),
 )
-on_log(
-    "r9_empty_membership",
-    lambda log: selection.with_values(log, "user_is_bot", []).select(*ROW, "user_is_bot"),
-)
 on_log("r10_drop_null_keys", lambda log: selection.without_nulls(log, "ip", "user_os").select(*ROW, "user_os"))
 on_log(
     "r11_required_columns",

@@ -6,6 +6,7 @@ from accesslens.plans.rollups import rollup
 from accesslens.plans.views import region_view
 from accesslens.sources.countries import country_table, read_countries
 from accesslens.sources.readers import read_cities
+from accesslens.sources.writers import write_days
 from contract import fixture
 
 
@@ -74,6 +75,16 @@ def test_levels(log, dims):
         region_view(cube, *dims, "street")
 
 
+def test_stored_cube(spark, log, dims, tmp_path):
+    path = str(tmp_path / "cube")
+    for _ in range(2):
+        write_days(geography.geo_cube(log), path)
+    stored = spark.read.parquet(path)
+    assert sorted(tuples(region_view(stored, *dims, "country"))) == sorted(
+        tuples(region_view(geography.geo_cube(log), *dims, "country"))
+    )
+
+
 def test_continent_totals(log, dims):
     found = tuples(geography.continent_totals(geography.located(geography.geo_cube(log), dims[0])))
     assert ("Asia", None, 4) in found and ("Europe", None, 1) in found

@@ -8,7 +8,7 @@ from conftest import tuples
 
 from accesslens.operators import traffic
 from accesslens.plans.rollups import rollup
-from accesslens.session import shared_folder
+from accesslens.session import shared_folder, spark_session
 from accesslens.sources.readers import open_log, run_sql, sample_rows
 from accesslens.sources.writers import as_records, write_days, write_log
 
@@ -27,13 +27,15 @@ def log(make_log):
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
 def test_files_round_trip(log, tmp_path, fmt):
     path = str(tmp_path / fmt)
-    log.select("ip", "user_agent").write.format(fmt).option("header", "true").save(path)
-    assert sorted(r.ip for r in open_log(log.sparkSession, path, fmt).collect()) == ["a", "b", "c"]
+    log.write.format(fmt).option("header", "true").save(path)
+    back = open_log(log.sparkSession, path, fmt)
+    assert dict(back.dtypes) == dict(log.dtypes)
+    assert sorted(tuples(back.select(log.columns))) == sorted(tuples(log))
 
 
 def test_unknown_format(spark):
-    with pytest.raises(ValueError):
-        open_log(spark, "/x", "xml")
+    with pytest.raises(Exception, match="no_such_format"):
+        open_log(spark, "/x", "no_such_format")
 
 
 def test_catalog_table(spark, log):
@@ -59,6 +61,16 @@ def test_stored_rollup(spark, log, tmp_path):
     assert tuples(found) == [(D(2024, 1, 1), 2), (D(2024, 1, 2), 1)]
 
 
+def test_shuffle_partitions_follow_the_cores(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert spark_session().conf.get("spark.sql.shuffle.partitions") == before  # given: kept
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert spark_session().conf.get("spark.sql.shuffle.partitions") == "24"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_query_text(spark, log):
     query = "SELECT ip FROM {log} WHERE ip >= :low ORDER BY ip"
     assert tuples(run_sql(spark, query, {"low": "b"}, log=log)) == [("b",), ("c",)]
