@@ -78,6 +78,11 @@ def located(cube: DataFrame, countries: DataFrame) -> DataFrame:
     return without_nulls(with_country_info(cube, countries), "iso_alpha")
 
 
+def cube_date_range(cube: DataFrame) -> DataFrame:
+    """`min_date, max_date` of a (located) cube."""
+    return cube.agg(F.min("day").alias("min_date"), F.max("day").alias("max_date"))
+
+
 def cube_slice(
     cube: DataFrame, start: DateLike | None, end: DateLike | None, bots: Sequence[bool]
 ) -> DataFrame:

@@ -298,11 +298,17 @@ ORACLE_SQL: dict[str, str] = {
     "a1_run_sql": _sql(f"{PER_DAY} ORDER BY day LIMIT 10"),
     "a3_open_table": _sql(f"SELECT http_method, {HITS} AS count FROM weblog GROUP BY http_method"),
     "a4_full_scan": _sql("SELECT * FROM weblog"),
+    "a5_read_cities": _sql(
+        "SELECT city, country, count(DISTINCT day) * CAST(1.5 AS DOUBLE) AS lat,"
+        " count(DISTINCT day) * CAST(-2.5 AS DOUBLE) AS lng FROM base WHERE city IS NOT NULL GROUP BY city, country",
+        CUBE,
+    ),
     "a6_latest_rows": _sql("SELECT * FROM latest", LATEST),
     "a6_latest_rows_period": _sql(f"SELECT timestamp_utc, referrer_domain, url FROM weblog WHERE {PERIOD}"),
     "a7_export_records": _sql(
         "SELECT '{\"day\":\"' || day || '\",\"traffic_sum\":' || traffic_sum || '}' AS record FROM (" + PER_DAY + ")"
     ),
+    "a7_written_log": _sql(f"SELECT * FROM weblog WHERE {PERIOD}"),
     # date discovery, filters, projections
     "r1_log_dates": _sql("SELECT DISTINCT CAST(timestamp_utc AS DATE) AS date FROM weblog"),
     "r1_default_dates": _sql(
@@ -315,6 +321,12 @@ ORACLE_SQL: dict[str, str] = {
     "r2_date_range": _sql(
         "SELECT min(CAST(timestamp_utc AS DATE)) AS min_date, max(CAST(timestamp_utc AS DATE)) AS max_date FROM weblog"
     ),
+    "r2_cube_date_range": _sql(
+        "SELECT min(day) AS min_date, max(day) AS max_date FROM cube"
+        " WHERE lower(country) IN (SELECT alias FROM dim_country)",
+        CUBE,
+        COUNTRIES,
+    ),
     "r3_day_filter": _sql(f"SELECT {ROW}, day FROM weblog WHERE {DAYS}"),
     "r3b_date_filter": _sql(f"SELECT {ROW} FROM weblog WHERE {PERIOD}"),
     "r3c_open_start": _sql(f"SELECT {ROW} FROM weblog WHERE CAST(timestamp_utc AS DATE) <= DATE '2024-01-25'"),

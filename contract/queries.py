@@ -75,10 +75,39 @@ def _(spark, sf):
 
 
 on_log("a4_full_scan", lambda log: log, urls=True)
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a5_read_cities")
+def _(spark, sf):
+    """A city file made of the places in the log, read back by column name."""
+    cube = geography.geo_cube(fixture.requests(spark, sf))
+    places = selection.without_nulls(cube, "city").groupBy("city", "country").agg(
+        F.sum("count").alias("population"),
+        (F.countDistinct("day") * 1.5).alias("lat"),
+        (F.countDistinct("day") * -2.5).alias("lng"),
+    )
+    path = _new_folder(spark, "cities")
+    places.select("lng", "city", "population", "lat", "country").write.csv(path, header=True)
+    return readers.read_cities(spark, path)
+
+
 on_log("a6_latest_rows", referrers.latest_rows, urls=True)
 on_log("a6_latest_rows_period", lambda log: referrers.latest_rows(log, START, END, None), urls=True)
 on_log("a7_export_records", lambda log: writers.as_records(traffic.traffic_per_day(log, START, END)))
 
+
+@query("a7_written_log")
+def _(spark, sf):
+    """The whole log written by day, then read for a period."""
+    path = _new_folder(spark, "log")
+    writers.write_log(fixture.requests(spark, sf, urls=True), path)
+    return selection.on_dates(readers.open_log(spark, path), START, END)
+
+
 # -- date discovery, filters, projections -------------------------------------
 
 on_log("r1_log_dates", selection.log_dates)
@@ -277,6 +306,12 @@ _register("g3_country_iso3", _country_info("iso_alpha"))
 _register("g4_country_continent", _country_info("continent"))
 
 
+@query("r2_cube_date_range")
+def _(spark, sf):
+    cube = geography.geo_cube(fixture.requests(spark, sf))
+    return geography.cube_date_range(geography.located(cube, fixture.countries(spark)))
+
+
 @query("g5_cube_slice")
 def _(spark, sf):
     cube = geography.geo_cube(fixture.requests(spark, sf))
@@ -365,8 +400,16 @@ on_codes(
     "h10_selected_classes",
     lambda codes: statuses.selected_classes(statuses.status_classes(codes), ["5xx", "2xx", "4xx"]),
 )
-on_log("h11_available_classes_24h", lambda log: statuses.available_classes(statuses.status_classes(statuses.status_codes_24h(log))))
-on_period("h11_available_classes", lambda log, a, b: statuses.available_classes(statuses.status_groups(log, a, b)))
+on_log(
+    "h11_available_classes_24h",
+    lambda log: statuses.available_classes(
+        statuses.status_classes(statuses.status_codes_24h(log))
+    ),
+)
+on_period(
+    "h11_available_classes",
+    lambda log, a, b: statuses.available_classes(statuses.status_groups(log, a, b)),
+)
 on_period("h12_error_ips_4xx", statuses.error_ips, status="4xx")
 on_period("h12_error_ips_5xx", statuses.error_ips, status="5xx")
 on_period("h13_error_ips_by_class", statuses.error_ips_by_class)
@@ -409,7 +452,9 @@ on_search("l6_displayed", lambda found: search.displayed(search.search_page(foun
 def _(spark, sf):
     stream = spark.readStream.schema(fixture.EVENTS_SCHEMA)
     arrivals = stream.option("pathGlobFilter", "events.parquet").parquet(sf)
-    folder = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
+    folder = _new_folder(spark, "hourly")
     out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
     write_hourly_counts(fixture.request_log(arrivals), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    hours = spark.read.parquet(out)
+    bounds = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    return hours.withColumns(bounds)

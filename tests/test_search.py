@@ -10,9 +10,18 @@ PERIOD = ("2024-01-01", "2024-01-02")
 def log(make_log):
     return make_log(
         {"at": "2024-01-01 08:59:59.999999", "ip": "early"},
-        {"at": "2024-01-01 09:00:00", "ip": "10.0.0.1", "geo": "Iran, Tehran", "user_os": "Linux", "status_code": 500},
-        {"at": "2024-01-01 12:00:00", "ip": "10.0.0.2", "url": "/Shop?q=100%", "user_browser": "Chrome", "status_code": 200},
-        {"at": "2024-01-02 17:30:59.999999", "ip": "10.0.0.3", "user_agent": "old chrome", "user_os": "Android", "status_code": None},
+        {
+            "at": "2024-01-01 09:00:00", "ip": "10.0.0.1", "geo": "Iran, Tehran",
+            "user_os": "Linux", "status_code": 500,
+        },
+        {
+            "at": "2024-01-01 12:00:00", "ip": "10.0.0.2", "url": "/Shop?q=100%",
+            "user_browser": "Chrome", "status_code": 200,
+        },
+        {
+            "at": "2024-01-02 17:30:59.999999", "ip": "10.0.0.3", "user_agent": "old chrome",
+            "user_os": "Android", "status_code": None,
+        },
         {"at": "2024-01-02 17:31:00", "ip": "late"},
     )
 
