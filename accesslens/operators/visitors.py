@@ -35,6 +35,11 @@ def first_visit_times(log: DataFrame) -> DataFrame:
     return log.groupBy(VISITOR_KEY).agg(F.min("timestamp_utc").alias("first_visit_time"))
 
 
+def settled(first_seen: DataFrame) -> DataFrame:
+    """One row per visitor of a first-seen table: the smallest `first_visit_time`."""
+    return first_seen.groupBy(VISITOR_KEY).agg(F.min("first_visit_time").alias("first_visit_time"))
+
+
 def last_visits(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """`ip, user_agent, last_visit_date` within the period."""
     rows = on_dates(log, start, end)
@@ -77,7 +82,7 @@ def visitor_counts(
         )
         visits = visits.where(F.col("last_visit_date").isNotNull())
     else:
-        first = first_seen.select(
+        first = settled(first_seen).select(
             *VISITOR_KEY, F.to_date("first_visit_time").alias("first_visit_date")
         )
         visits = last_visits(identified, start, end).join(first, VISITOR_KEY)
@@ -105,7 +110,7 @@ def visitor_counts_24h(
             identified.where(recent)
             .groupBy(VISITOR_KEY)
             .agg(F.max("timestamp_utc").alias("last_visit_time"))
-            .join(first_seen.select(*VISITOR_KEY, "first_visit_time"), VISITOR_KEY)
+            .join(settled(first_seen), VISITOR_KEY)
         )
     return _new_or_returning(visits, "last_visit_time", "first_visit_time")
 

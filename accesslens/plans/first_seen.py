@@ -1,23 +1,41 @@
-"""A maintained table of first visits, so that visitor counts need not read all history."""
+"""A maintained table of first visits, so that visitor counts need not read all history.
+
+The table is append-only and bucketed by visitor. A day's upkeep shuffles that
+day's visitors only: `first_seen_additions` finds the rows to add and
+`append_first_seen` adds them. A visitor may have several rows when requests
+arrive out of order; the smallest time counts, which `settled` and the visitor
+operators take care of without a shuffle.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.operators.visitors import first_visit_times
+from accesslens.operators.visitors import first_visit_times, settled
 from accesslens.schema import VISITOR_KEY
 
 
 def merge_first_seen(first_seen: DataFrame, new_requests: DataFrame) -> DataFrame:
-    """`first_seen` brought up to date with further requests.
+    """The whole `first_seen` brought up to date with further requests.
 
     The minimum is taken over both inputs, so requests may arrive late, out of
     order or twice.
     """
     arrivals = first_visit_times(new_requests)
-    both = first_seen.select(*arrivals.columns).unionByName(arrivals)
-    return both.groupBy(VISITOR_KEY).agg(F.min("first_visit_time").alias("first_visit_time"))
+    return settled(first_seen.select(*arrivals.columns).unionByName(arrivals))
+
+
+def first_seen_additions(first_seen: DataFrame, new_requests: DataFrame) -> DataFrame:
+    """Visitors of `new_requests` that are unknown, or known from a later time only.
+
+    Visitors with a NULL key part never match and are added again each time; they
+    are few and the smallest time counts.
+    """
+    known = settled(first_seen).withColumnRenamed("first_visit_time", "known_time")
+    arrivals = first_visit_times(new_requests).join(known, VISITOR_KEY, "left")
+    earlier = F.col("known_time").isNull() | (F.col("first_visit_time") < F.col("known_time"))
+    return arrivals.where(earlier).drop("known_time")
 
 
 def save_first_seen(first_seen: DataFrame, table: str, buckets: int | None = None) -> None:
@@ -25,17 +43,25 @@ def save_first_seen(first_seen: DataFrame, table: str, buckets: int | None = Non
 
     `buckets` defaults to the session's number of shuffle partitions: the shuffle
     that aggregates a period's visits then already matches the table, and the join
-    adds none. Choose a new table name for each version: the previous one is
-    usually the input of `merge_first_seen`. Rows are spread by bucket before
-    writing, so the table has one file per bucket.
+    adds none.
     """
+    _write(first_seen, table, "error", buckets)
+
+
+def append_first_seen(additions: DataFrame, table: str, buckets: int | None = None) -> None:
+    """Add `first_seen_additions` to the table, which must have as many buckets."""
+    _write(additions, table, "append", buckets)
+
+
+def _write(rows: DataFrame, table: str, mode: str, buckets: int | None) -> None:
     if buckets is None:
-        buckets = int(first_seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # spread by bucket first: one file per bucket, not one per task and bucket
     (
-        first_seen.repartition(buckets, *VISITOR_KEY)
+        rows.repartition(buckets, *VISITOR_KEY)
         .write.bucketBy(buckets, *VISITOR_KEY)
         .sortBy(*VISITOR_KEY)
-        .mode("error")
+        .mode(mode)
         .format("parquet")
         .saveAsTable(table)
     )

@@ -372,6 +372,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "v1_first_visit_times": _sql("SELECT ip, user_agent, first_time AS first_visit_time FROM f", FIRST_EVER),
     "v1_first_seen_merged": _sql("SELECT ip, user_agent, first_time AS first_visit_time FROM f", FIRST_EVER),
+    "v1_first_seen_added": _sql("SELECT ip, user_agent, first_time AS first_visit_time FROM f", FIRST_EVER),
     "v2_last_visits": _sql(
         "SELECT ip, user_agent, max(CAST(timestamp_utc AS DATE)) AS last_visit_date"
         f" FROM weblog WHERE {PERIOD} GROUP BY ip, user_agent"

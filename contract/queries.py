@@ -206,13 +206,23 @@ def merged_first_seen(log: DataFrame) -> DataFrame:
 
 
 on_log("v1_first_seen_merged", merged_first_seen)
+
+
+def added_first_seen(log: DataFrame) -> DataFrame:
+    """The same table grown by additions: a visitor may have several rows."""
+    old = visitors.first_visit_times(selection.on_dates(log, SPLIT, None))
+    added = first_seen.first_seen_additions(old, selection.on_dates(log, None, SPLIT))
+    return old.unionByName(added)
+
+
+on_log("v1_first_seen_added", lambda log: visitors.settled(added_first_seen(log)))
 on_log(
     "v3_from_first_seen",
     lambda log: visitors.visitor_counts(log, START, END, first_seen=merged_first_seen(log)),
 )
 on_log(
     "v4_from_first_seen",
-    lambda log: visitors.visitor_counts_24h(log, first_seen=merged_first_seen(log)),
+    lambda log: visitors.visitor_counts_24h(log, first_seen=added_first_seen(log)),
 )
 
 # -- referrers ---------------------------------------------------------------------

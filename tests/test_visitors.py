@@ -1,12 +1,18 @@
 import datetime as dt
 import random
+import re
 
 import pytest
-from conftest import moment, tuples
+from conftest import final_plan, moment, tuples
 
 from accesslens.operators import visitors
 from accesslens.plans import rollups, views
-from accesslens.plans.first_seen import merge_first_seen, save_first_seen
+from accesslens.plans.first_seen import (
+    append_first_seen,
+    first_seen_additions,
+    merge_first_seen,
+    save_first_seen,
+)
 
 D = dt.date
 
@@ -183,19 +189,45 @@ def test_first_seen_accepts_late_and_repeated_requests(make_log):
     assert sorted(tuples(merged), key=repr) == sorted(tuples(whole), key=repr)
 
 
-def test_saved_first_seen_joins_without_moving(spark, make_log):
-    _, log = random_log(make_log, 8)
-    spark.sql("DROP TABLE IF EXISTS first_seen_test")
-    save_first_seen(visitors.first_visit_times(log), "first_seen_test")
-    table = spark.table("first_seen_test")
+@pytest.fixture()
+def table(spark):
+    name = "first_seen_test"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        counts = visitors.visitor_counts(log, "2024-01-04", "2024-01-08", first_seen=table)
-        plan = counts._jdf.queryExecution().executedPlan().toString()
-        joined = plan[plan.index("SortMergeJoin"):]
-        # one shuffle on the way to the join: the log's side
-        assert joined.count("Exchange hashpartitioning") == 1
-        assert tuples(counts) == tuples(visitors.visitor_counts(log, "2024-01-04", "2024-01-08"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.sql("DROP TABLE first_seen_test")
+    yield name
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_saved_first_seen_joins_without_moving(spark, make_log, table):
+    _, log = random_log(make_log, 8)
+    save_first_seen(visitors.first_visit_times(log), table)
+    stored = spark.table(table)
+    for counts, expected in (
+        (
+            visitors.visitor_counts(log, "2024-01-04", "2024-01-08", first_seen=stored),
+            visitors.visitor_counts(log, "2024-01-04", "2024-01-08"),
+        ),
+        (visitors.visitor_counts_24h(log, first_seen=stored), visitors.visitor_counts_24h(log)),
+    ):
+        assert "SortMergeJoin" in final_plan(counts)
+        assert len(re.findall(r"Exchange hashpartitioning\(ip", final_plan(counts))) == 1
+        assert tuples(counts) == tuples(expected)
+
+
+def test_first_seen_grows_by_additions(spark, make_log, table):
+    _, log = random_log(make_log, 9)
+    days = ["2024-01-06", "2024-01-02", "2024-01-09", "2024-01-02"]  # out of order, one twice
+    save_first_seen(visitors.first_visit_times(log.where("day = '2024-01-04'")), table)
+    for day in days:
+        # a day's upkeep moves the day's visitors only
+        added = first_seen_additions(spark.table(table), log.where(f"day = '{day}'"))
+        plan = final_plan(added)
+        assert len(re.findall(r"Exchange hashpartitioning\(ip", plan)) == 1
+        append_first_seen(added, table)
+    seen = log.where(f"day IN ('2024-01-04', {', '.join(repr(d) for d in days)})")
+    expected = tuples(visitors.first_visit_times(seen))
+    assert sorted(tuples(visitors.settled(spark.table(table))), key=repr) == sorted(expected, key=repr)
+    assert tuples(
+        visitors.visitor_counts(seen, "2024-01-02", "2024-01-06", first_seen=spark.table(table))
+    ) == tuples(visitors.visitor_counts(seen, "2024-01-02", "2024-01-06"))
