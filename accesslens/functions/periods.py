@@ -29,21 +29,30 @@ def dates_within(date: Column, start: DateLike | None, end: DateLike | None) ->
     return condition
 
 
+def request_date(log: DataFrame) -> Column:
+    """UTC date of a request: `day` where the table has it, else from the timestamp.
+
+    As a partition column `day` costs nothing to read, while the timestamps are
+    among the largest columns of a log. Drop `day` from a table whose `day` means
+    something else than `DATE(timestamp_utc)`.
+    """
+    return F.col("day") if "day" in log.columns else F.to_date("timestamp_utc")
+
+
 def in_period(log: DataFrame, start: DateLike | None, end: DateLike | None) -> Column:
-    """`DATE(timestamp_utc)` within the inclusive bounds.
+    """Request date within the inclusive bounds.
 
-    Written as a range of timestamps, which the Parquet scan can use to skip row
-    groups. A partitioned table prunes only on its partition column, so the
-    redundant `day` is bounded too wherever the table has it.
+    With `day` this prunes partitions. Without, it is written as a range of
+    timestamps, which the Parquet scan can use to skip row groups.
     """
+    if "day" in log.columns:
+        return dates_within(F.col("day"), start, end)
     moment = F.col("timestamp_utc")
     condition = F.lit(True)
     if start is not None:
         condition = condition & (moment >= as_log_time(log, date_lit(start)))
     if end is not None:
         condition = condition & (moment < as_log_time(log, F.date_add(date_lit(end), 1)))
-    if "day" in log.columns:
-        condition = condition & dates_within(F.col("day"), start, end)
     return condition
 
 
@@ -56,18 +65,14 @@ def as_log_time(log: DataFrame, moment: Column) -> Column:
 
 
 def latest_timestamp(log: DataFrame) -> Column:
-    """The log's newest timestamp as a scalar subquery (lazy, one column read)."""
-    return log.agg(F.max("timestamp_utc")).scalar()
-
-
-def latest_timestamp_by_day(log: DataFrame) -> Column:
-    """`latest_timestamp` for a table that is partitioned by `day`.
+    """The log's newest timestamp as a lazy scalar subquery.
 
-    Finds the last day first, which needs no data column, and reads the
-    timestamps of that day only. Pass it as `anchor`.
+    With `day`, the last day is found first, which needs no data column of a
+    partitioned table, and the timestamps of that day alone are read.
     """
-    last_day = log.agg(F.max("day")).scalar()
-    return log.where(F.col("day") == last_day).agg(F.max("timestamp_utc")).scalar()
+    if "day" in log.columns:
+        log = log.where(F.col("day") == log.agg(F.max("day")).scalar())
+    return log.agg(F.max("timestamp_utc")).scalar()
 
 
 def since(log: DataFrame, moment: Column) -> Column:
@@ -91,9 +96,9 @@ def last_hours(
 ) -> Column:
     """Requests of the `hours` before the newest one, both ends included.
 
-    `anchor` replaces the newest timestamp when the caller already knows it, which
-    saves the pass over the timestamp column. `bounded=False` leaves the upper
-    end open; against the log's own newest timestamp the result is the same.
+    `anchor` replaces the newest timestamp when the caller already knows it.
+    `bounded=False` leaves the upper end open; against the log's own newest
+    timestamp the result is the same.
     """
     newest = _moment(log, anchor)
     condition = since(log, newest - F.expr(f"INTERVAL {int(hours)} HOURS"))

@@ -15,7 +15,7 @@ from accesslens.functions.channels import (
     is_social,
 )
 from accesslens.functions.measures import hits, hits_if, share_pct
-from accesslens.functions.periods import DateLike, last_hours
+from accesslens.functions.periods import DateLike, last_hours, request_date
 from accesslens.operators.selection import (
     date_range,
     on_dates,
@@ -65,8 +65,7 @@ def _last_days_with(rows: DataFrame, limit: int) -> DataFrame:
     `day`; the running total spans one row per day. The scan of the other columns
     then evaluates the first day needed before it selects partitions.
     """
-    if "day" not in rows.columns:
-        rows = rows.withColumn("day", F.to_date("timestamp_utc"))
+    rows = rows.withColumn("day", request_date(rows))
     running = F.sum("n").over(Window.orderBy(F.col("day").desc()))
     per_day = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     enough = per_day.withColumn("running", running).where(F.col("running") >= limit)
@@ -125,7 +124,7 @@ def referrer_count(
 
 def daily_referrers(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """`visit_date, direct_count, social_count, search_count, others_count`."""
-    rows = on_dates(log, start, end).withColumn("visit_date", F.to_date("timestamp_utc"))
+    rows = on_dates(log, start, end).withColumn("visit_date", request_date(log))
     per_day = rows.groupBy("visit_date").agg(*_channel_hits(log, "_count"))
     return per_day.select(
         "visit_date", "direct_count", "social_count", "search_count", _others("_count")
@@ -194,7 +193,7 @@ def daily_channel_pivot(rows: DataFrame) -> DataFrame:
     """`visit_date, direct, social, search, others`, zero where a channel has no request."""
     marked = with_list_channel(rows)
     cells = [hits_if(rows, F.col("channel") == c).alias(c) for c in CHANNELS]
-    dates = F.to_date("timestamp_utc").alias("visit_date")
+    dates = request_date(rows).alias("visit_date")
     return marked.groupBy(dates).agg(*cells).orderBy("visit_date")
 
 

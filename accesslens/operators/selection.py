@@ -16,6 +16,7 @@ from accesslens.functions.periods import (
     dates_within,
     in_period,
     last_hours,
+    request_date,
 )
 from accesslens.functions.places import is_known_geo
 
@@ -24,16 +25,13 @@ FIRST_LOG_DATE = "2019-01-01"  # fixed value: start of the range shown for an em
 
 def log_dates(log: DataFrame) -> DataFrame:
     """Distinct request dates, ascending."""
-    return log.select(F.to_date("timestamp_utc").alias("date")).distinct().orderBy("date")
+    return log.select(request_date(log).alias("date")).distinct().orderBy("date")
 
 
 def date_range(log: DataFrame) -> DataFrame:
-    """First and last request date in one row; both NULL for an empty log.
-
-    The extreme timestamps are found first: their dates are the extreme dates.
-    """
-    bounds = log.agg(F.min("timestamp_utc").alias("lo"), F.max("timestamp_utc").alias("hi"))
-    return bounds.select(F.to_date("lo").alias("min_date"), F.to_date("hi").alias("max_date"))
+    """First and last request date in one row; both NULL for an empty log."""
+    date = request_date(log)
+    return log.agg(F.min(date).alias("min_date"), F.max(date).alias("max_date"))
 
 
 def date_range_or_default(
@@ -53,7 +51,7 @@ def on_days(log: DataFrame, start: DateLike | None, end: DateLike | None) -> Dat
 
 
 def on_dates(log: DataFrame, start: DateLike | None, end: DateLike | None) -> DataFrame:
-    """Rows whose timestamp's date lies within the inclusive bounds; either may be None."""
+    """Rows whose request date lies within the inclusive bounds; either may be None."""
     return log.where(in_period(log, start, end))
 
 

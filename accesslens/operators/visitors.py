@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from accesslens.functions.periods import DateLike, as_date, in_period, last_hours
+from accesslens.functions.periods import DateLike, as_date, in_period, last_hours, request_date
 from accesslens.operators.selection import on_dates, on_device, top, without_nulls
 from accesslens.schema import VISITOR_KEY
 
@@ -26,7 +26,7 @@ MAX_BITMAP_DAYS = 8 * WORD  # wider rows would cost more than the window they re
 def first_visits(log: DataFrame) -> DataFrame:
     """`ip, user_agent, first_visit_date` over the whole history."""
     return log.groupBy(VISITOR_KEY).agg(
-        F.min(F.to_date("timestamp_utc")).alias("first_visit_date")
+        F.min(request_date(log)).alias("first_visit_date")
     )
 
 
@@ -43,7 +43,7 @@ def settled(first_seen: DataFrame) -> DataFrame:
 def last_visits(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """`ip, user_agent, last_visit_date` within the period."""
     rows = on_dates(log, start, end)
-    return rows.groupBy(VISITOR_KEY).agg(F.max(F.to_date("timestamp_utc")).alias("last_visit_date"))
+    return rows.groupBy(VISITOR_KEY).agg(F.max(request_date(log)).alias("last_visit_date"))
 
 
 def last_visit_times(log: DataFrame, hours: int = 24, anchor=None) -> DataFrame:
@@ -74,7 +74,7 @@ def visitor_counts(
     period is read, and joined to it.
     """
     identified = without_nulls(log, *VISITOR_KEY)
-    visit_date = F.to_date("timestamp_utc")
+    visit_date = request_date(log)
     if first_seen is None:
         visits = on_dates(identified, None, end).groupBy(VISITOR_KEY).agg(
             F.min(visit_date).alias("first_visit_date"),
@@ -140,7 +140,7 @@ def daily_visitors(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     A visitor is new on the first of their days within the period.
     """
     days = (as_date(end) - as_date(start)).days + 1
-    rows = on_dates(log, start, end).withColumn("visit_date", F.to_date("timestamp_utc"))
+    rows = on_dates(log, start, end).withColumn("visit_date", request_date(log))
     if 0 < days <= MAX_BITMAP_DAYS:
         visits = _visits_by_bitmap(rows, as_date(start), days)
     else:

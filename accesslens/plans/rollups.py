@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.functions.measures import hits
-from accesslens.functions.periods import as_log_time
+from accesslens.functions.periods import as_log_time, request_date
 
 GRAINS = ("hour", "day")
 
@@ -31,6 +31,7 @@ def rollup(log: DataFrame, *dimensions: str, grain: str = "day") -> DataFrame:
     """`timestamp_utc, day, dimensions, hits`, one row per combination."""
     if grain not in GRAINS:
         raise ValueError(f"unknown grain: {grain}")
-    start = as_log_time(log, F.date_trunc(grain, "timestamp_utc"))
+    moment = request_date(log) if grain == "day" else F.date_trunc(grain, "timestamp_utc")
+    start = as_log_time(log, moment)
     keys = ["timestamp_utc", "day", *dimensions]
     return log.withColumn("timestamp_utc", start).groupBy(*keys).agg(hits(log).alias("hits"))

@@ -14,7 +14,7 @@ from accesslens.operators import geography, referrers, statuses, traffic, visito
 def last_day_view(log: DataFrame, countries: DataFrame, anchor=None) -> dict[str, DataFrame]:
     """The trailing-24-hour figures: visitors, countries, statuses, hours, pages.
 
-    Pass `anchor` (the newest timestamp) to spare each result its own look-up.
+    Pass `anchor` (the newest timestamp), if known, to spare each result its look-up.
     """
     classes = statuses.status_classes(statuses.status_codes_24h(log, anchor=anchor))
     return {

@@ -329,6 +329,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "r3_day_filter": _sql(f"SELECT {ROW}, day FROM weblog WHERE {DAYS}"),
     "r3b_date_filter": _sql(f"SELECT {ROW} FROM weblog WHERE {PERIOD}"),
+    "r3b_timestamp_filter": _sql(f"SELECT {ROW} FROM weblog WHERE {PERIOD}"),
     "r3c_open_start": _sql(f"SELECT {ROW} FROM weblog WHERE CAST(timestamp_utc AS DATE) <= DATE '2024-01-25'"),
     "r3c_open_end": _sql(f"SELECT {ROW} FROM weblog WHERE CAST(timestamp_utc AS DATE) >= DATE '2024-01-05'"),
     "r4_last_24h": _sql(f"SELECT {ROW} FROM weblog WHERE {BOTH_ENDS}"),

@@ -123,8 +123,12 @@ def _(spark, sf):
 on_log("r2_date_range", selection.date_range)
 on_period("r3_day_filter", lambda log, a, b: selection.on_days(log, a, b).select(*ROW, "day"))
 on_period("r3b_date_filter", lambda log, a, b: selection.on_dates(log, a, b).select(ROW))
-on_log("r3c_open_start", lambda log: selection.on_dates(log, None, END).select(ROW))
-on_log("r3c_open_end", lambda log: selection.on_dates(log, START, None).select(ROW))
+on_period(
+    "r3b_timestamp_filter",
+    lambda log, a, b: selection.on_dates(log.drop("day"), a, b).select(ROW),
+)
+on_log("r3c_open_start", lambda log: selection.on_dates(log.drop("day"), None, END).select(ROW))
+on_log("r3c_open_end", lambda log: selection.on_dates(log.drop("day"), START, None).select(ROW))
 on_log("r4_last_24h", lambda log: selection.in_last_hours(log).select(ROW))
 on_log("r5_known_geo", lambda log: selection.with_known_geo(log).select(*ROW, "geo"))
 on_log(
