@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import decontamination, pieces, pseudonyms, simhash, toxicity
+from accesslens.llm import decontamination, imatch, pieces, pseudonyms, secret_scan, simhash, token_files, toxicity
 from accesslens.llm.shared import table
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+WORD_END_ID = 2
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Whoever runs this for real passes a key of their own.
 PSEUDONYM_KEY = b"accesslens"
@@ -21,6 +23,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counted = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}")
+        for kind in secret_scan.KINDS[:3]
+    ]
+    return found.select(
+        "doc_id",
+        *counted,
+        F.sha2(secret_scan.described(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.described(F.concat("base", "owned")).alias("spans"),
+        "n_live",
+        "n_copied",
+    )
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
@@ -47,6 +66,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", *pseudonyms.counted_kinds("spans"), "spans")
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_path(spark)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, WORD_TOKENIZER, WORD_END_ID)
+    return token_files.token_digests(token_files.read_token_files(spark, path))
+
+
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = imatch.Lexicon.of(docs, "doc_id", "text", imatch.LEAST_SHARE, imatch.MOST_SHARE)
+    return imatch.edit_likeness(docs, lexicon)
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pieces.coded(table(spark, sf_dir, "documents"), PIECE_MODEL))
 
@@ -66,8 +97,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_secrets": op2_secrets,
     "op3_toxicity": op3_toxicity,
     "op5_pii": op5_pii,
+    "op6_token_files": op6_token_files,
+    "op8_imatch": op8_imatch,
     "op9_pieces": op9_pieces,
     "op10_decontamination": op10_decontamination,
 }

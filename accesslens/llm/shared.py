@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch: a few MB of ordinary documents in a Python worker.
 BATCH_ROWS = 1024
@@ -14,35 +15,52 @@ BATCH_ROWS = 1024
 Batches = Iterator[pa.RecordBatch]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, written once to the shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: where checkpoints go.
 
-    The folder is the session's `spark.checkpoint.dir`; where that is unset, a folder
-    beside the tables of the session's warehouse.
+    It is the session's `spark.checkpoint.dir`; where that is unset, a folder beside the
+    tables of the session's warehouse.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         context.setCheckpointDir(folder or f"{warehouse}/_checkpoints")
+    return context.getCheckpointDir().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df`, written once to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def arrow_map(
-    df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
+    df: DataFrame,
+    start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+    schema: str | StructType,
+    rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """Apply to each Arrow batch the function that `start` makes once per task."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Apply to each Arrow batch the function that `start` makes once per task.
+
+    Batches that Spark makes larger are cut into `rows` rows.
+    """
+    small_batches(df.sparkSession)
 
     def run(batches: Batches) -> Batches:
         each = start()
         for batch in batches:
-            yield each(batch)
+            for at in range(0, batch.num_rows, rows):
+                yield each(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds; documents are much longer than Spark expects of rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def record(schema: str | pa.Schema, *columns) -> pa.RecordBatch:
     """A batch of `columns` under the names and types of `schema`."""
     arrays = [
@@ -65,10 +83,5 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def text_key(text_col: str) -> Column:
-    """128 bits that tell texts apart, for rows that share a key."""
-    return F.md5(F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -25,11 +25,11 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.llm.components import components
-from accesslens.llm.shared import Batches, arrow_map, checkpointed, identified, record
+from accesslens.llm.shared import Batches, arrow_map, checkpointed, identified, quoted, record
 
 BITS = 64
 LEVELS = 4
@@ -44,7 +44,7 @@ CELL_QUERIES = 32_768
 LEAF_PAIRS = 1 << 16
 HASH_SEED = 42
 
-_OUT = pa.schema([("id", pa.int64()), ("text_key", pa.string()), ("fp", pa.int64())])
+_OUT = pa.schema([("id", pa.int64()), ("row_key", pa.string()), ("fp", pa.int64())])
 _VISITS = pa.schema([("cell", pa.int64()), ("home", pa.bool_()), ("fp", pa.int64())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -75,7 +75,7 @@ def fingerprint(text: bytes, words_per_shingle: int) -> int:
 def fingerprints(
     docs: DataFrame, words_per_shingle: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """`id`, `text_key`, `fp` (signed) of every row; a NULL text counts as empty."""
+    """`id`, `row_key`, `fp` (signed) of every row; a NULL text counts as empty."""
 
     def start():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -85,8 +85,15 @@ def fingerprints(
         return each
 
     texts = identified(docs, id_col, text_col)
-    keyed = texts.select(F.col("id").cast("long"), "text", F.md5(F.col("text").cast("binary")).alias("k"))
-    return arrow_map(keyed, start, "id long, text_key string, fp long")
+    keyed = texts.select(F.col("id").cast("long"), "text", row_key("id", "text").alias("k"))
+    return arrow_map(keyed, start, "id long, row_key string, fp long")
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of key and text; only repeated rows share them."""
+    key = F.coalesce(F.col(quoted(id_col)).cast("long").cast("string"), F.lit("-"))
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    return F.md5(F.concat_ws(":", key, text).cast("binary"))
 
 
 class UpperTree:
@@ -283,7 +290,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """`doc_id`, `fingerprint`, `component_id`, `text_key`, `component_key` of every row.
+    """`doc_id`, `fingerprint`, `component_id`, `row_key`, `component_key` of every row.
 
     `component_id` is the smallest key reachable over links, the row's own included;
     NULL keys count only where a component has no other. `component_key` names the
@@ -303,7 +310,7 @@ def near_duplicates(
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
-        "text_key",
+        "row_key",
         "component_key",
     )
 
@@ -312,12 +319,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row of `docs` per component, that of its smallest key, with all columns."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     # NULL keys last
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    kept = found.groupBy("component_key").agg(F.min(first).alias("first")).select("first.doc_id", "first.text_key")
-    keyed = docs.withColumn("__key", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    joined = keyed.join(
-        kept.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__kept")),
-        (F.col("__key") == F.col("__kept")) & F.col(id_col).cast("long").eqNullSafe(F.col("__id")),
-        "left_semi",
-    )
-    return joined.dropDuplicates([id_col, "__key"]).drop("__key")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    kept = found.groupBy("component_key").agg(F.min(first).alias("first")).select("first.row_key")
+    # both steps on the same key: the texts move once
+    keyed = docs.withColumn("__row_key", row_key(id_col, text_col))
+    joined = keyed.join(kept.withColumnRenamed("row_key", "__row_key"), "__row_key", "left_semi")
+    return joined.dropDuplicates(["__row_key"]).drop("__row_key")
