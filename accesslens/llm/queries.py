@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accesslens.llm import decontamination, imatch, pieces, pseudonyms, secret_scan, simhash, token_files, toxicity
+from accesslens.llm import (
+    decontamination,
+    html_text,
+    imatch,
+    pieces,
+    pseudonyms,
+    secret_scan,
+    simhash,
+    token_files,
+    toxicity,
+)
+from accesslens.llm.html_examples import labelled_pages
 from accesslens.llm.shared import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +71,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_text.train(labelled_pages())
+    found = html_text.extracted(table(spark, sf_dir, "pages"), model)
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = pseudonyms.with_pseudonyms(docs, PSEUDONYM_KEY, spans_col="spans")
@@ -99,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
     "op3_toxicity": op3_toxicity,
+    "op4_html_text": op4_html_text,
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
     "op8_imatch": op8_imatch,
