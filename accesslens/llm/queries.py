@@ -12,6 +12,7 @@ from accesslens.llm import (
     decontamination,
     html_text,
     imatch,
+    passages,
     pieces,
     pseudonyms,
     secret_scan,
@@ -89,6 +90,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.read_token_files(spark, path))
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.transform("passages", lambda s: F.concat_ws(":", s["first"].cast("string"), s["last"].cast("string")))
+    return found.select("doc_id", "class_id", "n_words", "n_passages", F.array_join(spans, ",").alias("passages"))
+
+
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = imatch.Lexicon.of(docs, "doc_id", "text", imatch.LEAST_SHARE, imatch.MOST_SHARE)
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_pii": op5_pii,
     "op6_token_files": op6_token_files,
+    "op7_passages": op7_passages,
     "op8_imatch": op8_imatch,
     "op9_pieces": op9_pieces,
     "op10_decontamination": op10_decontamination,

@@ -25,11 +25,11 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.llm.components import components
-from accesslens.llm.shared import Batches, arrow_map, checkpointed, identified, quoted, record
+from accesslens.llm.shared import Batches, arrow_map, checkpointed, identified, record, row_key
 
 BITS = 64
 LEVELS = 4
@@ -89,13 +89,6 @@ def fingerprints(
     return arrow_map(keyed, start, "id long, row_key string, fp long")
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """128 bits of key and text; only repeated rows share them."""
-    key = F.coalesce(F.col(quoted(id_col)).cast("long").cast("string"), F.lit("-"))
-    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
-    return F.md5(F.concat_ws(":", key, text).cast("binary"))
-
-
 class UpperTree:
     """Vantage points of the levels and the shards that hold points."""
 
