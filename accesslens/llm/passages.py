@@ -16,7 +16,7 @@ of documents.
 
 from __future__ import annotations
 
-import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +32,14 @@ SHINGLE = 5
 PASSAGE_WORDS, SIMILARITY = 50, 0.8
 #: A passage of similarity 0.8 misses all of these with probability 0.2 ** 3.
 HASHES = 3
+#: Words after a min-hash's shingle that must agree too. Five common words in a row occur
+#: by chance, eight hardly; a near passage loses 3 of its 46 shingles by this.
+KEY_WORDS = 3
 #: Words inserted or dropped that the comparison looks past.
 SLACK = 2
 #: Most windows on either side of a cell.
 CELL = 1024
 
-_WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WINDOWS = pa.schema([("key", pa.int64()), ("around", pa.int64()), ("text_id", pa.int64()), ("at", pa.int32())])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("text_id", pa.int64()), ("n_words", pa.int64())])
@@ -51,22 +53,30 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-class Words:
-    """Texts as arrays of 64-bit word hashes, which a worker remembers."""
-
-    def __init__(self, most: int = 300_000):
-        self.known: dict[str, int] = {}
-        self.most = most
-
-    def of(self, text: str) -> np.ndarray:
-        words = _WORD.findall(text.lower())
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(word.encode())
-        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(known) > self.most:
-            known.clear()
-        return out
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point: whether words hold it, and a number that ignores its case."""
+    every = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
+    inside = np.array([c.isalnum() for c in every])
+    lowered = np.array([ord(c.lower()[0]) for c in every], np.uint64)
+    return inside, _mixed(lowered * _MIX + np.uint64(1))
+
+
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """Each text's words as 64-bit hashes; all texts are hashed on one flat array."""
+    inside, number = _characters()
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    place = np.flatnonzero(inside[codes])
+    if not len(place):
+        return [np.zeros(0, np.uint64)] * len(texts)
+    fresh = np.r_[True, np.diff(place) > 1]
+    starts = np.flatnonzero(fresh)
+    offset = np.arange(len(place)) - np.repeat(starts, np.diff(np.r_[starts, len(place)]))
+    spread = _mixed(number[codes[place]] + offset.astype(np.uint64) * _MIX)
+    words = _mixed(np.add.reduceat(spread, starts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    cuts = np.searchsorted(place[starts], ends[:-1])
+    return np.split(words, cuts)
 
 
 def text_id(words: np.ndarray) -> int:
@@ -81,92 +91,111 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def compact_windows(hashes: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(hashes: np.ndarray, ends: np.ndarray, shortest: int) -> tuple[np.ndarray, ...]:
     """Token, first and last token of every compact window of `shortest` tokens or more.
 
-    Of equal hashes the first counts as the least.
+    `hashes` holds the tokens of several texts, each up to one of `ends`. Hashes count by
+    their first 40 bits (fewer in batches of over 16 million tokens); of equal ones the first token is the least.
     """
     n = len(hashes)
     if n < shortest:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    # ties by position: ranks are distinct
-    rank = np.empty(n, np.int64)
-    rank[np.argsort(hashes, kind="stable")] = np.arange(n)
-    least, width = rank, 1
+        return (np.zeros(0, np.int64),) * 3
+    begins = np.r_[0, ends[:-1]]
+    low = np.uint64((1 << max(24, n.bit_length())) - 1)
+    ranked = (hashes & ~low) | np.arange(n, dtype=np.uint64)
+    least, width = ranked, 1
     while width < shortest:
         step = min(width, shortest - width)
         least = np.minimum(least[: len(least) - step], least[step:])
         width += step
-    place = np.empty(n, np.int64)
-    place[rank] = np.arange(n)
-    at = np.sort(place[np.unique(least)])
-    # Cartesian tree over the minima, on a stack: a smaller token ends the windows on it
-    first, last, stack = [0] * len(at), [n - 1] * len(at), []
-    positions, ranks = at.tolist(), rank[at].tolist()
+    # stretches over the end of a text don't count
+    text = np.repeat(np.arange(len(ends)), ends - begins)
+    inside = text[: len(least)] == text[shortest - 1 :]
+    chosen = np.zeros(n, bool)
+    chosen[(least[inside] & low).astype(np.int64)] = True
+    at = np.flatnonzero(chosen)
+    # Cartesian trees over the minima, on a stack: a smaller token ends the windows on it
+    of = text[at]
+    first, last, stack = begins[of].tolist(), (ends[of] - 1).tolist(), []
+    before, texts = -1, of.tolist()
+    positions, ranks = at.tolist(), ranked[at].tolist()
     for k, r in enumerate(ranks):
+        if texts[k] != before:
+            before, stack = texts[k], []
         while stack and ranks[stack[-1]] > r:
             last[stack.pop()] = positions[k] - 1
-        first[k] = positions[stack[-1]] + 1 if stack else 0
+        if stack:
+            first[k] = positions[stack[-1]] + 1
         stack.append(k)
     return at, np.array(first, np.int64), np.array(last, np.int64)
 
 
-def _context(words: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
-    """Words from `reach` before each token to `reach` after it; zeros past the ends."""
-    padded = np.pad(words, reach + SHINGLE)
-    begin = at + SHINGLE
-    return padded[begin[:, None] + np.arange(2 * reach + SHINGLE)]
+class Stretches:
+    """Hashes of any stretch of an array of words, from sums of words times powers."""
 
+    BASE = np.uint64(0xD1342543DE82EF95)
 
-def _row_hash(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(rows), np.uint64)
-    for k in range(rows.shape[1]):
-        out = _mixed(out * _MIX + rows[:, k])
-    return out
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        inverse = np.uint64(pow(int(self.BASE), -1, 1 << 64))
+        powers = np.multiply.accumulate(np.full(n, self.BASE))
+        self.shifts = np.r_[np.uint64(1), np.multiply.accumulate(np.full(n, inverse))]
+        self.sums = np.r_[np.uint64(0), np.cumsum(_mixed(words) * powers, dtype=np.uint64)]
+
+    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        same_place = (self.sums[end] - self.sums[first]) * self.shifts[first]
+        return _mixed(same_place + (end - first).astype(np.uint64) * _MIX)
 
 
 def windows(texts: DataFrame, passage_words: int, hashes: int) -> DataFrame:
     """`key`, `around`, `text_id`, `at` of the compact windows of all texts.
 
-    `key` names hash function and min-hash, `around` the words about the window's token.
+    `key` names hash function, min-hash and the words that follow it, `around` the words
+    of the window within a passage's length of its token.
     """
     shortest, reach = passage_words - SHINGLE + 1, passage_words - 1
     seeds = [np.uint64(xxhash.xxh3_64_intdigest(f"function {k}")) for k in range(hashes)]
 
     def start():
-        memory = Words()
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts: list[tuple] = []
-            for text in batch.column(0).to_pylist():
-                words = memory.of(text)
-                if len(words) < passage_words:
-                    continue
-                tokens, name = shingles(words), text_id(words)
-                for seed in seeds:
-                    values = _mixed(tokens ^ seed)
-                    at, _, _ = compact_windows(values, shortest)
-                    around = _row_hash(_context(words, at, reach))
-                    parts.append((values[at], around, np.full(len(at), name), at.astype(np.int32)))
-            if not parts:
+            texts = [w for w in word_hashes(batch.column(0).to_pylist()) if len(w) >= passage_words]
+            if not texts:
                 return record(_WINDOWS, [], [], [], [])
+            words, sizes = np.concatenate(texts), np.array([len(w) for w in texts])
+            names = np.array([text_id(w) for w in texts], np.int64)
+            begins = np.cumsum(sizes) - sizes
+            # a text's last words begin no shingle of its own
+            own = np.ones(len(words), bool)
+            for k in range(1, SHINGLE):
+                own[begins + sizes - k] = False
+            tokens, place = shingles(words)[own[: len(words) - SHINGLE + 1]], np.flatnonzero(own)
+            ends = np.cumsum(sizes - SHINGLE + 1)
+            stretches = Stretches(words)
+            parts: list[tuple] = []
+            for seed in seeds:
+                values = _mixed(tokens ^ seed)
+                at, first, last = compact_windows(values, ends, shortest)
+                least = values[at]
+                of = np.searchsorted(ends, at, side="right")
+                at, begin, end = place[at], place[first], place[last] + SHINGLE
+                begin, finish = np.maximum(begin, at - reach), np.minimum(end, at + SHINGLE + reach)
+                around = _mixed(stretches.of(begin, finish) ^ (at - begin).astype(np.uint64))
+                after = stretches.of(at + SHINGLE, np.minimum(end, at + SHINGLE + KEY_WORDS))
+                parts.append((_mixed(least ^ after), around, names[of], at - begins[of]))
             keys, around, names, at = map(np.concatenate, zip(*parts, strict=True))
-            return record(_WINDOWS, keys.view(np.int64), around.view(np.int64), names, at)
+            return record(_WINDOWS, keys.view(np.int64), around.view(np.int64), names, at.astype(np.int32))
 
         return each
 
-    return arrow_map(texts.select("text"), start, "key long, around long, text_id long, at int", rows=128)
+    return arrow_map(texts.select("text"), start, "key long, around long, text_id long, at int", rows=256)
 
 
 def text_ids(texts: DataFrame) -> DataFrame:
     """`doc_id`, `row_key`, `text_id`, `n_words` of every row."""
 
     def start():
-        memory = Words()
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = [memory.of(t) for t in batch.column(2).to_pylist()]
+            words = word_hashes(batch.column(2).to_pylist())
             return record(_DOCS, *batch.columns[:2], [text_id(w) for w in words], [len(w) for w in words])
 
         return each
@@ -178,17 +207,22 @@ def text_ids(texts: DataFrame) -> DataFrame:
 def _near(one: np.ndarray, others: np.ndarray, passage_words: int, similarity: float) -> tuple:
     """Which contexts hold a passage near one of `one`, and where in `one`'s shingles.
 
-    Shingles match at the same place or up to SLACK words aside. A passage is a stretch
+    Contexts have a byte per word, so a shingle compares 40 bits. Shingles match at the
+    same place or up to SLACK words aside. A passage is a stretch
     of the least length over the common token, in which the matched shingles m of each
     side reach the Jaccard similarity: m / (2 * length - m).
     """
     length = passage_words - SHINGLE + 1
-    matched = np.zeros(others.shape, bool)
+    size = len(one) - SHINGLE + 1
+    matched = np.zeros((len(others), size), bool)
     for shift in range(-SLACK, SLACK + 1):
         a, b = max(0, -shift), max(0, shift)
-        size = others.shape[1] - abs(shift)
-        matched[:, a : a + size] |= one[a : a + size] == others[:, b : b + size]
-    matched &= one != 0
+        n = len(one) - abs(shift)
+        same = (one[a : a + n] == others[:, b : b + n]) & (one[a : a + n] != 0)
+        runs = same[:, : n - SHINGLE + 1].copy()
+        for k in range(1, SHINGLE):
+            runs &= same[:, k : n - SHINGLE + 1 + k]
+        matched[:, a : a + runs.shape[1]] |= runs
     total = np.cumsum(np.pad(matched, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
     stretch = total[:, length:] - total[:, :-length]
     enough = stretch >= 2 * length * similarity / (1 + similarity) - 1e-9
@@ -228,6 +262,7 @@ def near_passages(
     cells in both directions.
     """
     reach = passage_words - 1
+    width = 2 * reach + SHINGLE
     sizes = candidates.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     cuts = F.ceil(F.col("n") / CELL).cast("int")
     wanted = candidates.join(sizes.select("key", cuts.alias("cuts")), "key")
@@ -236,7 +271,6 @@ def near_passages(
     named = texts.select("text_id", "text").join(by_text, "text_id")
 
     def start():
-        memory = Words()
         out = pa.schema(
             [("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("home", pa.bool_()),
              ("text_id", pa.int64()), ("at", pa.int32()), ("context", pa.binary())]
@@ -244,12 +278,12 @@ def near_passages(
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for name, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = memory.of(text)
+            names, wants = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for name, words, wanted in zip(names, word_hashes(batch.column(1).to_pylist()), wants, strict=True):
                 at = np.array([w["at"] for w in wanted])
-                # shingles out of the text are zero and match nothing
-                tokens = np.pad(shingles(words).astype(np.uint32) | np.uint32(1), reach)
-                contexts = tokens[at[:, None] + np.arange(2 * reach + 1)]
+                # a byte per word, never zero; zeros past the ends match nothing
+                padded = np.pad((words >> np.uint64(56)).astype(np.uint8) | np.uint8(1), reach + SHINGLE)
+                contexts = padded[at[:, None] + SHINGLE + np.arange(width)]
                 for w, context in zip(wanted, contexts, strict=True):
                     part = (name ^ w["at"]) % w["cuts"]
                     raw = context.tobytes()
@@ -264,14 +298,13 @@ def near_passages(
         "key long, i int, j int, home boolean, text_id long, at int, context binary", rows=64,
     )
     cells = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    width = 2 * reach + 1
 
     def run(batches: Batches) -> Batches:
         cell, kept = None, []
 
         def finished() -> pa.RecordBatch:
             merged = pa.Table.from_batches(kept)
-            contexts = np.frombuffer(b"".join(merged.column(6).to_pylist()), np.uint32).reshape(-1, width)
+            contexts = np.frombuffer(b"".join(merged.column(6).to_pylist()), np.uint8).reshape(-1, width)
             return _forest(
                 np.array(merged.column(3).to_pylist(), bool), merged.column(4).to_numpy(),
                 merged.column(5).to_numpy(), contexts, passage_words, similarity,
