@@ -28,21 +28,23 @@ from accesslens.operators.selection import (
 from accesslens.schema import require_columns
 
 REFERRER_COLUMNS = ["timestamp_utc", "referrer_domain", "url"]
-RECENT_LIMIT = 10_000
 ALL = "all"
 
 
-def check_channel(channel: str | None, allow_all: bool = True) -> None:
-    allowed = CHANNELS + [ALL] if allow_all else CHANNELS
-    if channel is not None and channel not in allowed:
+def checked_channel(channel: str | None) -> str:
+    """The channel's name; `None` stands for all."""
+    if channel is None:
+        return ALL
+    if channel not in [*CHANNELS, ALL]:
         raise ValueError(f"unknown channel: {channel}")
+    return channel
 
 
 def latest_rows(
     log: DataFrame,
     start: DateLike | None = None,
     end: DateLike | None = None,
-    limit: int | None = RECENT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Newest requests first: `timestamp_utc, referrer_domain, url`.
 
@@ -81,7 +83,7 @@ def filter_by_channel(
     channel: str | None = None,
 ) -> DataFrame:
     """Rows of the period with their list-based `channel`, optionally of one channel."""
-    check_channel(channel)
+    channel = checked_channel(channel)
     rows = on_dates(log, start, end).withColumn(
         "channel", channel_by_list(F.col("referrer_domain"))
     )
@@ -114,10 +116,10 @@ def referrer_counts(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame
 
 
 def referrer_count(
-    log: DataFrame, start: DateLike, end: DateLike, channel: str = ALL
+    log: DataFrame, start: DateLike, end: DateLike, channel: str | None = ALL
 ) -> DataFrame:
     """`count` of one channel, or of all requests."""
-    check_channel(channel)
+    channel = checked_channel(channel)
     name = "total" if channel == ALL else channel
     return referrer_counts(log, start, end).select(F.col(f"{name}_count").alias("count"))
 
@@ -131,22 +133,22 @@ def daily_referrers(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame
     ).orderBy("visit_date")
 
 
-def channel_series(daily: DataFrame, channel: str = ALL) -> DataFrame:
+def channel_series(daily: DataFrame, channel: str | None = ALL) -> DataFrame:
     """`visit_date, channel, count` from `daily_referrers`: all channels or one."""
-    check_channel(channel)
+    channel = checked_channel(channel)
     chosen = CHANNELS if channel == ALL else [channel]
     wide = daily.select("visit_date", *[F.col(f"{c}_count").alias(c) for c in chosen])
     return wide.unpivot("visit_date", list(chosen), "channel", "count")
 
 
 def top_referrers(
-    log: DataFrame, start: DateLike, end: DateLike, channel: str = ALL, k: int = 10
+    log: DataFrame, start: DateLike, end: DateLike, channel: str | None = ALL, k: int = 10
 ) -> DataFrame:
     """`referrer_domain, count, channel` of the busiest domains.
 
     The channel filter comes after the top-k, so it may leave fewer than `k` rows.
     """
-    check_channel(channel)
+    channel = checked_channel(channel)
     counted = (
         with_referrer(on_dates(log, start, end))
         .groupBy("referrer_domain")

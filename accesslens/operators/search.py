@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from accesslens.functions.display import clock_seconds
 from accesslens.functions.periods import DateLike, as_log_time, dates_within
 
-RESULT_CAP = 1000
 PAGE_SIZE = 10
 
 RESULT_COLUMNS = [
@@ -16,6 +15,10 @@ RESULT_COLUMNS = [
     "user_agent", "user_browser", "user_os", "user_is_mobile", "user_is_bot",
 ]
 SORTABLE = [c for c in RESULT_COLUMNS if c != "user_agent"]
+TIE_COLUMNS = [
+    "ip", "url", "user_agent", "status_code", "geo", "http_method",
+    "user_browser", "user_os", "user_is_mobile", "user_is_bot",
+]
 USER_AGENT_COLUMNS = ["user_browser", "user_os", "user_agent"]
 
 
@@ -62,8 +65,12 @@ def search_columns(rows: DataFrame) -> DataFrame:
 def search_order(column: str | None = None, direction: str = "asc") -> list[Column]:
     """Sort keys: one listed column, else newest first; ties are broken by the others.
 
-    NULLs come first ascending and last descending.
+    All columns of the result are keys, so pages and caps repeat. NULLs come first
+    ascending and last descending. An unlisted column means newest first, any direction
+    but `asc` and `desc` is refused.
     """
+    if direction not in ("asc", "desc"):
+        raise ValueError(f"unknown direction: {direction}")
     newest = F.col("timestamp").desc()
     if column not in SORTABLE:
         keys = [newest]
@@ -72,7 +79,7 @@ def search_order(column: str | None = None, direction: str = "asc") -> list[Colu
         keys = [chosen.desc() if direction == "desc" else chosen.asc()]
         if column != "timestamp":
             keys.append(newest)
-    return keys + [F.col(c).asc() for c in ("ip", "url", "user_agent", "status_code")]
+    return keys + [F.col(c).asc() for c in TIE_COLUMNS]
 
 
 def search(
@@ -80,14 +87,15 @@ def search(
     condition: Column,
     sort_by: str | None = None,
     direction: str = "asc",
-    cap: int = RESULT_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
-    """The first `cap` matches in sort order.
+    """All matches in sort order, or the first `cap` of them.
 
-    Keep the result (`.persist()`) while paging through it: it has at most `cap` rows.
+    A page or a count of the result takes no full sort: `search_page` keeps the rows of
+    the first pages in each task, `page_info` only counts.
     """
-    found = search_columns(log.where(condition))
-    return found.orderBy(*search_order(sort_by, direction)).limit(cap)
+    found = search_columns(log.where(condition)).orderBy(*search_order(sort_by, direction))
+    return found if cap is None else found.limit(cap)
 
 
 def search_page(

@@ -71,7 +71,8 @@ def visitor_counts(
     Visitors with a NULL key part never match and are left out before the shuffle.
 
     With a maintained `first_seen` table (`accesslens.plans.first_seen`) only the
-    period is read, and joined to it.
+    period is read, and joined to it. The table may end inside the period: visitors it
+    doesn't know count by their first visit in the period.
     """
     identified = without_nulls(log, *VISITOR_KEY)
     visit_date = request_date(log)
@@ -85,7 +86,14 @@ def visitor_counts(
         first = settled(first_seen).select(
             *VISITOR_KEY, F.to_date("first_visit_time").alias("first_visit_date")
         )
-        visits = last_visits(identified, start, end).join(first, VISITOR_KEY)
+        visits = (
+            on_dates(identified, start, end)
+            .groupBy(VISITOR_KEY)
+            .agg(F.min(visit_date).alias("first_in_period"), F.max(visit_date).alias("last_visit_date"))
+            .join(first, VISITOR_KEY, "left")
+            # of NULL and a value, the value: visitors that the table doesn't know yet
+            .withColumn("first_visit_date", F.least("first_visit_date", "first_in_period"))
+        )
     return _new_or_returning(visits, "last_visit_date", "first_visit_date")
 
 
@@ -109,8 +117,12 @@ def visitor_counts_24h(
         visits = (
             identified.where(recent)
             .groupBy(VISITOR_KEY)
-            .agg(F.max("timestamp_utc").alias("last_visit_time"))
-            .join(settled(first_seen), VISITOR_KEY)
+            .agg(
+                F.min("timestamp_utc").alias("first_in_period"),
+                F.max("timestamp_utc").alias("last_visit_time"),
+            )
+            .join(settled(first_seen), VISITOR_KEY, "left")
+            .withColumn("first_visit_time", F.least("first_visit_time", "first_in_period"))
         )
     return _new_or_returning(visits, "last_visit_time", "first_visit_time")
 

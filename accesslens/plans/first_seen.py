@@ -29,33 +29,39 @@ def merge_first_seen(first_seen: DataFrame, new_requests: DataFrame) -> DataFram
 def first_seen_additions(first_seen: DataFrame, new_requests: DataFrame) -> DataFrame:
     """Visitors of `new_requests` that are unknown, or known from a later time only.
 
-    Visitors with a NULL key part never match and are added again each time; they
-    are few and the smallest time counts.
+    Visitors with a NULL key part, few rows of both tables, are matched apart: a
+    null-safe join of all visitors could not use the table's buckets.
     """
     known = settled(first_seen).withColumnRenamed("first_visit_time", "known_time")
-    arrivals = first_visit_times(new_requests).join(known, VISITOR_KEY, "left")
+    arrivals = first_visit_times(new_requests)
+    whole = F.lit(True)
+    for column in VISITOR_KEY:
+        whole = whole & F.col(column).isNotNull()
+    found = arrivals.where(whole).join(known.where(whole), VISITOR_KEY, "left")
+    partly, known_partly = arrivals.where(~whole).alias("a"), known.where(~whole).alias("k")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"k.{c}")) for c in VISITOR_KEY]
+    found = found.unionByName(partly.join(known_partly, same, "left").select("a.*", "known_time"))
     earlier = F.col("known_time").isNull() | (F.col("first_visit_time") < F.col("known_time"))
-    return arrivals.where(earlier).drop("known_time")
+    return found.where(earlier).drop("known_time")
 
 
-def save_first_seen(first_seen: DataFrame, table: str, buckets: int | None = None) -> None:
+def save_first_seen(first_seen: DataFrame, table: str, buckets: int) -> None:
     """Save as a new table bucketed by visitor, which later joins need not shuffle.
 
-    `buckets` defaults to the session's number of shuffle partitions: the shuffle
-    that aggregates a period's visits then already matches the table, and the join
-    adds none.
+    With as many buckets as the later jobs' shuffle partitions, the shuffle that
+    aggregates a period's visits matches the table and the join adds none.
     """
     _write(first_seen, table, "error", buckets)
 
 
-def append_first_seen(additions: DataFrame, table: str, buckets: int | None = None) -> None:
-    """Add `first_seen_additions` to the table, which must have as many buckets."""
-    _write(additions, table, "append", buckets)
+def append_first_seen(additions: DataFrame, table: str) -> None:
+    """Add `first_seen_additions` to the table, in as many buckets as it has."""
+    described = additions.sparkSession.sql(f"DESCRIBE EXTENDED {table}")
+    buckets = described.where("col_name = 'Num Buckets'").first().data_type
+    _write(additions, table, "append", int(buckets))
 
 
-def _write(rows: DataFrame, table: str, mode: str, buckets: int | None) -> None:
-    if buckets is None:
-        buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _write(rows: DataFrame, table: str, mode: str, buckets: int) -> None:
     # spread by bucket first: one file per bucket, not one per task and bucket
     (
         rows.repartition(buckets, *VISITOR_KEY)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # UTC because every date and hour of a request is a UTC date and hour; adaptive
@@ -14,11 +12,12 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the most that a shuffle is cut into; adaptive execution merges them by size, and
+    # never splits those of an aggregation
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-SPARK_DEFAULT_PARTITIONS = "200"
-
 
 def spark_session(
     app: str = "accesslens",
@@ -27,30 +26,26 @@ def spark_session(
 ) -> SparkSession:
     """Build a session; `master` stays unset when a cluster launcher supplies it.
 
-    Unless the number of shuffle partitions is given, it becomes three per core of
-    the cluster: enough for the largest shuffle (distinct visitors of all history),
-    while adaptive execution merges the partitions of small ones.
+    Given the number of shuffle partitions, shuffles are cut into just so many. Else they
+    start from many small ones, whatever the cores at the start, and are merged by size.
     """
+    settings = settings or {}
+    if "spark.sql.shuffle.partitions" in settings:
+        settings = {
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": settings["spark.sql.shuffle.partitions"],
+            **settings,
+        }
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **(settings or {})}.items():
+    for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    if spark.conf.get("spark.sql.shuffle.partitions") == SPARK_DEFAULT_PARTITIONS:
-        cores = spark.sparkContext.defaultParallelism
-        spark.conf.set("spark.sql.shuffle.partitions", str(3 * cores))
-    return spark
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it in `spark.checkpoint.dir`.
-
-    Only a single-machine session may fall back to a fresh temporary folder.
-    """
+    """Folder every executor can reach: `spark.checkpoint.dir`, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by the executors")
-    return tempfile.mkdtemp(prefix="accesslens-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"

@@ -46,7 +46,7 @@ def run_sql(
     return result if limit is None else result.limit(limit)
 
 
-def sample_rows(log: DataFrame, limit: int = 1000) -> DataFrame:
+def sample_rows(log: DataFrame, limit: int) -> DataFrame:
     """Any `limit` rows."""
     return log.limit(limit)
 

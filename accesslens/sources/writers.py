@@ -35,5 +35,5 @@ def write_log(log: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def as_records(df: DataFrame) -> DataFrame:
-    """One JSON object per row, in column `record`."""
-    return df.select(F.to_json(F.struct("*")).alias("record"))
+    """One JSON object per row, in column `record`; NULL fields keep their key."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))

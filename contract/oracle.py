@@ -149,10 +149,7 @@ spine AS (SELECT CAST(range AS INTEGER) AS hour FROM range(24))
 """
 _CLASS_NAMES = ["1xx", "2xx", "3xx", "4xx", "5xx"]
 
-LATEST = (
-    "latest AS (SELECT timestamp_utc, referrer_domain, url FROM weblog"
-    " ORDER BY timestamp_utc DESC, referrer_domain NULLS FIRST, url NULLS FIRST LIMIT 10000)"
-)
+LATEST = "latest AS (SELECT timestamp_utc, referrer_domain, url FROM weblog)"
 FIRST_EVER = "f AS (SELECT ip, user_agent, min(timestamp_utc) AS first_time FROM weblog GROUP BY ip, user_agent)"
 ENVIRONMENT = f"""
 d AS (SELECT DISTINCT ip, user_agent, user_is_mobile, user_browser, user_os FROM weblog WHERE {PERIOD} {{}}),
@@ -170,17 +167,21 @@ SEARCH_TIME = (
     "timestamp_utc >= TIMESTAMP '2024-01-05 06:30:00'"
     " AND timestamp_utc <= TIMESTAMP '2024-01-25 18:15:59.999999'"
 )
-SEARCH_TIES = "timestamp DESC NULLS LAST, ip NULLS FIRST, url NULLS FIRST, user_agent NULLS FIRST, status_code NULLS FIRST"
+SEARCH_TIES = (
+    "timestamp DESC NULLS LAST, ip NULLS FIRST, url NULLS FIRST, user_agent NULLS FIRST, status_code NULLS FIRST,"
+    " geo NULLS FIRST, http_method NULLS FIRST, user_browser NULLS FIRST, user_os NULLS FIRST,"
+    " user_is_mobile NULLS FIRST, user_is_bot NULLS FIRST"
+)
 
 
 def _agent(term: str) -> str:
     return f"(user_browser ILIKE '%{term}%' OR user_os ILIKE '%{term}%' OR user_agent ILIKE '%{term}%')"
 
 
-def _found(where: str = "true", order: str = "") -> str:
+def _found(where: str = "true", order: str = "", cap: int | None = None) -> str:
     return (
         f"found AS (SELECT {SEARCH_ROWS} FROM weblog WHERE {SEARCH_TIME} AND {where}"
-        f" ORDER BY {order}{SEARCH_TIES} LIMIT 1000)"
+        f" ORDER BY {order}{SEARCH_TIES}{f' LIMIT {cap}' if cap else ''})"
     )
 
 
@@ -295,7 +296,7 @@ def _cells(template: str) -> str:
 
 ORACLE_SQL: dict[str, str] = {
     # sources and sinks
-    "a1_run_sql": _sql(f"{PER_DAY} ORDER BY day LIMIT 10"),
+    "a1_run_sql": _sql(PER_DAY),
     "a3_open_table": _sql(f"SELECT http_method, {HITS} AS count FROM weblog GROUP BY http_method"),
     "a4_full_scan": _sql("SELECT * FROM weblog"),
     "a5_read_cities": _sql(
@@ -303,21 +304,27 @@ ORACLE_SQL: dict[str, str] = {
         " count(DISTINCT day) * CAST(-2.5 AS DOUBLE) AS lng FROM base WHERE city IS NOT NULL GROUP BY city, country",
         CUBE,
     ),
-    "a6_latest_rows": _sql("SELECT * FROM latest", LATEST),
+    "a2_sample_rows": _sql(
+        "SELECT least(count(*), 1000) AS n_rows, least(count(*), 1000) AS n_known FROM weblog"
+    ),
+    "a6_latest_rows": _sql(
+        "SELECT * FROM latest ORDER BY timestamp_utc DESC, referrer_domain NULLS FIRST, url NULLS FIRST LIMIT 10000",
+        LATEST,
+    ),
     "a6_latest_rows_period": _sql(f"SELECT timestamp_utc, referrer_domain, url FROM weblog WHERE {PERIOD}"),
     "a7_export_records": _sql(
         "SELECT '{\"day\":\"' || day || '\",\"traffic_sum\":' || traffic_sum || '}' AS record FROM (" + PER_DAY + ")"
     ),
+    "a7_export_records_nulls": _sql(
+        "SELECT '{\"ip\":' || coalesce('\"' || ip || '\"', 'null') || ',\"user_os\":' || coalesce('\"' || user_os || '\"', 'null')"
+        " || ',\"status_code\":' || coalesce(CAST(status_code AS VARCHAR), 'null') || '}' AS record FROM weblog"
+    ),
     "a7_written_log": _sql(f"SELECT * FROM weblog WHERE {PERIOD}"),
     # date discovery, filters, projections
     "r1_log_dates": _sql("SELECT DISTINCT CAST(timestamp_utc AS DATE) AS date FROM weblog"),
     "r1_default_dates": _sql(
         "SELECT min(CAST(timestamp_utc AS DATE)) AS min_date, max(CAST(timestamp_utc AS DATE)) AS max_date FROM weblog"
     ),
-    "r1_default_dates_empty": _sql(
-        "SELECT coalesce(min(day), DATE '2019-01-01') AS min_date, coalesce(max(day), DATE '2024-02-01') AS max_date"
-        " FROM weblog WHERE day <= DATE '1999-12-31'"
-    ),
     "r2_date_range": _sql(
         "SELECT min(CAST(timestamp_utc AS DATE)) AS min_date, max(CAST(timestamp_utc AS DATE)) AS max_date FROM weblog"
     ),
@@ -385,6 +392,8 @@ ORACLE_SQL: dict[str, str] = {
     "v3_from_first_seen": PERIOD_VISITORS,
     "v4_visitor_counts_24h": RECENT_VISITORS,
     "v4_from_first_seen": RECENT_VISITORS,
+    "v3_from_stale_first_seen": PERIOD_VISITORS,
+    "v4_from_stale_first_seen": RECENT_VISITORS,
     "v5_visitors_by_device": _sql(
         f"SELECT {HITS} AS total_visitors, {_named('user_is_mobile', 'mobile_visitors')},"
         f" {_named('NOT user_is_mobile', 'desktop_visitors')}"
@@ -590,11 +599,10 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT * FROM found", _found(_agent("Windows"), "status_code ASC NULLS FIRST, ")
     ),
     "l3_unknown_column": _sql("SELECT * FROM found", _found("geo ILIKE '%germany%'")),
-    "l4_capped_search": _sql("SELECT * FROM found", _found()),
+    "l4_capped_search": _sql("SELECT * FROM found", _found(cap=1000)),
     "l5_page": _sql(_page(3, 10), _found(_agent("chrome"))),
     "l5_last_page": _sql(_page(6, 150), _found()),
     "l5_page_info": _sql(_info(3, 10), _found(_agent("chrome"))),
-    "l5_page_info_empty": _sql(_info(0, 10), _found("ip ILIKE '%no such ip%'")),
     "l6_displayed": _sql(
         f"SELECT * REPLACE (strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp) FROM ({_page(0, 50)})",
         _found("geo ILIKE '%iran%'"),

@@ -111,8 +111,9 @@ def test_top_k_never_sorts_everything(log):
     for df in (
         referrers.top_referrers(log, *PERIOD),
         referrers.top_paths(log, *PERIOD),
-        referrers.latest_rows(log),
-        search.search(log, search.search_condition(log, *PERIOD, geo="iran")),
+        referrers.latest_rows(log, limit=10_000),
+        search.search(log, search.search_condition(log, *PERIOD, geo="iran"), cap=1000),
+        search.search_page(search.search(log, search.search_condition(log, *PERIOD, geo="iran")), 3),
         statuses.error_ips(log, *PERIOD, "4xx").drop("rank"),
         visitors.browser_distribution(visitors.environment_stats(log, *PERIOD)),
     ):
@@ -174,6 +175,6 @@ STREAMED = {"s1_streamed_hourly_counts"}
 
 @pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - STREAMED))
 def test_no_python_no_cross_join(production, name):
-    plan = final_plan(entry_module.queries()[name](production, SF))
+    plan = final_plan(entry_module.QUERIES[name](production, SF))
     for unwanted in ("Python", "ArrowEval", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert unwanted not in plan

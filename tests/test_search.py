@@ -78,5 +78,8 @@ def test_cap_and_pages(make_log):
     assert tuples(search.search_page(result, 9)) == []
     ascending = search.search_page(result, 0, 2, "ip", "asc")
     assert [r.ip for r in ascending.collect()] == ["02", "03"]
+    assert tuples(search.page_info(search.search(log, condition), 2)) == [(25, 21, 25, 3)]
+    with pytest.raises(ValueError):
+        search.search(log, condition, "ip", "downwards")
     empty = search.search(log, search.search_condition(log, *PERIOD, ip="none"))
     assert tuples(search.page_info(empty, 0)) == [(0, 0, 0, 0)]
