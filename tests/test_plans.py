@@ -6,13 +6,13 @@ import pytest
 from conftest import executed_plan, final_plan
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_module
 from accesslens.functions.periods import latest_timestamp
 from accesslens.operators import geography, referrers, search, selection, statuses, traffic, visitors
 from accesslens.plans import views
 from accesslens.sources.readers import open_log
 from accesslens.sources.writers import write_log
 from contract import fixture
+from contract.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 PERIOD = ("2024-01-05", "2024-01-25")
@@ -173,7 +173,7 @@ def test_lookups_are_broadcast_by_size_only(log, production):
 STREAMED = {"s1_streamed_hourly_counts"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_module.queries()) - STREAMED))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMED))
 def test_no_python_no_cross_join(production, name):
     plan = final_plan(entry_module.QUERIES[name](production, SF))
     for unwanted in ("Python", "ArrowEval", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
