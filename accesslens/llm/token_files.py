@@ -21,13 +21,16 @@ worker that opens files of its own could not. `<path>/code` holds id and code le
 
 from __future__ import annotations
 
+import re
 import uuid
+from array import array
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -42,31 +45,48 @@ BLOCK_IDS, STRIDE = 1 << 17, 128
 CACHE_CHUNKS, CACHE_CHARS = 300_000, 64
 
 
+# fixed values: characters between which the tokenizers always cut
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_MARK = "!-&(-/:-@\\[-`{-~"
+_CUTS = re.compile(f"[ \n]+|(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[{_MARK}])(?=[{_LETTER}])")
+
+
 class Encoder:
     """Ids as `encode` of the library gives them for whole texts.
 
-    Its tokenizers drop or split at white space before anything else, so the stretches
-    between plain spaces and line ends are independent and encoded once each.
+    Its tokenizers drop or split at white space before anything else, and part letters
+    from marks (all but the apostrophe of contractions), so the stretches between such
+    cuts are independent and encoded once each.
     """
 
     def __init__(self, tokenizer_path: str):
         self.library = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, np.ndarray] = {}
+        #: texts that hold one of these are encoded whole
+        self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        #: ids of each stretch as uint32 bytes, which join fast
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        whole = {}
+        for k, text in enumerate(texts):
+            lowered = text.lower()
+            if any(s in lowered for s in self.special):
+                whole[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        split = [_CUTS.split(t) if k not in whole else [] for k, t in enumerate(texts)]
         used = set().union(*split)
         new = list(used.difference(self.known))
         coded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        learnt = {chunk: tuple(e.ids) for chunk, e in zip(new, coded, strict=True)}
+        learnt = {chunk: array("I", e.ids).tobytes() for chunk, e in zip(new, coded, strict=True)}
         if len(self.known) + len(learnt) > CACHE_CHUNKS:
             self.known = {c: self.known[c] for c in used.intersection(self.known)}
         self.known.update(learnt)
         get = self.known.__getitem__
-        out = [np.fromiter(chain.from_iterable(map(get, chunks)), np.uint32) for chunks in split]
+        out = [np.frombuffer(b"".join(map(get, chunks)), np.uint32) for chunks in split]
         for chunk in new:
             if len(chunk) > CACHE_CHARS:
                 del self.known[chunk]
+        for k, ids in whole.items():
+            out[k] = ids
         return out
 
 
@@ -80,23 +100,30 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def id_counts(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text") -> DataFrame:
-    """`id`, `n` over all documents, the end id included; summed in each task first."""
+def id_counts(encoded: DataFrame) -> DataFrame:
+    """`id`, `n` over all blocks of ids; summed in each task first."""
     out = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Batches) -> Batches:
-        model = encoder(tokenizer_path)
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = model.encode(batch.column(0).to_pylist())
-            n = np.bincount(np.concatenate([*ids, np.full(len(ids), end_id, np.uint32)]))
-            total = np.pad(total, (0, max(0, len(n) - len(total))))
-            total[: len(n)] += n
+            for raw in batch.column(0).to_pylist():
+                n = np.bincount(_ids(raw))
+                total = np.pad(total, (0, max(0, len(n) - len(total))))
+                total[: len(n)] += n
         used = np.flatnonzero(total)
         yield record(out, used.astype(np.int32), total[used])
 
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return texts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def _raw(ids: np.ndarray) -> bytes:
+    """Ids as they wait for their code: compressed 32-bit numbers."""
+    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4").tobytes())
+
+
+def _ids(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u4")
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -203,6 +230,8 @@ _BLOCKS = pa.schema(
 _BLOCKS_SCHEMA = (
     "shard int, before long, doc_ids array<long>, n_tokens array<long>, checkpoints binary, payload binary"
 )
+_ENCODED = pa.schema([*list(_BLOCKS)[:4], ("ids", pa.binary())])
+_ENCODED_SCHEMA = "shard int, before long, doc_ids array<long>, n_tokens array<long>, ids binary"
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
 
@@ -223,14 +252,6 @@ def write_token_files(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    counted = id_counts(docs, tokenizer_path, end_id, text_col).collect()
-    counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)
-    for r in counted:
-        counts[r.id] = r.n
-    code = Code(code_lengths(counts))
-    known = pd.DataFrame({"id": np.flatnonzero(code.lengths), "bits": code.lengths[code.lengths > 0].astype(np.int64)})
-    spark.createDataFrame(known, "id long, bits long").write.parquet(f"{path}/code")
-
     texts = identified(docs, id_col, text_col).select(F.col("id").cast("long"), key_column("id").alias("key"), "text")
     shards = Shards.of(texts.select("key"), rows_per_shard)
     in_order = (
@@ -238,16 +259,14 @@ def write_token_files(
         .repartition(shards.count, "shard")
         .sortWithinPartitions("shard", "key", "text")
     )
-    shared = spark.sparkContext.broadcast(code)
 
     def run(batches: Batches) -> Batches:
-        model, codes, lengths = encoder(tokenizer_path), shared.value.codes(), shared.value.lengths
+        model = encoder(tokenizer_path)
         shard, before, doc_ids, held, size = None, 0, [], [], 0
 
         def block() -> pa.RecordBatch:
-            payload, checkpoints = packed(np.concatenate(held), codes, lengths)
             sizes = [len(ids) for ids in held]
-            return record(_BLOCKS, [shard], [before], [doc_ids], [sizes], [checkpoints], [payload])
+            return record(_ENCODED, [shard], [before], [doc_ids], [sizes], [_raw(np.concatenate(held))])
 
         for batch in batches:
             coded = model.encode(batch.column(2).to_pylist())
@@ -265,8 +284,28 @@ def write_token_files(
         if held:
             yield block()
 
-    blocks = in_order.select("shard", "id", "text").mapInArrow(run, _BLOCKS_SCHEMA)
+    # read twice, for the counts and for the files; lost parts are encoded again
+    encoded = in_order.select("shard", "id", "text").mapInArrow(run, _ENCODED_SCHEMA)
+    encoded = encoded.persist(StorageLevel.DISK_ONLY)
+    counted = id_counts(encoded).collect()
+    counts = np.zeros(max((r.id for r in counted), default=0) + 1, np.int64)
+    for r in counted:
+        counts[r.id] = r.n
+    code = Code(code_lengths(counts))
+    known = pd.DataFrame({"id": np.flatnonzero(code.lengths), "bits": code.lengths[code.lengths > 0].astype(np.int64)})
+    spark.createDataFrame(known, "id long, bits long").write.parquet(f"{path}/code")
+    shared = spark.sparkContext.broadcast(code)
+
+    def pack(batches: Batches) -> Batches:
+        codes, lengths = shared.value.codes(), shared.value.lengths
+        for batch in batches:
+            done = [packed(_ids(raw), codes, lengths) for raw in batch.column(4).to_pylist()]
+            payloads, checkpoints = [d[0] for d in done], [d[1] for d in done]
+            yield record(_BLOCKS, *batch.columns[:4], checkpoints, payloads)
+
+    blocks = encoded.mapInArrow(pack, _BLOCKS_SCHEMA)
     blocks.write.partitionBy("shard").parquet(f"{path}/blocks")
+    encoded.unpersist()
     _shard_starts(spark, path).write.parquet(f"{path}/shards")
 
 

@@ -23,8 +23,9 @@ def test_query_against_the_library(spark):
 
 def test_chunks_encode_as_whole_texts():
     random.seed(3)
-    some = "ab 'S\n\t ,é①漢🙂́\x1c\x85 ſK9<|endoftext|>"
+    some = "ab 'S.;\"<>\n\t ,é①漢🙂\u0301\u0338\x1c\x85 ſK9×÷²<|endoftext|>"
     texts = ["".join(random.choices(some, k=random.randint(0, 40))) for _ in range(3000)]
+    texts += ["a<|endoftext|>b", " <|ENDoftext|> x", "<|startoftext|>"]
     library = Tokenizer.from_file(WORD_TOKENIZER)
     ours = t.Encoder(WORD_TOKENIZER).encode(texts)
     for text, ids, theirs in zip(texts, ours, library.encode_batch(texts, add_special_tokens=False)):
