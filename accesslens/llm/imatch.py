@@ -204,7 +204,7 @@ def edit_likeness(
     borders = F.broadcast(spark.createDataFrame(follows, "key long, shard int"))
     copies = texts.join(borders, "key").select("id", "key", "text", "shard", F.lit(True).alias("copy"))
     placed = dealt.withColumn("copy", F.lit(False)).union(copies)
-    in_order = placed.repartition(shards.count, "shard").sortWithinPartitions(
+    in_order = placed.repartitionById(shards.count, F.col("shard")).sortWithinPartitions(
         "shard", "copy", F.desc("key"), F.desc("text")
     )
     shared = spark.sparkContext.broadcast(lexicon)

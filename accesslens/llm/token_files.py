@@ -21,6 +21,7 @@ worker that opens files of its own could not. `<path>/code` holds id and code le
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from array import array
@@ -60,6 +61,8 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_path: str):
+        # Spark runs a worker per core; the library's own threads would only contend
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(tokenizer_path)
         #: texts that hold one of these are encoded whole
         self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
@@ -256,7 +259,7 @@ def write_token_files(
     shards = Shards.of(texts.select("key"), rows_per_shard)
     in_order = (
         texts.withColumn("shard", shards.column(F.col("key")))
-        .repartition(shards.count, "shard")
+        .repartitionById(shards.count, F.col("shard"))
         .sortWithinPartitions("shard", "key", "text")
     )
 
