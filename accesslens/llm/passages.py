@@ -39,6 +39,8 @@ KEY_WORDS = 3
 SLACK = 2
 #: Most windows on either side of a cell.
 CELL = 1024
+#: Rows of the cells that are compared together, about, and pairs compared at once.
+CELLS_ROWS, PAIRS = 8192, 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WINDOWS = pa.schema([("key", pa.int64()), ("around", pa.int64()), ("text_id", pa.int64()), ("at", pa.int32())])
@@ -204,53 +206,94 @@ def text_ids(texts: DataFrame) -> DataFrame:
     return arrow_map(texts.select(F.col("id").cast("long"), "row_key", "text"), start, schema)
 
 
-def _near(one: np.ndarray, others: np.ndarray, passage_words: int, similarity: float) -> tuple:
-    """Which contexts hold a passage near one of `one`, and where in `one`'s shingles.
+def _near(ones: np.ndarray, others: np.ndarray, passage_words: int, similarity: float) -> tuple:
+    """Which pairs of contexts hold near passages, and where: first and last shingle.
 
-    Contexts have a byte per word, so a shingle compares 40 bits. Shingles match at the
-    same place or up to SLACK words aside. A passage is a stretch
-    of the least length over the common token, in which the matched shingles m of each
-    side reach the Jaccard similarity: m / (2 * length - m).
+    Contexts are columns with a byte per word, so a shingle compares 40 bits; equal bytes
+    match, which those past the ends of a text never are. Shingles match at the same place
+    or up to SLACK words aside. A passage is a stretch of the least length over the common
+    token, in which the matched shingles m of either side reach the Jaccard similarity:
+    m / (2 * length - m).
     """
     length = passage_words - SHINGLE + 1
-    size = len(one) - SHINGLE + 1
-    matched = np.zeros((len(others), size), bool)
+    size = len(ones) - SHINGLE + 1
+    matched = np.zeros((2, size, ones.shape[1]), bool)
     for shift in range(-SLACK, SLACK + 1):
         a, b = max(0, -shift), max(0, shift)
-        n = len(one) - abs(shift)
-        same = (one[a : a + n] == others[:, b : b + n]) & (one[a : a + n] != 0)
-        runs = same[:, : n - SHINGLE + 1].copy()
+        n = len(ones) - abs(shift)
+        same = ones[a : a + n] == others[b : b + n]
+        runs = same[: n - SHINGLE + 1].copy()
         for k in range(1, SHINGLE):
-            runs &= same[:, k : n - SHINGLE + 1 + k]
-        matched[:, a : a + runs.shape[1]] |= runs
-    total = np.cumsum(np.pad(matched, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
+            runs &= same[k : n - SHINGLE + 1 + k]
+        matched[0, a : a + len(runs)] |= runs
+        matched[1, b : b + len(runs)] |= runs
+    total = np.cumsum(np.pad(matched, ((0, 0), (1, 0), (0, 0))), axis=1, dtype=np.int16)
     stretch = total[:, length:] - total[:, :-length]
     enough = stretch >= 2 * length * similarity / (1 + similarity) - 1e-9
-    return enough.any(1), enough.argmax(1), enough.shape[1] - 1 - enough[:, ::-1].argmax(1) + length
+    sides = enough.any(1)
+    near = np.flatnonzero(sides.any(0))
+    found = enough[np.where(sides[0, near], 0, 1), :, near]
+    return near, found.argmax(1), found.shape[1] - 1 - found[:, ::-1].argmax(1) + length
 
 
-def _forest(side: np.ndarray, names: np.ndarray, places: np.ndarray, contexts: np.ndarray, passage_words: int, similarity: float) -> pa.RecordBatch:
-    """Links that join what the near passages of one cell join, with each end's stretch."""
-    rows, first, last, other = [], [], [], []
-    label = np.arange(len(names))
-    homes, queries = np.flatnonzero(side), np.arange(len(names))
+def _forests(
+    cell: np.ndarray, home: np.ndarray, names: np.ndarray, places: np.ndarray, contexts: np.ndarray,
+    passage_words: int, similarity: float,
+) -> pa.RecordBatch:
+    """Links that join what the near passages of each cell join, with each end's stretch.
+
+    In a cell of homes alone each row meets the later ones, else each home the others. A
+    round compares one home of every cell with the rows not yet joined to it.
+    """
+    order = np.lexsort((~home, cell))
+    cell, home, names, places = cell[order], home[order], names[order], places[order]
+    ones = contexts[order].T.copy()
+    # words are odd bytes and the space past an end is zero
+    others = ones + (ones == 0) * np.uint8(2)
+    start = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
+    end = np.r_[start[1:], len(cell)]
+    homes_end = start + np.add.reduceat(home.astype(np.int64), start)
+    alone = homes_end == end
+    label, at, groups = np.arange(len(cell)), start.copy(), end - start
     reach = passage_words - 1
-    for h in homes.tolist():
-        open_ = queries[label[queries] != label[h]]
-        if not len(open_):
-            continue
-        near, a, b = _near(contexts[h], contexts[open_], passage_words, similarity)
-        for k in np.flatnonzero(near).tolist():
-            q = int(open_[k])
-            for end in (h, q):
-                begin = int(places[end]) - reach + int(a[k])
-                rows.append(int(names[end]))
-                other.append(int(names[q if end == h else h]))
-                first.append(max(0, begin))
-                last.append(int(places[end]) - reach + int(b[k]) + SHINGLE - 1)
-        touched = np.unique(label[open_[near]])
-        label[np.isin(label, touched)] = label[h]
-    return record(_LINKS, rows, other, first, last)
+    out = []
+    while True:
+        live = np.flatnonzero((groups > 1) & (at < np.where(alone, end - 1, homes_end)))
+        if not len(live):
+            break
+        begin = np.where(alone[live], at[live] + 1, homes_end[live])
+        count = end[live] - begin
+        h = np.repeat(at[live], count)
+        q = np.repeat(begin, count) + np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+        of = np.repeat(live, count)
+        open_ = label[h] != label[q]
+        h, q, of = h[open_], q[open_], of[open_]
+        linked = []
+        for k in range(0, len(h), PAIRS):
+            near, first, last = _near(
+                ones[:, h[k : k + PAIRS]], others[:, q[k : k + PAIRS]], passage_words, similarity
+            )
+            linked.append(near + k)
+            hs, qs = h[near + k], q[near + k]
+            for a, b in ((hs, qs), (qs, hs)):
+                base = places[a] - reach
+                out.append((names[a], names[b], np.maximum(0, base + first), base + last + SHINGLE - 1))
+        linked = np.concatenate(linked) if linked else np.zeros(0, np.int64)
+        if len(linked):
+            moved = np.arange(len(cell))
+            gone, where = np.unique(label[q[linked]], return_index=True)
+            moved[gone] = label[h[linked[where]]]
+            label = moved[label]
+            np.subtract.at(groups, of[linked[where]], 1)
+        at[live] += 1
+    if not out:
+        return record(_LINKS, [], [], [], [])
+    rows, other, first, last = map(np.concatenate, zip(*out, strict=True))
+    return record(_LINKS, rows, other, first.astype(np.int32), last.astype(np.int32))
+
+
+def _cell_ids(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
 
 
 def near_passages(
@@ -300,27 +343,35 @@ def near_passages(
     cells = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Batches) -> Batches:
-        cell, kept = None, []
+        # whole cells go together until they hold enough rows
+        kept: list[pa.RecordBatch] = []
+        rows, last = 0, None
 
         def finished() -> pa.RecordBatch:
             merged = pa.Table.from_batches(kept)
+            ids = _cell_ids(merged)
+            cell = np.cumsum(np.r_[0, (np.diff(ids, axis=0) != 0).any(1)])
             contexts = np.frombuffer(b"".join(merged.column(6).to_pylist()), np.uint8).reshape(-1, width)
-            return _forest(
-                np.array(merged.column(3).to_pylist(), bool), merged.column(4).to_numpy(),
-                merged.column(5).to_numpy(), contexts, passage_words, similarity,
+            home = merged.column(3).to_numpy()
+            return _forests(
+                cell, home, merged.column(4).to_numpy(), merged.column(5).to_numpy().astype(np.int64), contexts,
+                passage_words, similarity,
             )
 
         for batch in batches:
-            ids = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
-            breaks = np.flatnonzero((np.diff(ids, axis=0) != 0).any(1)) + 1
-            for a, b in zip(np.r_[0, breaks], np.r_[breaks, len(ids)], strict=True):
-                if a == b:
-                    continue
-                if kept and tuple(ids[a]) != cell:
+            if not batch.num_rows:
+                continue
+            ids = _cell_ids(batch)
+            if rows >= CELLS_ROWS:
+                joined = ids if last is None else np.r_[last[None], ids]
+                breaks = np.flatnonzero((np.diff(joined, axis=0) != 0).any(1))
+                if len(breaks):
+                    kept.append(batch.slice(0, breaks[0]))
                     yield finished()
-                    kept = []
-                cell = tuple(ids[a])
-                kept.append(batch.slice(a, b - a))
+                    batch = batch.slice(breaks[0])
+                    kept, rows = [], 0
+            kept.append(batch)
+            rows, last = rows + batch.num_rows, ids[-1]
         if kept:
             yield finished()
 
