@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.llm.shared import checkpointed
+from accesslens.llm.shared import stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,17 +14,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links may repeat and point either way; loops and links with a NULL end are
     ignored. Each round every node hangs its larger neighbours under its smallest one,
     then its smaller neighbours, until only stars are left (a logarithmic number of
-    rounds). Rounds are cut by checkpoints; nothing but two sums reaches the driver.
+    rounds). Rounds are cut by written tables; nothing but two sums reaches the driver.
     """
     edges = (
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
         .distinct()
     )
-    edges = checkpointed(edges)
+    edges = stored(edges)
     state = _digest(edges)
     while True:
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = stored(_small_star(_large_star(edges)))
         before, state = state, _digest(edges)
         if state == before:
             break

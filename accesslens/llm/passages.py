@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.llm.components import components
-from accesslens.llm.shared import Batches, arrow_map, checkpointed, identified, record, row_key, small_batches
+from accesslens.llm.shared import Batches, arrow_map, identified, record, row_key, small_batches, stored
 
 SHINGLE = 5
 #: Words of the shortest passage, and the similarity of shingle sets that links.
@@ -242,8 +242,8 @@ def _forests(
 ) -> pa.RecordBatch:
     """Links that join what the near passages of each cell join, with each end's stretch.
 
-    In a cell of homes alone each row meets the later ones, else each home the others. A
-    round compares one home of every cell with the rows not yet joined to it.
+    A round compares one home of every cell with the later rows not yet joined to it,
+    homes before the others: so a group of copies joins in its first round.
     """
     order = np.lexsort((~home, cell))
     cell, home, names, places = cell[order], home[order], names[order], places[order]
@@ -253,15 +253,14 @@ def _forests(
     start = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
     end = np.r_[start[1:], len(cell)]
     homes_end = start + np.add.reduceat(home.astype(np.int64), start)
-    alone = homes_end == end
     label, at, groups = np.arange(len(cell)), start.copy(), end - start
     reach = passage_words - 1
     out = []
     while True:
-        live = np.flatnonzero((groups > 1) & (at < np.where(alone, end - 1, homes_end)))
+        live = np.flatnonzero((groups > 1) & (at < np.minimum(homes_end, end - 1)))
         if not len(live):
             break
-        begin = np.where(alone[live], at[live] + 1, homes_end[live])
+        begin = at[live] + 1
         count = end[live] - begin
         h = np.repeat(at[live], count)
         q = np.repeat(begin, count) + np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
@@ -275,9 +274,11 @@ def _forests(
             )
             linked.append(near + k)
             hs, qs = h[near + k], q[near + k]
-            for a, b in ((hs, qs), (qs, hs)):
+            # a home's own stretches need no second link
+            own = np.unique(np.stack([hs, first, last]), axis=1)
+            for a, b, begin, finish in ((qs, hs, first, last), (own[0], own[0], own[1], own[2])):
                 base = places[a] - reach
-                out.append((names[a], names[b], np.maximum(0, base + first), base + last + SHINGLE - 1))
+                out.append((names[a], names[b], np.maximum(0, base + begin), base + finish + SHINGLE - 1))
         linked = np.concatenate(linked) if linked else np.zeros(0, np.int64)
         if len(linked):
             moved = np.arange(len(cell))
@@ -398,13 +399,13 @@ def repeated_passages(
     spark = docs.sparkSession
     small_batches(spark)
     texts = identified(docs, id_col, text_col).withColumn("row_key", row_key("id", "text"))
-    rows = checkpointed(text_ids(texts))
+    rows = stored(text_ids(texts))
     by_text = rows.groupBy("text_id").agg(
         F.min("doc_id").alias("low"), F.count("*").alias("n"), F.max("n_words").alias("n_words")
     )
     found = windows(texts, passage_words, hashes)
     shared = found.groupBy("key").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a != b")
-    met = checkpointed(found.join(shared.select("key"), "key").distinct())
+    met = stored(found.join(shared.select("key"), "key").distinct())
     classes = met.groupBy("key", "around").agg(
         F.min(F.struct("text_id", "at")).alias("one"), F.max("text_id").alias("high")
     )
@@ -420,7 +421,7 @@ def repeated_passages(
     one_text = rows.groupBy("text_id").agg(F.min("row_key").alias("row_key"))
     first_texts = texts.select("row_key", "text").join(one_text, "row_key").dropDuplicates(["row_key"])
     near = near_passages(candidates, first_texts, passage_words, similarity)
-    links = checkpointed(same.union(near))
+    links = stored(same.union(near))
     roots = components(links)
     placed = by_text.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").select(
         "text_id", "low", "n", "n_words", F.coalesce("root", "text_id").alias("class")
