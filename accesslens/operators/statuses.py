@@ -159,10 +159,12 @@ def available_classes(groups: DataFrame) -> DataFrame:
 def _per_error_ip(log: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
     """`keys, ip, request_count, geo`, with the smallest `geo` of each IP.
 
-    Any of an IP's places would do; the smallest makes the result repeatable.
+    Any of an IP's places would do; the smallest makes the result repeatable. Requests
+    are counted per place by hash; only those few counts are sorted for the smallest text.
     """
-    return rows.groupBy(*keys, "ip").agg(
-        hits(log).alias("request_count"), F.min("geo").alias("geo")
+    places = rows.groupBy(*keys, "ip", "geo").agg(hits(log).alias("place_count"))
+    return places.groupBy(*keys, "ip").agg(
+        F.sum("place_count").alias("request_count"), F.min("geo").alias("geo")
     )
 
 

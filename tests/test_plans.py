@@ -140,7 +140,8 @@ def test_requests_are_combined_before_every_shuffle(log):
         (traffic.unique_users_per_day(log, *PERIOD), r"HashAggregate\(keys=\[day#\d+, ip"),
         (referrers.channel_distribution(log, *PERIOD), "partial_count"),
         (geography.geo_cube(log), "partial_count"),
-        (statuses.error_ips(log, *PERIOD, "4xx"), "partial_count"),
+        (statuses.error_ips(log, *PERIOD, "4xx"), r"HashAggregate\(keys=\[ip#\d+, geo#\d+\], functions=\[partial_count"),
+        (statuses.error_ips_by_class(log, *PERIOD), r"HashAggregate\(keys=\[\w+#\d+, ip#\d+, geo#\d+\], functions=\[partial_count"),
     ):
         plan = final_plan(df)
         below_first_shuffle = plan[plan.rindex("Exchange hashpartitioning"):]
