@@ -176,6 +176,6 @@ STREAMED = {"s1_streamed_hourly_counts"}
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - STREAMED))
 def test_no_python_no_cross_join(production, name):
-    plan = final_plan(entry_module.QUERIES[name](production, SF))
+    plan = final_plan(QUERIES[name](production, SF))
     for unwanted in ("Python", "ArrowEval", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert unwanted not in plan
