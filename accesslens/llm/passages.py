@@ -30,11 +30,8 @@ from accesslens.llm.shared import Batches, arrow_map, identified, record, row_ke
 SHINGLE = 5
 #: Words of the shortest passage, and the similarity of shingle sets that links.
 PASSAGE_WORDS, SIMILARITY = 50, 0.8
-#: A passage of similarity 0.8 misses all of these with probability 0.2 ** 3.
-HASHES = 3
-#: Words after a min-hash's shingle that must agree too. Five common words in a row occur
-#: by chance, eight hardly; a near passage loses 3 of its 46 shingles by this.
-KEY_WORDS = 3
+#: A passage of similarity 0.8 misses all of these with probability 0.2 ** 6.
+HASHES = 6
 #: Words inserted or dropped that the comparison looks past.
 SLACK = 2
 #: Most windows on either side of a cell.
@@ -152,8 +149,8 @@ class Stretches:
 def windows(texts: DataFrame, passage_words: int, hashes: int) -> DataFrame:
     """`key`, `around`, `text_id`, `at` of the compact windows of all texts.
 
-    `key` names hash function, min-hash and the words that follow it, `around` the words
-    of the window within a passage's length of its token.
+    `key` names hash function and min-hash, so the windows of equal runs always share one;
+    `around` names the words of the window within a passage's length of its token.
     """
     shortest, reach = passage_words - SHINGLE + 1, passage_words - 1
     seeds = [np.uint64(xxhash.xxh3_64_intdigest(f"function {k}")) for k in range(hashes)]
@@ -182,8 +179,7 @@ def windows(texts: DataFrame, passage_words: int, hashes: int) -> DataFrame:
                 at, begin, end = place[at], place[first], place[last] + SHINGLE
                 begin, finish = np.maximum(begin, at - reach), np.minimum(end, at + SHINGLE + reach)
                 around = _mixed(stretches.of(begin, finish) ^ (at - begin).astype(np.uint64))
-                after = stretches.of(at + SHINGLE, np.minimum(end, at + SHINGLE + KEY_WORDS))
-                parts.append((_mixed(least ^ after), around, names[of], at - begins[of]))
+                parts.append((least, around, names[of], at - begins[of]))
             keys, around, names, at = map(np.concatenate, zip(*parts, strict=True))
             return record(_WINDOWS, keys.view(np.int64), around.view(np.int64), names, at.astype(np.int32))
 

@@ -81,6 +81,27 @@ def test_planted_passages(spark, monkeypatch, cell):
         assert span.first <= 30 + k + 20 and span.last >= 30 + k + 49
 
 
+def test_runs_whose_minima_lie_last_and_near_runs(spark):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    stream = words(40_000)
+    tokens = passages.shingles(passages.word_hashes([" ".join(stream)])[0])
+    least = []
+    for k in range(3):
+        seed = np.uint64(passages.xxhash.xxh3_64_intdigest(f"function {k}"))
+        values = passages._mixed(tokens ^ seed)
+        least.append(np.lib.stride_tricks.sliding_window_view(values, 46).argmin(1))
+    last = np.flatnonzero((np.stack(least) >= 43).all(0))
+    runs = [(r, r) for r in (stream[k : k + 50] for k in last.tolist())]
+    assert runs
+    for k in range(400):
+        run, c = words(50), 5 + k % 40
+        runs.append((run, run[:c] + ["changed"] + run[c + 1 :]))
+    rows = [(2 * k + side, " ".join(words(2) + run + words(2))) for k, pair in enumerate(runs) for side, run in enumerate(pair)]
+    found = {r.doc_id: r.class_id for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[2 * k] == found[2 * k + 1] for k in range(len(runs)))
+
+
 def test_odd_rows(spark, odd_rows):
     rows = odd_rows()
     found = passages.repeated_passages(rows).collect()
