@@ -34,14 +34,20 @@ PASSAGE_WORDS, SIMILARITY = 50, 0.8
 HASHES = 6
 #: Words inserted or dropped that the comparison looks past.
 SLACK = 2
+#: Shingles past a stretch among which a longer one matches: a passage misses at most 5 of 46.
+BEYOND = 5 + 1 + SLACK
 #: Most windows on either side of a cell.
 CELL = 1024
 #: Rows of the cells that are compared together, about, and pairs compared at once.
 CELLS_ROWS, PAIRS = 8192, 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_WINDOWS = pa.schema([("key", pa.int64()), ("around", pa.int64()), ("text_id", pa.int64()), ("at", pa.int32())])
+_WINDOWS = pa.schema(
+    [("key", pa.int64()), ("around", pa.int64()), ("text_id", pa.int64()), ("at", pa.int32()),
+     ("first", pa.int32()), ("last", pa.int32())]
+)
 _DOCS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("text_id", pa.int64()), ("n_words", pa.int64())])
+_WINDOWS_TYPE = "key long, around long, text_id long, at int, first int, last int"
 _LINKS = pa.schema(
     [("a", pa.int64()), ("b", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
 )
@@ -147,10 +153,10 @@ class Stretches:
 
 
 def windows(texts: DataFrame, passage_words: int, hashes: int) -> DataFrame:
-    """`key`, `around`, `text_id`, `at` of the compact windows of all texts.
+    """`key`, `around`, `text_id`, `at`, `first`, `last` of the compact windows of all texts.
 
     `key` names hash function and min-hash, so the windows of equal runs always share one;
-    `around` names the words of the window within a passage's length of its token.
+    `around` names the words of the window within a passage's length of its token, `first` and `last` where they are.
     """
     shortest, reach = passage_words - SHINGLE + 1, passage_words - 1
     seeds = [np.uint64(xxhash.xxh3_64_intdigest(f"function {k}")) for k in range(hashes)]
@@ -159,7 +165,7 @@ def windows(texts: DataFrame, passage_words: int, hashes: int) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [w for w in word_hashes(batch.column(0).to_pylist()) if len(w) >= passage_words]
             if not texts:
-                return record(_WINDOWS, [], [], [], [])
+                return record(_WINDOWS, *[[]] * 6)
             words, sizes = np.concatenate(texts), np.array([len(w) for w in texts])
             names = np.array([text_id(w) for w in texts], np.int64)
             begins = np.cumsum(sizes) - sizes
@@ -179,13 +185,15 @@ def windows(texts: DataFrame, passage_words: int, hashes: int) -> DataFrame:
                 at, begin, end = place[at], place[first], place[last] + SHINGLE
                 begin, finish = np.maximum(begin, at - reach), np.minimum(end, at + SHINGLE + reach)
                 around = _mixed(stretches.of(begin, finish) ^ (at - begin).astype(np.uint64))
-                parts.append((least, around, names[of], at - begins[of]))
-            keys, around, names, at = map(np.concatenate, zip(*parts, strict=True))
-            return record(_WINDOWS, keys.view(np.int64), around.view(np.int64), names, at.astype(np.int32))
+                base = begins[of]
+                parts.append((least, around, names[of], at - base, begin - base, finish - 1 - base))
+            keys, around, names, *places = map(np.concatenate, zip(*parts, strict=True))
+            places = [p.astype(np.int32) for p in places]
+            return record(_WINDOWS, keys.view(np.int64), around.view(np.int64), names, *places)
 
         return each
 
-    return arrow_map(texts.select("text"), start, "key long, around long, text_id long, at int", rows=256)
+    return arrow_map(texts.select("text"), start, _WINDOWS_TYPE, rows=256)
 
 
 def text_ids(texts: DataFrame) -> DataFrame:
@@ -203,13 +211,13 @@ def text_ids(texts: DataFrame) -> DataFrame:
 
 
 def _near(ones: np.ndarray, others: np.ndarray, passage_words: int, similarity: float) -> tuple:
-    """Which pairs of contexts hold near passages, and where: first and last shingle.
+    """Which pairs of contexts hold near passages, and where: first and last shingles of either.
 
-    Contexts are columns with a byte per word, so a shingle compares 40 bits; equal bytes
-    match, which those past the ends of a text never are. Shingles match at the same place
-    or up to SLACK words aside. A passage is a stretch of the least length over the common
-    token, in which the matched shingles m of either side reach the Jaccard similarity:
-    m / (2 * length - m).
+    Contexts are columns with two bytes per word; equal words match, which those past the
+    ends of a text never are. Shingles match at the same place or up to SLACK words
+    aside. A passage is a stretch of the least length over the common token, in which the
+    matched shingles m of either side reach the Jaccard similarity: m / (2 * length - m).
+    What is reported begins and ends with a matched shingle.
     """
     length = passage_words - SHINGLE + 1
     size = len(ones) - SHINGLE + 1
@@ -226,32 +234,92 @@ def _near(ones: np.ndarray, others: np.ndarray, passage_words: int, similarity:
     total = np.cumsum(np.pad(matched, ((0, 0), (1, 0), (0, 0))), axis=1, dtype=np.int16)
     stretch = total[:, length:] - total[:, :-length]
     enough = stretch >= 2 * length * similarity / (1 + similarity) - 1e-9
-    sides = enough.any(1)
-    near = np.flatnonzero(sides.any(0))
-    found = enough[np.where(sides[0, near], 0, 1), :, near]
-    return near, found.argmax(1), found.shape[1] - 1 - found[:, ::-1].argmax(1) + length
+    near = np.flatnonzero(enough.any((0, 1)))
+    found = (enough[0] | enough[1])[:, near]
+    place = np.arange(size)[:, None]
+    first, last = found.argmax(0), len(found) - 1 - found[::-1].argmax(0) + length - 1
+    common = matched[:, :, near] & (place >= first) & (place <= last)
+    return near, common.argmax(1), size - 1 - common[:, ::-1].argmax(1)
+
+
+class _Shared:
+    """Which rows of a cell hold the same shingle at about the same place."""
+
+    def __init__(self, cell: np.ndarray, contexts: np.ndarray):
+        size = len(contexts) - SHINGLE + 1
+        hashes = np.zeros((size, contexts.shape[1]), np.uint64) + _mixed(cell.astype(np.uint64) * _MIX)
+        inside = np.ones(hashes.shape, bool)
+        for k in range(SHINGLE):
+            hashes = _mixed(hashes * _MIX + contexts[k : k + size])
+            inside &= contexts[k : k + size] > 0
+        self.hashes, self.places = hashes, np.flatnonzero(inside)
+        values = hashes.ravel()[self.places]
+        order = np.argsort(values, kind="stable")
+        self.places, values = self.places[order], values[order]
+        begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[begins, len(values)])
+        self.begin, self.count = np.zeros((2, hashes.size), np.int64)
+        self.begin[self.places] = np.repeat(begins, counts)
+        self.count[self.places] = np.repeat(np.where(counts > 1, counts, 0), counts)
+
+    def partners(self, rows: np.ndarray, edge: np.ndarray, step: int, turn: np.ndarray) -> tuple:
+        """Of each row, whether it has a partner number `turn` past its edge, which, and whether it is new."""
+        size, n = self.hashes.shape
+        place = edge + step * np.arange(1, BEYOND + 1)[:, None]
+        inside = (place >= 0) & (place < size)
+        at = np.where(inside, place, 0) * n + rows
+        sums = np.cumsum(np.where(inside, self.count[at], 0), axis=0)
+        live = np.flatnonzero(turn < sums[-1])
+        which = (sums[:, live] <= turn[live]).sum(0)
+        before = np.where(which > 0, sums[which - 1, live], 0)
+        at = at[which, live]
+        other, row = np.divmod(self.places[self.begin[at] + turn[live] - before], n)
+        own = at // n
+        new = (row != rows[live]) & (abs(other - own) <= SLACK)
+        # the shingle before it matched as well, so it has had its turn
+        earlier, aside = own - step, other - step
+        known = (which > 0) & (aside >= 0) & (aside < size)
+        known[known] = self.hashes[earlier[known], rows[live[known]]] == self.hashes[aside[known], row[known]]
+        return live, row, new & ~known
 
 
 def _forests(
     cell: np.ndarray, home: np.ndarray, names: np.ndarray, places: np.ndarray, contexts: np.ndarray,
     passage_words: int, similarity: float,
 ) -> pa.RecordBatch:
-    """Links that join what the near passages of each cell join, with each end's stretch.
+    """Links that join what the near passages of each cell join, with each row's widest stretch.
 
     A round compares one home of every cell with the later rows not yet joined to it,
-    homes before the others: so a group of copies joins in its first round.
+    homes before the others: so a group of copies joins in its first round. After that,
+    joined rows are compared with those that share a shingle just past their stretch,
+    until no stretch grows.
     """
     order = np.lexsort((~home, cell))
     cell, home, names, places = cell[order], home[order], names[order], places[order]
     ones = contexts[order].T.copy()
     # words are odd bytes and the space past an end is zero
-    others = ones + (ones == 0) * np.uint8(2)
+    others = ones + (ones == 0) * np.uint16(2)
     start = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
     end = np.r_[start[1:], len(cell)]
     homes_end = start + np.add.reduceat(home.astype(np.int64), start)
     label, at, groups = np.arange(len(cell)), start.copy(), end - start
     reach = passage_words - 1
-    out = []
+    size = len(ones) - SHINGLE + 1
+    first, last = np.full(len(cell), size), np.full(len(cell), -1)
+    joined: list[tuple] = []
+
+    def compared(h: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The near ones of the pairs, whose rows' stretches then cover them."""
+        hits = [np.zeros(0, np.int64)]
+        for k in range(0, len(h), PAIRS):
+            hs, qs = h[k : k + PAIRS], q[k : k + PAIRS]
+            near, begin, finish = _near(ones[:, hs], others[:, qs], passage_words, similarity)
+            for rows, a, b in ((hs[near], begin[0], finish[0]), (qs[near], begin[1], finish[1])):
+                np.minimum.at(first, rows, a)
+                np.maximum.at(last, rows, b)
+            hits.append(near + k)
+        return np.concatenate(hits)
+
     while True:
         live = np.flatnonzero((groups > 1) & (at < np.minimum(homes_end, end - 1)))
         if not len(live):
@@ -261,32 +329,41 @@ def _forests(
         h = np.repeat(at[live], count)
         q = np.repeat(begin, count) + np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
         of = np.repeat(live, count)
-        open_ = label[h] != label[q]
+        open_ = (label[h] != label[q]) & (names[h] != names[q])
         h, q, of = h[open_], q[open_], of[open_]
-        linked = []
-        for k in range(0, len(h), PAIRS):
-            near, first, last = _near(
-                ones[:, h[k : k + PAIRS]], others[:, q[k : k + PAIRS]], passage_words, similarity
-            )
-            linked.append(near + k)
-            hs, qs = h[near + k], q[near + k]
-            # a home's own stretches need no second link
-            own = np.unique(np.stack([hs, first, last]), axis=1)
-            for a, b, begin, finish in ((qs, hs, first, last), (own[0], own[0], own[1], own[2])):
-                base = places[a] - reach
-                out.append((names[a], names[b], np.maximum(0, base + begin), base + finish + SHINGLE - 1))
-        linked = np.concatenate(linked) if linked else np.zeros(0, np.int64)
+        linked = compared(h, q)
         if len(linked):
+            joined.append((q[linked], h[linked]))
             moved = np.arange(len(cell))
             gone, where = np.unique(label[q[linked]], return_index=True)
             moved[gone] = label[h[linked[where]]]
             label = moved[label]
             np.subtract.at(groups, of[linked[where]], 1)
         at[live] += 1
-    if not out:
+    if not joined:
         return record(_LINKS, [], [], [], [])
-    rows, other, first, last = map(np.concatenate, zip(*out, strict=True))
-    return record(_LINKS, rows, other, first.astype(np.int32), last.astype(np.int32))
+    rows = np.flatnonzero(last >= 0)
+    shared = _Shared(cell[rows], ones[:, rows])
+    for edges, step in ((last, 1), (first, -1)):
+        live, turn = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+        while len(live):
+            edge = edges[rows]
+            has, partner, new = shared.partners(live, edge[live], step, turn[live])
+            live = live[has]
+            turn[live] += 1
+            a, b = rows[live[new]], rows[partner[new]]
+            different = names[a] != names[b]
+            compared(a[different], b[different])
+            # a wider stretch looks past its new edge, also where it was done
+            grown = np.flatnonzero(edges[rows] != edge)
+            turn[grown] = 0
+            live = np.union1d(live, grown)
+    ends, homes = map(np.concatenate, zip(*joined, strict=True))
+    alone = np.setdiff1d(rows, ends)
+    ends, homes = np.r_[ends, alone], np.r_[homes, alone]
+    base = places[ends] - (passage_words - 1)
+    begin, finish = base + first[ends], base + last[ends] + SHINGLE - 1
+    return record(_LINKS, names[ends], names[homes], begin.astype(np.int32), finish.astype(np.int32))
 
 
 def _cell_ids(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -321,8 +398,8 @@ def near_passages(
             names, wants = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for name, words, wanted in zip(names, word_hashes(batch.column(1).to_pylist()), wants, strict=True):
                 at = np.array([w["at"] for w in wanted])
-                # a byte per word, never zero; zeros past the ends match nothing
-                padded = np.pad((words >> np.uint64(56)).astype(np.uint8) | np.uint8(1), reach + SHINGLE)
+                # two bytes per word, never zero; zeros past the ends match nothing
+                padded = np.pad((words >> np.uint64(48)).astype(np.uint16) | np.uint16(1), reach + SHINGLE)
                 contexts = padded[at[:, None] + SHINGLE + np.arange(width)]
                 for w, context in zip(wanted, contexts, strict=True):
                     part = (name ^ w["at"]) % w["cuts"]
@@ -348,7 +425,7 @@ def near_passages(
             merged = pa.Table.from_batches(kept)
             ids = _cell_ids(merged)
             cell = np.cumsum(np.r_[0, (np.diff(ids, axis=0) != 0).any(1)])
-            contexts = np.frombuffer(b"".join(merged.column(6).to_pylist()), np.uint8).reshape(-1, width)
+            contexts = np.frombuffer(b"".join(merged.column(6).to_pylist()), np.uint16).reshape(-1, width)
             home = merged.column(3).to_numpy()
             return _forests(
                 cell, home, merged.column(4).to_numpy(), merged.column(5).to_numpy().astype(np.int64), contexts,
@@ -406,13 +483,7 @@ def repeated_passages(
         F.min(F.struct("text_id", "at")).alias("one"), F.max("text_id").alias("high")
     )
     same = met.join(classes.where("one.text_id != high").select("key", "around", F.col("one.text_id").alias("b")), ["key", "around"])
-    reach = passage_words - 1
-    same = same.select(
-        F.col("text_id").alias("a"),
-        "b",
-        F.greatest(F.lit(0), F.col("at") - reach).alias("first"),
-        (F.col("at") + SHINGLE - 1 + reach).alias("last"),
-    )
+    same = same.select(F.col("text_id").alias("a"), "b", "first", "last")
     candidates = classes.select("key", "around", "one.text_id", "one.at")
     one_text = rows.groupBy("text_id").agg(F.min("row_key").alias("row_key"))
     first_texts = texts.select("row_key", "text").join(one_text, "row_key").dropDuplicates(["row_key"])

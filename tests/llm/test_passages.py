@@ -102,6 +102,43 @@ def test_runs_whose_minima_lie_last_and_near_runs(spark):
     assert all(found[2 * k] == found[2 * k + 1] for k in range(len(runs)))
 
 
+def plain_spans(docs):
+    """Stretches of words whose every 50 are in another document too."""
+    runs = defaultdict(set)
+    for key, words in docs.items():
+        for k in range(len(words) - 49):
+            runs[tuple(words[k : k + 50])].add(key)
+    out = {}
+    for key, words in docs.items():
+        spans = out[key] = []
+        for k in range(len(words) - 49):
+            if len(runs[tuple(words[k : k + 50])]) > 1:
+                if spans and k <= spans[-1][1] + 1:
+                    spans[-1] = (spans[-1][0], k + 49)
+                else:
+                    spans.append((k, k + 49))
+    return out
+
+
+@pytest.mark.parametrize("cell", [1024, 3])
+def test_exact_ends(spark, monkeypatch, cell):
+    monkeypatch.setattr(passages, "CELL", cell)
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    docs = {}
+    for k in range(30):
+        run = words(90)
+        # one document shares 50 words with three, and those share 70 to 90
+        parts = [run[20:70], run[:80], run, run[10:]]
+        docs |= {10 * k + j: words(70 + k) + part + words(90 - k) for j, part in enumerate(parts)}
+        docs[10 * k + 4] = words(60) + run[:55] + words(9) + run[30:85] + words(60)
+    long = words(300)
+    docs |= {1000 + k: words(k) + long[5 * k :] + words(30) for k in range(20)}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: [(s.first, s.last) for s in r.passages] for r in passages.repeated_passages(frame).collect()}
+    assert found == plain_spans(docs)
+
+
 def test_odd_rows(spark, odd_rows):
     rows = odd_rows()
     found = passages.repeated_passages(rows).collect()
