@@ -69,6 +69,8 @@ _MARK = re.compile(
     r"|</?[a-zA-Z][^<>]*\Z",
     re.S,
 )
+# what ends a raw element; nothing inside it is markup
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in _RAW}
 _ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -118,7 +120,7 @@ def parsed(page: str, labelled: bool = False) -> list[Node]:
     """
     nodes = [Node(-1, "html", "body", keep=False if labelled else None)]
     open_tags: list[tuple[str, int]] = [("html", 0)]
-    links, run, at, raw = 0, -1, 0, ""
+    links, run, at = 0, -1, 0
 
     def text(piece: str) -> None:
         nonlocal run
@@ -141,14 +143,7 @@ def parsed(page: str, labelled: bool = False) -> list[Node]:
         del open_tags[to:]
         run = -1
 
-    for match in _MARK.finditer(page):
-        if raw:
-            if not match[1] or match[1].lower() != raw:
-                continue
-            raw, at = "", match.end()
-            continue
-        if match.start() < at:
-            continue
+    while match := _MARK.search(page, at):
         text(page[at : match.start()])
         at = match.end()
         if end := match[1]:
@@ -168,7 +163,8 @@ def parsed(page: str, labelled: bool = False) -> list[Node]:
                 links = 1
             elif tag in _RAW:
                 if not match[3].rstrip().endswith("/"):
-                    raw = tag
+                    closing = _RAW_END[tag].search(page, at)
+                    at = closing.end() if closing else len(page)
                 text(" ")
             elif tag == "br":
                 text(" ")
@@ -190,8 +186,7 @@ def parsed(page: str, labelled: bool = False) -> list[Node]:
                 keep = (nodes[top].keep or "data-keep" in attributes) if labelled else None
                 open_tags.append((tag, len(nodes)))
                 nodes.append(Node(top, tag, _kind(tag, attributes), keep=keep))
-    if not raw:
-        text(page[at:])
+    text(page[at:])
     return nodes
 
 

@@ -79,6 +79,22 @@ def test_markup(model, page, text):
     assert text is None or found == text
 
 
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(i=0;i<n;i++){f()}</script>",
+        "<SCRIPT>if(a<b&&c>d)s='it';</ScRiPt >",
+        "<script>x='<!--'; y=a<b</script>",
+        "<script>s='</scripts>'; t='</p>'; u=\"<b</script>",
+        "<style>a<b{}</style><script>a<b</script>",
+    ],
+)
+def test_raw_elements_end_at_their_own_tag(model, raw):
+    page = f"<html><head>{raw}</head><body>{raw}<article><p>first words.</p>{raw}<p>last words.</p></article></body>"
+    assert html_text.main_text(page, model) == "first words.\nlast words."
+    assert html_text.main_text(page + "<script>a<b", model) == "first words.\nlast words."
+
+
 def test_odd_rows(spark, odd_rows, model):
     rows = odd_rows(text_col="html", key="page_id").withColumnRenamed("source", "url")
     found = html_text.extracted(rows, model)
