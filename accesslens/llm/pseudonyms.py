@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -224,14 +224,84 @@ class Permuter:
 _PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "phone": r"(?<![\w.+-])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])",
     "ssn": r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "ip": r"(?<![\w.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w-]|\.[0-9])",
     "date": r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![\w/-]|\.[0-9])",
 }
-_COMPILED = {kind: re.compile(_PATTERNS[kind]) for kind in KINDS}
+_COMPILED = {kind: re.compile(pattern) for kind, pattern in _PATTERNS.items()}
 _DIGIT = re.compile("[0-9]")
+#: Numbers joined by single spaces or dashes; capital words joined by single spaces.
+_NUMBERS = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
+_CAPITALS = re.compile(r"(?<!\w)[A-Z0-9]+(?: [A-Z0-9]+)*(?!\w)")
+_GROUP = re.compile("[A-Z0-9]+")
+#: How cards are printed: groups of four, or 4-6-5 and 4-6-4.
+_CARD_LAYOUT = re.compile(r"[0-9]{13,19}|([0-9]{4})([ -])(?:[0-9]{4}\2[0-9]{4}\2[0-9]{4}(?:\2[0-9]{1,3})?|[0-9]{6}\2[0-9]{4,5})")
+_IBAN_LAYOUT = re.compile("[A-Z0-9]{15,34}|(?:[A-Z0-9]{4} ){3,8}[A-Z0-9]{1,4}")
+
+
+def _card_places(text: str) -> Iterator[tuple[bool, int, int]]:
+    """Whether printed otherwise, start and end of all that may be a card beside other numbers."""
+    for run in _NUMBERS.finditer(text):
+        if len(run.group()) < 13:
+            continue
+        groups = [(run.start() + g.start(), run.start() + g.end()) for g in _GROUP.finditer(run.group())]
+        # a word that goes on before or after the numbers is no number
+        low, high = run.start(), run.end()
+        if low and re.match(r"[\w.-]", text[low - 1]):
+            low = text.find(" ", low, high) + 1 or high
+        if re.match(r"[\w-]", text[high : high + 1]):
+            high = text.rfind(" ", low, high)
+        for k, (start, _) in enumerate(groups):
+            digits = 0
+            for begin, end in groups[k:] if start >= low else ():
+                digits += end - begin
+                if digits > 19 or end > high:
+                    break
+                if digits >= 13:
+                    yield not _CARD_LAYOUT.fullmatch(text, start, end), start, end
+
+
+def _iban_places(text: str) -> Iterator[tuple[bool, int, int]]:
+    """The same of account numbers beside other capital words."""
+    for run in _CAPITALS.finditer(text):
+        if len(run.group()) < 15:
+            continue
+        groups = [(run.start() + g.start(), run.start() + g.end()) for g in _GROUP.finditer(run.group())]
+        for k, (start, _) in enumerate(groups):
+            if not _IBAN_START.match(text, start):
+                continue
+            characters = 0
+            for begin, end in groups[k:]:
+                characters += end - begin
+                if characters > 34:
+                    break
+                if characters >= 15 and _COMPILED["iban"].fullmatch(text, start, end):
+                    yield not _IBAN_LAYOUT.fullmatch(text, start, end), start, end
+
+
+_IBAN_START = re.compile("[A-Z]{2}[0-9]{2}")
+_PLACES = {"card": _card_places, "iban": _iban_places}
+
+
+def _values(text: str, kind: str, permuter: Permuter) -> Iterator[tuple[int, int, str]]:
+    """Start, end and pseudonym of the valid values of a kind.
+
+    Cards and account numbers may stand beside numbers and words that look like more of
+    them: of what is valid the usual print counts first, then the earlier, then the longer.
+    """
+    if kind not in _PLACES:
+        for match in _COMPILED[kind].finditer(text):
+            if (new := getattr(permuter, kind)(match.group())) is not None:
+                yield match.start(), match.end(), new
+        return
+    taken = bytearray()
+    for _, start, minus in sorted((odd, start, -end) for odd, start, end in _PLACES[kind](text)):
+        end = -minus
+        taken = taken or bytearray(len(text))
+        if not any(taken[start:end]) and (new := getattr(permuter, kind)(text[start:end])) is not None:
+            taken[start:end] = b"\1" * (end - start)
+            yield start, end, new
 
 
 def pseudonymised(text: str, permuter: Permuter) -> tuple[str, list[tuple[str, int, int]]]:
@@ -244,10 +314,7 @@ def pseudonymised(text: str, permuter: Permuter) -> tuple[str, list[tuple[str, i
     for order, kind in enumerate(KINDS):
         if kind == "email" and "@" not in text or kind != "email" and not some:
             continue
-        for match in _COMPILED[kind].finditer(text):
-            new = getattr(permuter, kind)(match.group())
-            if new is not None:
-                found.append((match.start(), order, match.end(), kind, new))
+        found += [(start, order, end, kind, new) for start, end, new in _values(text, kind, permuter)]
     out, spans, at = [], [], 0
     for start, _, end, kind, new in sorted(found):
         if start >= at:
@@ -257,6 +324,13 @@ def pseudonymised(text: str, permuter: Permuter) -> tuple[str, list[tuple[str, i
     return "".join(out) + text[at:], spans
 
 
+def restored(text: str, spans: list[tuple[str, int, int]], permuter: Permuter) -> str:
+    """The text before, from its spans and an inverse permuter, whatever stands beside the values."""
+    for kind, start, end in spans:
+        text = text[:start] + getattr(permuter, kind)(text[start:end]) + text[end:]
+    return text
+
+
 def with_pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str | None = None) -> DataFrame:
     """`docs` with pseudonyms in `text_col`, all other columns as they were.
 

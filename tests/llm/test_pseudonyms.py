@@ -52,6 +52,37 @@ def test_what_is_not_valid_stays():
     assert p.pseudonymised(text, HIDE) == (text, [])
 
 
+CARD, IBAN, SOLID = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332"
+
+
+@pytest.mark.parametrize(
+    "kind, value, text",
+    [
+        ("card", CARD, f"{CARD} 12/27"),
+        ("card", CARD, f"order 12 {CARD}"),
+        ("card", CARD, f"no. 77 12 {CARD} 12 27"),
+        ("card", CARD, f"2024-01-02 {CARD}, 9"),
+        ("card", "4111-1111-1111-1111", "x9-12 4111-1111-1111-1111 12-a"),
+        ("card", "4111111111111111", "12 4111111111111111 12"),
+        ("card", "3782 822463 10005", "3782 822463 10005 1226"),
+        ("iban", IBAN, f"{IBAN} EUR"),
+        ("iban", IBAN, f"AB12 PAY {IBAN} BIC ABCDESMM"),
+        ("iban", SOLID, f"IBAN {SOLID} EUR 100"),
+    ],
+)
+def test_values_beside_numbers_and_words(kind, value, text):
+    hidden, spans = p.pseudonymised(text, HIDE)
+    at = text.index(value)
+    assert (kind, at, at + len(value)) in spans
+    assert hidden[at : at + len(value)] == getattr(HIDE, kind)(value)
+    assert p.restored(hidden, spans, SHOW) == text
+
+
+def test_numbers_inside_words_stay():
+    for text in ("x4111-1111-1111-1111", "4111-1111-1111-1111-x", "v.4111111111111111", "4111111111111111a", f"x{SOLID}"):
+        assert p.pseudonymised(text, HIDE) == (text, [])
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op5_pii"](spark, sf)
