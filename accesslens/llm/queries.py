@@ -49,6 +49,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.described(F.concat("base", "owned")).alias("spans"),
         "n_live",
         "n_copied",
+        F.coalesce(F.array_max(F.map_values("n_repositories")), F.lit(0)).alias("n_repositories"),
     )
 
 

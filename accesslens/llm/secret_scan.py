@@ -2,9 +2,10 @@
 
 Pattern matches give the base spans. Every value found, and every other token that
 looks random, is a candidate; candidates are hashed and counted over the corpus by
-distinct repository and distinct owner. A value that many owners share is an example
-that was copied about; one that a single owner has looks live. Random-looking tokens
-outside the base spans become further spans (`owned`) if a single owner has them.
+distinct repository and distinct owner. A value that many owners share, or many
+repositories of one owner, is an example that was copied about; one that a single owner
+has in few repositories looks live. Random-looking tokens outside the base spans become
+further spans (`owned`) if they look live.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from accesslens.llm.shared import arrow_map, checkpointed, quoted, record
 
 #: Owners up to which a value counts as owner-specific.
 LIVE_OWNERS = 1
+#: Repositories up to which it does: the owner's own reuse, and not a text copied about.
+LIVE_REPOSITORIES = 10
 #: A random-looking token: length, and bits of entropy per character.
 TOKEN_CHARS, TOKEN_BITS = 20, 3.5
 
@@ -130,29 +133,34 @@ def secrets(
     repository_col: str = "doc_id",
     owner_col: str = "source",
     live_owners: int = LIVE_OWNERS,
+    live_repositories: int = LIVE_REPOSITORIES,
 ) -> DataFrame:
-    """`doc_id`, `base`, `owned`, `n_live`, `n_copied` of every row.
+    """`doc_id`, `base`, `owned`, `n_live`, `n_copied`, `n_repositories` of every row.
 
     `base` and `owned` are arrays of (kind, start, end, hash) in order of their start, in
     code points, ends exclusive. `n_live` counts base spans whose value at most
-    `live_owners` owners have, `n_copied` the others. A NULL text is empty; a NULL owner
+    `live_owners` owners have in at most `live_repositories` repositories, `n_copied` the
+    others; `owned` has the tokens of which the same holds. `n_repositories` is how many
+    repositories have each value of the row, by hash. A NULL text is empty; a NULL owner
     or repository is one of its own; every row gives one row.
     """
     found = checkpointed(candidates(docs, id_col, text_col, repository_col, owner_col))
     found = found.withColumn("row", F.monotonically_increasing_id())
     owners = ownership(found)
+    live = (F.col("n_owners") <= live_owners) & (F.col("n_repositories") <= live_repositories)
     spans = found.select("row", F.explode(F.concat("base", "more")).alias("s"))
     judged = spans.join(owners, F.col("s.hash") == owners["hash"]).groupBy("row").agg(
         F.sort_array(
             F.collect_list(
                 F.when(
-                    (F.col("s.kind") == "owned") & (F.col("n_owners") <= live_owners),
+                    (F.col("s.kind") == "owned") & live,
                     F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), "s.kind", "s.hash"),
                 )
             )
         ).alias("owned"),
-        F.count_if((F.col("s.kind") != "owned") & (F.col("n_owners") <= live_owners)).alias("n_live"),
-        F.count_if((F.col("s.kind") != "owned") & (F.col("n_owners") > live_owners)).alias("n_copied"),
+        F.count_if((F.col("s.kind") != "owned") & live).alias("n_live"),
+        F.count_if((F.col("s.kind") != "owned") & ~live).alias("n_copied"),
+        F.map_from_entries(F.collect_set(F.struct("s.hash", "n_repositories"))).alias("n_repositories"),
     )
     nothing = F.array().cast("array<struct<start:int,end:int,kind:string,hash:string>>")
     return found.join(judged, "row", "left").select(
@@ -163,6 +171,7 @@ def secrets(
         ).alias("owned"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("n_repositories", F.create_map().cast("map<string,bigint>")).alias("n_repositories"),
     )
 
 

@@ -55,6 +55,17 @@ def test_ownership_decides(spark):
     assert (found[5].n_live, found[5].n_copied) == (2, 0)
 
 
+def test_copies_inside_one_source(spark):
+    kept = KEY[::-1]
+    rows = [(k, "a", f"example {KEY} token: {KEY[:12]}") for k in range(50)]
+    rows += [(100 + k, "a", f"mine {kept} token: {kept[:12]}") for k in range(secret_scan.LIVE_REPOSITORIES)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for row in secret_scan.secrets(docs).collect():
+        copied = row.doc_id < 100
+        assert (len(row.owned), row.n_live, row.n_copied) == ((0, 0, 1) if copied else (1, 1, 0))
+        assert set(row.n_repositories.values()) == {50 if copied else secret_scan.LIVE_REPOSITORIES}
+
+
 def test_odd_rows(spark, odd_rows):
     rows = odd_rows()
     found = secret_scan.secrets(rows)
