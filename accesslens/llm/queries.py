@@ -12,6 +12,7 @@ from accesslens.llm import (
     decontamination,
     html_text,
     imatch,
+    line_dedup,
     passages,
     pieces,
     pseudonyms,
@@ -120,6 +121,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.deduplicated(docs, min_chars=20, min_documents=3)
+    return found.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -131,6 +140,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_imatch": op8_imatch,
     "op9_pieces": op9_pieces,
     "op10_decontamination": op10_decontamination,
+    "op11_line_dedup": op11_line_dedup,
 }
-#: None of the ten can be expressed in SQL; tests/llm holds their brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+
+_LINE_DEDUP_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, u.place, u.line,
+        translate(regexp_replace(u.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) d,
+        LATERAL (SELECT unnest(d.l) AS line, unnest(range(len(d.l))) AS place) u
+), repeated AS (
+    SELECT key, max(doc_id) AS keeper FROM lines
+    WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+    SELECT l.doc_id, l.place, l.line, coalesce(r.keeper <> l.doc_id, false) AS gone
+    FROM lines l LEFT JOIN repeated r USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+#: The first ten cannot be expressed in SQL; tests/llm holds their brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op11_line_dedup": _LINE_DEDUP_SQL}

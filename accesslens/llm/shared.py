@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch: a few MB of ordinary documents in a Python worker.
 BATCH_ROWS = 1024
+#: And its bytes, for tables of very long texts.
+BATCH_BYTES = 32 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -71,6 +73,7 @@ def arrow_map(
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds; documents are much longer than Spark expects of rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def record(schema: str | pa.Schema, *columns) -> pa.RecordBatch:
