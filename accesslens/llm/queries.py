@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accesslens.llm import (
+    collocations,
     decontamination,
     html_text,
     imatch,
@@ -129,6 +130,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), min_count=100, most=2000, absorbed=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -141,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pieces": op9_pieces,
     "op10_decontamination": op10_decontamination,
     "op11_line_dedup": op11_line_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 _LINE_DEDUP_SQL = r"""
@@ -162,5 +168,45 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), starts AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), windows AS (
+    SELECT lang, w[i:least(i + 4, len(w))] AS w FROM starts
+), grams AS (
+    SELECT lang, w[1:m] AS w FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS m FROM windows)
+), f AS (
+    SELECT lang, w, array_to_string(w, ' ') AS phrase, count(*) AS f FROM grams GROUP BY lang, w
+), total AS (
+    SELECT lang, count(*) AS n FROM starts GROUP BY lang
+), candidates AS (
+    SELECT * FROM f WHERE len(w) > 1 AND f >= 100
+), cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, c.k, l.f AS l, r.f AS r, t.n,
+        (1000::HUGEINT * c.f * t.n) // (l.f::HUGEINT * r.f) AS score
+    FROM (SELECT *, unnest(range(1, len(w))) AS k FROM candidates) c
+    JOIN f l ON l.lang = c.lang AND l.w = c.w[1:c.k]
+    JOIN f r ON r.lang = c.lang AND r.w = c.w[c.k + 1:]
+    JOIN total t ON t.lang = c.lang
+), cut AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+    phrase, a, l, r, n, score::BIGINT AS score
+FROM cut
+WHERE NOT EXISTS (
+    SELECT 1 FROM candidates o WHERE o.lang = cut.lang AND len(o.phrase) > len(cut.phrase)
+        AND contains(' ' || o.phrase || ' ', ' ' || cut.phrase || ' ') AND 100 * o.f >= 100 * cut.a)
+QUALIFY rank <= 2000
+"""
+
 #: The first ten cannot be expressed in SQL; tests/llm holds their brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op11_line_dedup": _LINE_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op11_line_dedup": _LINE_DEDUP_SQL,
+    "op13_collocations": _COLLOCATIONS_SQL,
+}
