@@ -333,7 +333,7 @@ def sorted_runs(
                     known[lang] = _Ids(np.uint64(word_id(lang.encode())), words)
                 ids = known[lang].of(split_words(text))
                 # one trie for all languages would only add a level with few branches
-                trie = tries.setdefault(lang, HatTrie(most=most))
+                trie = tries.setdefault(lang, HatTrie(min(BURST, most // 8), most))
                 rows, size = _windows(known[lang].lang, ids, pairs)
                 if len(rows):
                     keys, counts = _distinct(rows[:, 1:], size - 1)
@@ -400,7 +400,11 @@ def _frequent(rows: np.ndarray, counts: np.ndarray, min_count: int) -> pa.Record
 
 
 def frequent_phrases(
-    docs: DataFrame, min_count: int, text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame,
+    min_count: int,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    trie_entries: int = TRIE_ENTRIES,
 ) -> tuple[DataFrame, DataFrame]:
     """The words of `word_counts` with at least `min_count` occurrences, and `words`, `n` of phrases of one to five.
 
@@ -410,9 +414,10 @@ def frequent_phrases(
     words = stored(counted.where((F.col("n") >= min_count) | F.col("word").isNull()))
     singles = words.where("word IS NOT NULL").select(F.concat(_id_bytes("lang"), _id_bytes("word")).alias("words"), "n")
     of_words = Filter.of(singles)
-    pairs = stored(merged_runs(sorted_runs(docs, of_words, None, text_col, lang_col), 2, 2, min_count))
+    pairs = stored(merged_runs(sorted_runs(docs, of_words, None, text_col, lang_col, trie_entries), 2, 2, min_count))
     of_pairs = Filter.of(pairs)
-    longer = stored(merged_runs(sorted_runs(docs, of_words, of_pairs, text_col, lang_col), 3, LONGEST, min_count))
+    windows = sorted_runs(docs, of_words, of_pairs, text_col, lang_col, trie_entries)
+    longer = stored(merged_runs(windows, 3, LONGEST, min_count))
     return words, singles.union(pairs).union(longer)
 
 
@@ -428,6 +433,7 @@ def collocations(
     min_count: int = 100,
     most: int = 2000,
     absorbed: int = 100,
+    trie_entries: int = TRIE_ENTRIES,
 ) -> DataFrame:
     """The `most` best phrases of two to five words of each language.
 
@@ -439,7 +445,7 @@ def collocations(
     is `und`; repeated rows count again, keys and other columns are not read. Without
     frequent phrases the result is empty.
     """
-    words, phrases = frequent_phrases(docs, min_count, text_col, lang_col)
+    words, phrases = frequent_phrases(docs, min_count, text_col, lang_col, trie_entries)
     length = (F.octet_length("words") / 8 - 1).cast("int")
     candidates = phrases.withColumn("length", length).where("length > 1")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from accesslens.llm import (
     collocations,
+    conversation_repair,
     decontamination,
     html_text,
     imatch,
@@ -23,6 +24,7 @@ from accesslens.llm import (
     toxicity,
 )
 from accesslens.llm.html_examples import labelled_pages
+from accesslens.llm.ordering import key_column
 from accesslens.llm.shared import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -130,6 +132,33 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with the faults that the CRC of `conv_id:turn` says, NULLs as one space."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    kind = F.crc32(F.concat(told[0], F.lit(":"), told[1])) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(told[3], "[.!?]", "")).otherwise(told[3])
+    return rows.where(kind != 0).select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(told[2]).alias("role"),
+        text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = conversation_repair.summaries(conversation_repair.stretches(damaged(rows)))
+    every = rows.select("conv_id", key_column("conv_id").alias("conv")).distinct()
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(found, "conv", "left").select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), min_count=100, most=2000, absorbed=100)
 
@@ -146,6 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pieces": op9_pieces,
     "op10_decontamination": op10_decontamination,
     "op11_line_dedup": op11_line_dedup,
+    "op12_conversations": op12_conversations,
     "op13_collocations": op13_collocations,
 }
 
