@@ -9,18 +9,14 @@ A visitor is an (ip, user_agent) pair. Three notions of "new" coexist:
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from accesslens.functions.periods import DateLike, as_date, in_period, last_hours, request_date
+from accesslens.functions.periods import DateLike, date_lit, in_period, last_hours, request_date
 from accesslens.operators.selection import on_dates, on_device, top, without_nulls
 from accesslens.schema import VISITOR_KEY
 
-WORD = 64  # bits
-MAX_BITMAP_DAYS = 8 * WORD  # wider rows would cost more than the window they replace
+WORD = 64  # days in the bits of a BIGINT
 
 
 def first_visits(log: DataFrame) -> DataFrame:
@@ -149,69 +145,41 @@ def visitor_counts_by_device(log: DataFrame, start: DateLike, end: DateLike) ->
 def daily_visitors(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """`visit_date, total_visitors, new_visitors, returning_visitors`.
 
-    A visitor is new on the first of their days within the period.
+    A visitor is new on the first of their days within the period, which may be of any
+    length. Days are held as bits of 64-day words keyed by visitor and word: `bit_or`
+    combines on the map side, so a visitor with a third of all requests costs each task
+    one row a word. The words are shuffled once and read twice: their bits are the day
+    totals, and the least day of a visitor, again combined before its shuffle, is the day
+    on which they are new.
     """
-    days = (as_date(end) - as_date(start)).days + 1
-    rows = on_dates(log, start, end).withColumn("visit_date", request_date(log))
-    if 0 < days <= MAX_BITMAP_DAYS:
-        visits = _visits_by_bitmap(rows, as_date(start), days)
-    else:
-        visits = _visits_by_window(rows)
+    words = _days_in_words(on_dates(log, start, end), start)
+    days = words.select(F.explode(_days_of_word()).alias("day"), F.lit(0).alias("is_new"))
+    first = words.groupBy(VISITOR_KEY).agg(F.min(F.get(_days_of_word(), F.lit(0))).alias("day"))
+    counted = days.union(first.select("day", F.lit(1)))
+    total, new = F.count_if(F.col("is_new") == 0), F.count_if(F.col("is_new") == 1)
     return (
-        visits.groupBy("visit_date")
+        counted.groupBy(F.date_add(date_lit(start), F.col("day")).alias("visit_date"))
         .agg(
-            F.count(F.lit(1)).alias("total_visitors"),
-            F.count_if(F.col("visit_date") == F.col("first_visit_date")).alias("new_visitors"),
-            F.count_if(F.col("visit_date") != F.col("first_visit_date")).alias(
-                "returning_visitors"
-            ),
+            total.alias("total_visitors"),
+            new.alias("new_visitors"),
+            (total - new).alias("returning_visitors"),
         )
         .orderBy("visit_date")
     )
 
 
-def _visits_by_window(rows: DataFrame) -> DataFrame:
-    """`visit_date, first_visit_date`, one row per visitor and day, for any period.
-
-    Requests are reduced to one row per visitor and day before the window, so a
-    window partition holds at most one row per day however busy the visitor is.
-    """
-    visits = rows.select("visit_date", *VISITOR_KEY).distinct()
-    first = F.min("visit_date").over(Window.partitionBy(*VISITOR_KEY))
-    return visits.select("visit_date", first.alias("first_visit_date"))
-
+def _days_in_words(rows: DataFrame, start: DateLike) -> DataFrame:
+    """`ip, user_agent, word, bits`: bit b of word w is day 64 w + b after `start`."""
+    day = F.date_diff(request_date(rows), date_lit(start))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), day.bitwiseAND(F.lit(WORD - 1)))
+    dated = rows.select(*VISITOR_KEY, F.shiftright(day, 6).alias("word"), bit.alias("bit"))
+    return dated.groupBy(*VISITOR_KEY, "word").agg(F.bit_or("bit").alias("bits"))
 
-def _visits_by_bitmap(rows: DataFrame, start: dt.date, days: int) -> DataFrame:
-    """The same rows with a visitor's days held as bits of a few 64-bit words.
 
-    `bit_or` over fixed-width words is a hash aggregation that combines on the map
-    side, so the days of a visitor are found in a single shuffle without a sort.
-    The window needs two shuffles of all visitor-days and a sort.
-    """
-    first_day = F.lit(start.isoformat()).cast("date")
-    offset = F.date_diff("visit_date", first_day)
-    starts = range(0, days, WORD)
-    words = [
-        F.bit_or(
-            F.when(
-                offset.between(s, s + WORD - 1),
-                F.call_function("shiftleft", F.lit(1).cast("bigint"), offset - s),
-            )
-        ).alias(f"word_{s}")
-        for s in starts
-    ]
-
-    def days_in(s: int) -> Column:
-        numbers = F.sequence(F.lit(s), F.lit(min(s + WORD, days) - 1))
-        return F.filter(numbers, lambda n: F.getbit(F.col(f"word_{s}"), n - s) == 1)
-
-    visitors = rows.groupBy(VISITOR_KEY).agg(*words)
-    visited = visitors.select(F.concat(*[days_in(s) for s in starts]).alias("days"))
-    each = visited.select(F.explode("days").alias("day"), F.get("days", F.lit(0)).alias("first"))
-    return each.select(
-        F.date_add(first_day, F.col("day")).alias("visit_date"),
-        F.date_add(first_day, F.col("first")).alias("first_visit_date"),
-    )
+def _days_of_word() -> Column:
+    """The days after the start whose bits are set, ascending."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit(F.col("bits"), b) == 1)
+    return F.transform(bits, lambda b: F.col("word") * WORD + b)
 
 
 def environment_stats(

@@ -405,6 +405,14 @@ ORACLE_SQL: dict[str, str] = {
         " FROM (SELECT *, min(visit_date) OVER (PARTITION BY ip, user_agent) AS first_visit FROM d) GROUP BY visit_date",
         f"d AS (SELECT DISTINCT CAST(timestamp_utc AS DATE) AS visit_date, ip, user_agent FROM weblog WHERE {PERIOD})",
     ),
+    "v6_daily_visitors_600_days": _sql(
+        f"SELECT visit_date, {HITS} AS total_visitors, {_named('visit_date = first_visit', 'new_visitors')},"
+        f" {_named('visit_date != first_visit', 'returning_visitors')}"
+        " FROM (SELECT *, min(visit_date) OVER (PARTITION BY ip, user_agent) AS first_visit FROM d) GROUP BY visit_date",
+        "s AS (SELECT ip, user_agent, DATE '2022-09-01' + CAST((day - DATE '2024-01-01') * 20"
+        " + minute(timestamp_utc) % 20 AS INTEGER) AS visit_date FROM weblog)",
+        "d AS (SELECT DISTINCT * FROM s WHERE visit_date BETWEEN DATE '2022-09-11' AND DATE '2024-05-02')",
+    ),
     "v7_environment_all": _sql("SELECT * FROM env", ALL_ENVIRONMENT),
     "v7_environment_mobile": _sql("SELECT * FROM env", ENVIRONMENT.format("AND user_is_mobile = TRUE")),
     "v7_environment_desktop": _sql("SELECT * FROM env", ENVIRONMENT.format("AND user_is_mobile = FALSE")),

@@ -168,8 +168,8 @@ def test_counts_against_brute_force(make_log, seed):
         ("2024-01-02", "2024-03-05"),  # 64 days: one full word
         ("2024-01-02", "2024-03-06"),  # 65 days: two words
         ("2023-11-03", "2024-01-08"),  # days in the last bits of a word
-        ("2023-01-01", "2024-05-26"),  # 512 days: the last period held in bits
-        ("2023-01-01", "2024-05-27"),  # 513 days: window
+        ("2023-01-01", "2024-05-27"),  # 513 days: nine words
+        ("1900-01-01", "2100-12-31"),  # two centuries
         ("2024-01-08", "2024-01-02"),  # empty
     ],
 )
