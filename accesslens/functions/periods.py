@@ -15,8 +15,8 @@ def as_date(value: DateLike) -> dt.date:
     return dt.date.fromisoformat(str(value))
 
 
-def date_lit(value: DateLike) -> Column:
-    return F.lit(str(value)).cast("date")
+def date_lit(value: DateLike | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(str(value)).cast("date")
 
 
 def dates_within(date: Column, start: DateLike | None, end: DateLike | None) -> Column:

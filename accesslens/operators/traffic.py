@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from accesslens.functions.display import hour_label
 from accesslens.functions.measures import hits
-from accesslens.functions.periods import DateLike, as_log_time
+from accesslens.functions.periods import DateLike, as_log_time, date_lit
 from accesslens.operators.selection import in_closed_hours, on_days
 
 
@@ -49,6 +49,20 @@ def unique_users_per_day(
     return rows.groupBy("day").agg(_unique_ips(approx_rsd).alias("users")).orderBy("day")
 
 
+def trailing_users(log: DataFrame, start: DateLike, end: DateLike, days: int = 7) -> DataFrame:
+    """`day, users`: distinct non-NULL IPs of the `days` days up to each day with requests.
+
+    Each address and day, reduced to one row first, counts on the following days. For long
+    spans `accesslens.plans.sketches` keeps what this recounts.
+    """
+    rows = on_days(log, F.date_sub(date_lit(start), days - 1), end).select("day", "ip")
+    counted_on = F.explode(F.sequence("day", F.date_add("day", days - 1))).alias("day")
+    spread = rows.distinct().select(counted_on, "ip")
+    present = on_days(rows, start, end).select("day").distinct()
+    users = spread.groupBy("day").agg(F.count_distinct("ip").alias("users"))
+    return users.join(present, "day").orderBy("day")
+
+
 def traffic_and_users_per_day(
     log: DataFrame, start: DateLike, end: DateLike, approx_rsd: float | None = None
 ) -> DataFrame:

@@ -189,6 +189,14 @@ def _sql(body: str, *tables: str) -> str:
     return "WITH " + ",\n".join([WEBLOG, *tables]) + "\n" + body
 
 
+def _trailing_users(*more: str) -> str:
+    return _sql(
+        f"SELECT d.day, CAST(count(DISTINCT w.ip) AS BIGINT) AS users{''.join(more)}"
+        f" FROM (SELECT DISTINCT day FROM weblog WHERE {DAYS}) d"
+        " JOIN weblog w ON w.day BETWEEN d.day - 6 AND d.day GROUP BY d.day"
+    )
+
+
 def _counts(last: str, first: str) -> str:
     return (
         f"SELECT {HITS} AS total_visitors, CAST(count(*) FILTER (WHERE {last} = {first}) AS BIGINT) AS new_visitors,"
@@ -358,6 +366,12 @@ ORACLE_SQL: dict[str, str] = {
     "t2_traffic_per_hour": _sql(f"SELECT {HOUR} AS hour_to_24, {HITS} AS traffic_sum FROM weblog WHERE {DAYS} GROUP BY 1"),
     "t3_traffic_avg_per_hour": _sql(AVG_PER_HOUR),
     "t3_from_rollup": _sql(AVG_PER_HOUR),
+    "t4_users_from_sketches": _sql(
+        f"SELECT day, {USERS} AS users, true AS within_margin FROM weblog WHERE {DAYS} GROUP BY day"
+    ),
+    "t4_trailing_users": _trailing_users(),
+    "t4_trailing_users_from_sketches": _trailing_users(", true AS within_margin"),
+    "v3_from_sketches": PERIOD_VISITORS.replace("SELECT " + HITS, "SELECT true AS within_margin, " + HITS),
     "t4_unique_users_per_day": _sql(f"SELECT day, {USERS} AS users FROM weblog WHERE {DAYS} GROUP BY day"),
     "t5_traffic_and_users": _sql(
         "SELECT t.day, t.traffic_sum, u.users FROM t LEFT JOIN u ON t.day = u.day",

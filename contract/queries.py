@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from accesslens.functions.channels import channel_by_like, channel_by_list
 from accesslens.functions.periods import latest_timestamp
 from accesslens.operators import geography, referrers, search, selection, statuses, traffic, visitors
-from accesslens.plans import first_seen, rollups, views
+from accesslens.plans import first_seen, rollups, sketches, views
 from accesslens.schema import require_columns
 from accesslens.session import shared_folder
 from accesslens.sources import readers, writers
@@ -174,6 +175,7 @@ on_period("t1_traffic_per_day", traffic.traffic_per_day)
 on_period("t2_traffic_per_hour", traffic.traffic_per_hour)
 on_period("t3_traffic_avg_per_hour", traffic.traffic_avg_per_hour)
 on_period("t4_unique_users_per_day", traffic.unique_users_per_day)
+on_period("t4_trailing_users", traffic.trailing_users)
 on_period("t5_traffic_and_users", traffic.traffic_and_users_per_day)
 on_period("t5_traffic_and_users_long", traffic.traffic_and_users_long)
 on_log("t6_hourly_trend", traffic.hourly_trend)
@@ -190,6 +192,44 @@ on_log("t6_from_rollup", lambda log: traffic.hourly_trend(traffic_rollup(log)))
 
 # -- visitors --------------------------------------------------------------------
 
+
+
+def stored_sketches(spark: SparkSession, log: DataFrame) -> DataFrame:
+    """Day sketches, written by day and read again."""
+    path = _new_folder(spark, "sketches")
+    writers.write_days(sketches.day_sketches(log), path)
+    return spark.read.parquet(path)
+
+
+def bounded(exact: DataFrame, estimated: DataFrame, *keys: str) -> DataFrame:
+    """The exact counts, and whether each estimate is within its margin of them."""
+    counts = [c for c in exact.columns if c not in keys]
+    near = [F.abs(F.col(f"x.{c}") - F.col(f"s.{c}")) <= F.col("s.margin") for c in counts]
+    same = [F.col(f"x.{k}") == F.col(f"s.{k}") for k in keys] or [F.lit(True)]
+    return exact.alias("x").join(estimated.alias("s"), same).select("x.*", reduce(and_, near).alias("within_margin"))
+
+
+@query("t4_users_from_sketches")
+def _(spark, sf):
+    log = fixture.requests(spark, sf)
+    per_day = sketches.users_per_day(stored_sketches(spark, log), START, END)
+    return bounded(traffic.unique_users_per_day(log, START, END), per_day, "day")
+
+
+@query("t4_trailing_users_from_sketches")
+def _(spark, sf):
+    log = fixture.requests(spark, sf)
+    weeks = sketches.trailing_users(stored_sketches(spark, log), START, END, 7)
+    return bounded(traffic.trailing_users(log, START, END, 7), weeks, "day")
+
+
+@query("v3_from_sketches")
+def _(spark, sf):
+    log = fixture.requests(spark, sf)
+    counts = sketches.visitor_counts(stored_sketches(spark, log), START, END)
+    return bounded(visitors.visitor_counts(log, START, END), counts)
+
+
 on_log("v1_first_visits", visitors.first_visits)
 on_log("v1_first_visit_times", visitors.first_visit_times)
 on_period("v2_last_visits", visitors.last_visits)
