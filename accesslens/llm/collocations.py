@@ -6,8 +6,8 @@ and windows along frequent pairs. The tasks know these by filters of a fixed lar
 that may let more through, never less.
 
 Words are 64-bit hashes. A task counts windows in a HAT-trie: hash containers under a shallow
-trie of word ids, where a container that grows too large bursts into one per next word. Past
-a number of entries, whole subtrees leave as sorted runs. Spark deals the runs by the prefix
+trie of word ids, where a container that grows too large bursts. Past a number of entries,
+whole subtrees leave as sorted runs. Spark deals the runs by the prefix
 that all phrases of a pass have (two words, or three), sorts them, and each partition adds up
 its runs in order, giving the counts of all phrase lengths at once. Equal windows of a task
 leave as one row, so a hot pair or prefix costs its distinct continuations, not its
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from accesslens.llm.shared import quoted, record, small_batches, stored
 
 LONGEST = 5
-#: Entries of a container before it bursts, and of a trie before subtrees are spilled.
-BURST = 4096
-TRIE_ENTRIES = 400_000
+#: Entries of a container before it bursts, and of a trie before subtrees are spilled (100 MB).
+BURST = 32_768
+TRIE_ENTRIES = 1_500_000
 #: Words and their ids that a task remembers, and distinct words that it counts, at a time.
 KNOWN_WORDS = 300_000
 #: Bytes of text that are split into words together.
@@ -137,71 +137,151 @@ def _id_matrix(words: pa.Array, width: int | None = None) -> np.ndarray:
     return ids
 
 
-class HatTrie:
-    """Counts of byte keys of eight bytes a word: hash containers under a trie of words."""
-
-    def __init__(self, burst: int = BURST, most: int = TRIE_ENTRIES):
-        self.root: dict[bytes, _Container | dict] = {}
-        self.sizes: Counter[bytes] = Counter()
-        self.entries, self.burst, self.most = 0, burst, most
-
-    def add(self, keys: list[bytes], counts: list[int]) -> None:
-        root, burst = self.root, self.burst
-        for key, n in zip(keys, counts):
-            node, parent, at = root, None, 0
-            while type(node) is dict:
-                parent, word = node, key[at : at + 8]
-                at += 8
-                node = parent.get(word)
-                if node is None:
-                    node = parent[word] = _Container()
-            tail = key[at:]
-            before = node.get(tail)
-            if before is not None:
-                node[tail] = before + n
+class _Container:
+    """Windows of a trie range by their hash; new ones wait until they are as many as the counted ones."""
+
+    def __init__(self, hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray):
+        self.hashes, self.rows, self.counts = hashes, rows, counts
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.entries = len(hashes)
+
+    def add(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        self.waiting.append((hashes, rows))
+        self.entries += len(hashes)
+
+    def settle(self) -> None:
+        """Count what waits; windows of one hash are compared in full."""
+        if not self.waiting:
+            return
+        hashes = np.concatenate([self.hashes, *(h for h, _ in self.waiting)])
+        rows = np.concatenate([self.rows, *(r for _, r in self.waiting)])
+        counts = np.concatenate([self.counts, np.ones(len(hashes) - len(self.counts), np.int64)])
+        self.waiting = []
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        same = np.flatnonzero(~new)
+        new[same] = (rows[order[same]] != rows[order[same - 1]]).any(axis=1)
+        at = np.flatnonzero(new)
+        self.hashes, self.rows = hashes[at], rows[order[at]]
+        self.counts = np.add.reduceat(counts[order], at)
+        self.entries = len(at)
+
+    def part(self, chosen: np.ndarray) -> _Container:
+        return _Container(self.hashes[chosen], self.rows[chosen], self.counts[chosen])
+
+    def leaves(self) -> list[_Container]:
+        self.settle()
+        return [self]
+
+
+class _Node:
+    """Children by the word at one depth; a child covers the words from its bound to the next."""
+
+    def __init__(self, depth: int, child: _Container):
+        self.depth, self.children = depth, [child]
+        self.bounds = np.zeros(1, np.uint64)
+
+    @property
+    def entries(self) -> int:
+        return sum(child.entries for child in self.children)
+
+    def add(self, hashes: np.ndarray, rows: np.ndarray, burst: int) -> None:
+        child = np.searchsorted(self.bounds, rows[:, self.depth], side="right") - 1
+        order = np.argsort(child.astype(np.uint16), kind="stable")
+        ends = np.cumsum(np.bincount(child, minlength=len(self.children)))
+        for k in range(len(self.children) - 1, -1, -1):  # from the last, because children may burst
+            mine = order[ends[k - 1] if k else 0 : ends[k]]
+            if not len(mine):
+                continue
+            to = self.children[k]
+            if isinstance(to, _Node):
+                to.add(hashes[mine], rows[mine], burst)
                 continue
-            node[tail] = n
-            self.sizes[key[:8]] += 1
-            self.entries += 1
-            if len(node) > burst and at + 8 < len(key):
-                parent[key[at - 8 : at]] = node.burst()
+            to.add(hashes[mine], rows[mine])
+            if to.entries > burst + 2 * len(to.hashes):
+                to.settle()
+                self._burst(k, burst)
+
+    def _burst(self, k: int, burst: int) -> None:
+        """Halve the words of a container that is too large; one of a single word becomes a node."""
+        whole = self.children[k]
+        if whole.entries <= burst or len(self.children) >= 1 << 15:
+            return
+        words = whole.rows[:, self.depth]
+        low, middle = words.min(), np.partition(words, len(words) // 2)[len(words) // 2]
+        if low == words.max():
+            if self.depth + 1 < whole.rows.shape[1]:
+                self.children[k] = _Node(self.depth + 1, whole)
+                self.children[k]._burst(0, burst)
+            return
+        cut = middle if middle > low else words[words > low].min()
+        self.children[k : k + 1] = [whole.part(words < cut), whole.part(words >= cut)]
+        self.bounds = np.insert(self.bounds, k + 1, cut)
+        self._burst(k + 1, burst)
+        self._burst(k, burst)
+
+    def leaves(self) -> list[_Container]:
+        return [leaf for child in self.children for leaf in child.leaves()]
 
-    def spilled(self) -> Iterator[pa.RecordBatch]:
-        """Once the trie is full, its largest subtrees, until half of the entries are left."""
-        if self.entries > self.most:
-            for word, _ in self.sizes.most_common():
-                yield self._taken(word)
-                if 2 * self.entries <= self.most:
-                    return
 
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        for word in sorted(self.root):
-            yield self._taken(word)
+class HatTrie:
+    """Counts of windows of word ids: hash containers under a shallow trie of words.
 
-    def _taken(self, word: bytes) -> pa.RecordBatch:
-        self.entries -= self.sizes.pop(word)
-        keys, counts = [], []
-        _sorted_entries(word, self.root.pop(word), keys, counts)
-        return record(_RUNS, keys, counts)
+    A container covers a range of words at its depth and bursts into two; one that covers a
+    single word bursts into a node of the next depth. Windows are rows of ids, filled up
+    with zeros.
+    """
 
+    def __init__(self, width: int, burst: int = BURST, most: int = TRIE_ENTRIES):
+        self.width, self.burst, self.most = width, burst, most
+        self.root = _Node(0, self._empty())
 
-class _Container(dict):
-    """Counts by the rest of the key."""
+    def _empty(self) -> _Container:
+        return _Container(np.zeros(0, np.uint64), np.zeros((0, self.width), np.uint64), np.zeros(0, np.int64))
 
-    def burst(self) -> dict:
-        node: dict[bytes, _Container] = {}
-        for tail, n in self.items():
-            node.setdefault(tail[:8], _Container())[tail[8:]] = n
-        return node
+    @property
+    def entries(self) -> int:
+        return self.root.entries
 
+    def add(self, rows: np.ndarray) -> None:
+        self.root.add(_hashed(list(rows.T)), rows, self.burst)
 
-def _sorted_entries(path: bytes, node: dict, keys: list, counts: list) -> None:
-    for word in sorted(node):
-        if type(node) is dict:
-            _sorted_entries(path + word, node[word], keys, counts)
-        else:
-            keys.append(path + word)
-            counts.append(node[word])
+    def spilled(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Once the trie is full, its largest subtrees, until half of the entries are left."""
+        if self.entries <= self.most:
+            return
+        self.root.leaves()  # settles all
+        left = self.entries
+        for k in sorted(range(len(self.root.children)), key=lambda k: -self.root.children[k].entries):
+            if 2 * left <= self.most:
+                return
+            left -= self.root.children[k].entries
+            yield from self._taken(k)
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(len(self.root.children)):
+            yield from self._taken(k)
+
+    def _taken(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A subtree as a sorted run of windows and counts; its place stays, empty."""
+        leaves = self.root.children[k].leaves()
+        self.root.children[k] = self._empty()
+        for leaf in leaves:  # the words of leaves ascend, so runs of leaves follow each other
+            if leaf.entries:
+                order = np.lexsort(leaf.rows.T[::-1])
+                yield leaf.rows[order], leaf.counts[order]
+
+
+def _run(lang: np.uint64, rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Windows as keys: the language and the words, eight bytes each."""
+    full = np.concatenate([np.full((len(rows), 1), lang, np.uint64), rows], axis=1)
+    held = np.concatenate([np.ones((len(rows), 1), bool), rows != 0], axis=1)
+    offsets = np.concatenate([[0], np.cumsum(8 * held.sum(axis=1))]).astype(np.int32)
+    flat = full[held].astype(">u8").tobytes()
+    words = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)])
+    return record(_RUNS, words, counts)
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
@@ -273,8 +353,8 @@ class _Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def _windows(lang: np.uint64, ids: np.ndarray, pairs: Filter | None) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of language and ids, filled up with zeros, and the number of words of each.
+def _windows(lang: np.uint64, ids: np.ndarray, pairs: Filter | None) -> np.ndarray:
+    """Rows of ids, filled up with zeros.
 
     Without a filter of pairs, all pairs; with it, windows of three to five words whose
     pairs pass it, as long as they can be from each word on.
@@ -291,28 +371,8 @@ def _windows(lang: np.uint64, ids: np.ndarray, pairs: Filter | None) -> tuple[np
         on &= joined[k : k + len(size)]
         size += on
     at = np.flatnonzero(size >= (3 if pairs else 2))
-    size = size[at]
-    rows = np.empty((len(at), width + 1), np.uint64)
-    rows[:, 0] = lang
-    for k in range(width):
-        rows[:, k + 1] = np.where(k < size, ids[at + k], 0)
-    return rows, size
-
-
-def _distinct(rows: np.ndarray, size: np.ndarray) -> tuple[list[bytes], list[int]]:
-    """Each row once, as bytes, and how often it occurs."""
-    hashed = _hashed(list(rows.T))
-    order = np.argsort(hashed)
-    hashed, rows = hashed[order], rows[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (hashed[1:] != hashed[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)
-    at = np.flatnonzero(new)
-    counts = np.diff(np.append(at, len(rows)))
-    width = 8 * rows.shape[1]
-    raw = rows[at].astype(">u8").tobytes()
-    ends = 8 * (size[order][at] + 1)
-    starts = np.arange(len(at)) * width
-    return [raw[a:b] for a, b in zip(starts.tolist(), (starts + ends).tolist())], counts.tolist()
+    columns = [np.where(k < size[at], ids[at + k], 0) for k in range(width)]
+    return np.stack(columns, axis=1)
 
 
 def sorted_runs(
@@ -323,42 +383,37 @@ def sorted_runs(
     small_batches(spark)
     shared = spark.sparkContext.broadcast((words, pairs))
 
+    width = LONGEST if pairs else 2
+
     def run(batches):
         words, pairs = shared.value
         tries: dict[str, HatTrie] = {}
         known: dict[str, _Ids] = {}
+
+        def taken():
+            for lang, trie in tries.items():
+                yield from (_run(known[lang].lang, *part) for part in trie.rest())
+            tries.clear()
+            known.clear()
+
         for batch in batches:
             for lang, text in _by_language(batch):
                 if lang not in known:
                     known[lang] = _Ids(np.uint64(word_id(lang.encode())), words)
                 ids = known[lang].of(split_words(text))
-                # one trie for all languages would only add a level with few branches
-                trie = tries.setdefault(lang, HatTrie(min(BURST, most // 8), most))
-                rows, size = _windows(known[lang].lang, ids, pairs)
+                # a trie for each language: they share no words
+                trie = tries.setdefault(lang, HatTrie(width, min(BURST, most // 8), most))
+                rows = _windows(known[lang].lang, ids, pairs)
                 if len(rows):
-                    keys, counts = _distinct(rows[:, 1:], size - 1)
-                    trie.add(keys, counts)
-                    prefix = int(known[lang].lang).to_bytes(8, "big")
-                    yield from (_under(prefix, run) for run in trie.spilled())
+                    trie.add(rows)
+                    yield from (_run(known[lang].lang, *part) for part in trie.spilled())
             if sum(trie.entries for trie in tries.values()) > 2 * most or len(known) > 64:
-                yield from _all(tries, known)
-        yield from _all(tries, known)
+                yield from taken()
+        yield from taken()
 
     return _texts(docs, text_col, lang_col).mapInArrow(run, _RUNS_DDL)
 
 
-def _all(tries: dict[str, HatTrie], known: dict[str, _Ids]) -> Iterator[pa.RecordBatch]:
-    for lang, trie in tries.items():
-        prefix = int(known[lang].lang).to_bytes(8, "big")
-        yield from (_under(prefix, run) for run in trie.rest())
-    tries.clear()
-    known.clear()
-
-
-def _under(prefix: bytes, run: pa.RecordBatch) -> pa.RecordBatch:
-    return record(_RUNS, [prefix + key for key in run.column("words").to_pylist()], run.column("n"))
-
-
 def merged_runs(runs: DataFrame, shortest: int, longest: int, min_count: int) -> DataFrame:
     """`words`, `n` of all phrases of these lengths with at least `min_count` occurrences.
 

@@ -91,20 +91,24 @@ def test_products_past_64_bits(spark):
 
 def test_trie_gives_back_what_was_added():
     rng = np.random.default_rng(3)
-    trie, wanted, got = co.HatTrie(burst=4, most=60), collections.Counter(), collections.Counter()
-    runs = []
-    for _ in range(50):
-        keys = [rng.integers(0, 3, rng.integers(1, 6)).astype(">u8").tobytes() for _ in range(20)]
-        trie.add(keys, [2] * 20)
-        wanted.update(keys * 2)
+    trie, wanted, got = co.HatTrie(5, burst=8, most=150), collections.Counter(), collections.Counter()
+    runs, depth = [], 0
+    for k in range(60):
+        rows = rng.integers(1, 2 + k % 7, (rng.integers(1, 60), 5)).astype(np.uint64)
+        rows[rng.random(len(rows)) < 0.3, 3:] = 0
+        trie.add(rows)
+        wanted.update(map(tuple, rows.tolist()))
         runs += trie.spilled()
-        assert trie.entries <= 60
+        assert trie.entries <= 150
+        depth = max([depth, *(isinstance(c, co._Node) for c in trie.root.children)])
     runs += trie.rest()
-    for run in runs:
-        keys = run.column("words").to_pylist()
+    assert depth and len(trie.root.children) > 3  # both kinds of containers have burst
+    for rows, counts in runs:
+        keys = [tuple(row) for row in rows.tolist()]
         assert keys == sorted(set(keys))
-        got.update(dict(zip(keys, run.column("n").to_pylist())))
-    assert got == wanted and trie.entries == 0 and not trie.root
+        for key, n in zip(keys, counts.tolist()):
+            got[key] += n
+    assert got == wanted and trie.entries == 0
 
 
 def test_no_candidate_is_filtered_out(spark):
