@@ -1,12 +1,18 @@
-"""Requests per clock hour over a stream, with a watermark for late ones."""
+"""Requests per clock hour over a stream, with a watermark for late ones.
+
+Two sinks: files that hold an hour once it has closed, and a table in which the open hours
+stand too and are replaced as they grow.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from accesslens.functions.periods import DateLike
 from accesslens.functions.statuses import STATUS_CLASSES, class_codes, status_group
+from accesslens.operators.selection import on_days
 from accesslens.schema import require_columns
 
 
@@ -53,3 +59,53 @@ def write_hourly_counts(
         .trigger(availableNow=True)
         .start(path)
     )
+
+
+def upsert_hours(hours: DataFrame, batch_id: int, path: str) -> None:
+    """Put a batch of `hourly_counts` rows into the table at `path`.
+
+    A batch owns one partition in each day that it touches and overwrites just these, so
+    running it again, whole or after half of it was written, leaves the same table. What
+    earlier batches wrote is never touched, so a failure cannot lose it. A day gets a
+    partition per batch while its hours are open, and no more after that.
+    """
+    stamped = hours.withColumns({"day": F.to_date("window_start"), "batch_id": F.lit(batch_id).cast("bigint")})
+    (
+        stamped.coalesce(1)  # one row per hour that changed
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day", "batch_id")
+        .parquet(path)
+    )
+
+
+def write_hourly_upserts(
+    requests: DataFrame, path: str, checkpoint: str, lateness: str = "1 hour"
+) -> StreamingQuery:
+    """Process what is available into the table that `upserted_hours` reads, and stop.
+
+    Every hour with requests is there after each batch, the open ones included. `path` and
+    `checkpoint` must lie in storage all executors share.
+    """
+    return (
+        hourly_counts(requests, lateness)
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda hours, batch_id: upsert_hours(hours, batch_id, path))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def upserted_hours(
+    spark: SparkSession, path: str, start: DateLike | None = None, end: DateLike | None = None
+) -> DataFrame:
+    """The newest counts of each hour, `day` and the columns of `hourly_counts`.
+
+    A batch has the whole counts of the hours it changed, so the row of the last batch is
+    taken; of the days, only those within the bounds are read.
+    """
+    rows = on_days(spark.read.parquet(path), start, end)
+    columns = [c for c in rows.columns if c not in ("day", "batch_id", "window_start")]
+    newest = F.max_by(F.struct(*columns), "batch_id").alias("newest")
+    return rows.groupBy("day", "window_start").agg(newest).select("day", "window_start", "newest.*")

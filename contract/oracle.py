@@ -392,6 +392,7 @@ ORACLE_SQL: dict[str, str] = {
     "v1_first_visits": _sql(
         "SELECT ip, user_agent, min(CAST(timestamp_utc AS DATE)) AS first_visit_date FROM weblog GROUP BY ip, user_agent"
     ),
+    "v1_streamed_first_visits": _sql("SELECT ip, user_agent, first_time AS first_visit_time FROM f", FIRST_EVER),
     "v1_first_visit_times": _sql("SELECT ip, user_agent, first_time AS first_visit_time FROM f", FIRST_EVER),
     "v1_first_seen_merged": _sql("SELECT ip, user_agent, first_time AS first_visit_time FROM f", FIRST_EVER),
     "v1_first_seen_added": _sql("SELECT ip, user_agent, first_time AS first_visit_time FROM f", FIRST_EVER),
@@ -636,4 +637,10 @@ ORACLE_SQL: dict[str, str] = {
         + f" FROM (SELECT date_trunc('hour', timestamp_utc) AS h, {GROUP} AS g FROM weblog)"
         f" GROUP BY h HAVING h + INTERVAL 1 HOUR <= {NEWEST} - INTERVAL 1 HOUR"
     ),
+    # every hour of the period, the last ones too, though none has closed behind them
+    "s1_upserted_hourly_counts": _sql(
+        f"SELECT CAST(h AS DATE) AS day, h AS window_start, h + INTERVAL 1 HOUR AS window_end, {HITS} AS traffic_sum, "
+        + _cells("CAST(count(*) FILTER (WHERE g = {group}) AS BIGINT) AS {name}")
+        + f" FROM (SELECT date_trunc('hour', timestamp_utc) AS h, {GROUP} AS g FROM weblog WHERE {DAYS}) GROUP BY h"
+    ),
 }

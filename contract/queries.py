@@ -17,7 +17,8 @@ from accesslens.plans import first_seen, rollups, sketches, views
 from accesslens.schema import require_columns
 from accesslens.session import shared_folder
 from accesslens.sources import readers, writers
-from accesslens.streaming.hourly import write_hourly_counts
+from accesslens.streaming.first_visits import streamed_first_visits, write_first_visits
+from accesslens.streaming.hourly import upserted_hours, write_hourly_counts, write_hourly_upserts
 from contract import fixture
 
 START, END = "2024-01-05", "2024-01-25"
@@ -539,13 +540,30 @@ on_search("l6_displayed", lambda found: search.displayed(search.search_page(foun
 # -- streaming ---------------------------------------------------------------------------------
 
 
-@query("s1_streamed_hourly_counts")
-def _(spark, sf):
+def streamed(spark: SparkSession, sf: str, name: str, write: Callable) -> str:
+    """Run the events through a stream into a new folder, and its path."""
     stream = spark.readStream.schema(fixture.EVENTS_SCHEMA)
     arrivals = stream.option("pathGlobFilter", "events.parquet").parquet(sf)
-    folder = _new_folder(spark, "hourly")
-    out, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
-    write_hourly_counts(fixture.request_log(arrivals), out, checkpoint).awaitTermination()
-    hours = spark.read.parquet(out)
+    folder = _new_folder(spark, name)
+    write(fixture.request_log(arrivals), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/out"
+
+
+@query("s1_streamed_hourly_counts")
+def _(spark, sf):
+    hours = spark.read.parquet(streamed(spark, sf, "hourly", write_hourly_counts))
+    bounds = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    return hours.withColumns(bounds)
+
+
+@query("s1_upserted_hourly_counts")
+def _(spark, sf):
+    hours = upserted_hours(spark, streamed(spark, sf, "upserts", write_hourly_upserts), START, END)
     bounds = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
     return hours.withColumns(bounds)
+
+
+@query("v1_streamed_first_visits")
+def _(spark, sf):
+    found = streamed_first_visits(spark, streamed(spark, sf, "first-visits", write_first_visits))
+    return found.withColumn("first_visit_time", F.col("first_visit_time").cast("timestamp_ntz"))

@@ -4,7 +4,13 @@ import pytest
 from conftest import moment, tuples
 from pyspark.sql import functions as F
 
-from accesslens.streaming.hourly import hourly_counts, write_hourly_counts
+from accesslens.streaming.hourly import (
+    hourly_counts,
+    upsert_hours,
+    upserted_hours,
+    write_hourly_counts,
+    write_hourly_upserts,
+)
 
 SCHEMA = "timestamp_utc timestamp, status_code int"
 
@@ -53,3 +59,40 @@ def test_batch_form_lists_every_hour(spark):
 def test_required_columns(spark):
     with pytest.raises(ValueError, match="status_code"):
         hourly_counts(spark.range(1).select(F.current_timestamp().alias("timestamp_utc")))
+
+
+def upserted(spark, source, out, checkpoint):
+    stream = spark.readStream.schema(SCHEMA).parquet(source)
+    write_hourly_upserts(stream, out, checkpoint).awaitTermination()
+    found = upserted_hours(spark, out).orderBy("window_start")
+    return [(r.window_start.hour, r.traffic_sum, r["2xx"]) for r in found.collect()]
+
+
+def test_open_hours_are_replaced_as_they_grow(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    put(spark, source, ("05:10:00", 200), ("05:50:00", 404), ("06:30:00", 200))
+    assert upserted(spark, source, out, checkpoint) == [(5, 2, 1), (6, 1, 1)]
+    put(spark, source, ("05:59:00", 500), ("07:10:00", 200), ("06:31:00", 200))
+    assert upserted(spark, source, out, checkpoint) == [(5, 3, 1), (6, 2, 2), (7, 1, 1)]
+    put(spark, source, ("05:00:00", 200), ("08:30:00", 200))  # too late for hour 5
+    after = [(5, 3, 1), (6, 2, 2), (7, 1, 1), (8, 1, 1)]
+    assert upserted(spark, source, out, checkpoint) == after
+    assert upserted(spark, source, out, checkpoint) == after
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = [("05:10:00", 200), ("05:50:00", 404), ("23:50:00", 100)]
+    batch = spark.createDataFrame([(moment(f"2024-01-0{d} {a}"), c) for d in (1, 2) for a, c in rows], SCHEMA)
+    first, grown = hourly_counts(batch.where("status_code > 200")), hourly_counts(batch)
+    upsert_hours(first, 3, out)
+    upsert_hours(grown, 4, out)
+    before = sorted(tuples(upserted_hours(spark, out)))
+    files = spark.read.parquet(out).inputFiles()
+    assert len(before) == 4 and sum(r[3] for r in before) == 6
+    upsert_hours(grown, 4, out)  # again
+    upsert_hours(grown.where("day(window_start) = 1"), 4, out)  # and cut off after its first day
+    assert sorted(tuples(upserted_hours(spark, out))) == before
+    assert len(spark.read.parquet(out).inputFiles()) == len(files)
+    (day,) = {r.day for r in upserted_hours(spark, out, "2024-01-02", None).collect()}
+    assert day == dt.date(2024, 1, 2)
