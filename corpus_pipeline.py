@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from accesslens.llm import decontamination, pieces, pseudonyms, simhash, toxicity
 from accesslens.llm.queries import PIECE_MODEL, PSEUDONYM_KEY, piece_digests, toxicity_model
-from accesslens.llm.shared import checkpointed, table
+from accesslens.llm.shared import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder for the next."""
+    """All stages over `documents`, each written as Parquet to the shared folder for the next."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
