@@ -12,6 +12,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: How exact the times of a table are, finest first.
+GRAINS = ("exact", "hour", "day")
+
+
+def grain_of(log: DataFrame) -> str | None:
+    """`exact` for a raw log, the grain of a rollup, None for one that does not tell.
+
+    The grain is metadata of `hits`, which Spark keeps in the files and the catalog: it is
+    known before anything is read.
+    """
+    if "hits" not in log.columns:
+        return "exact"
+    return log.schema["hits"].metadata.get("grain")
+
+
+def with_grain(rollup: DataFrame, grain: str) -> DataFrame:
+    """A rollup that came from elsewhere, with its grain told."""
+    if grain not in GRAINS:
+        raise ValueError(f"unknown grain: {grain}")
+    return rollup.withMetadata("hits", {**rollup.schema["hits"].metadata, "grain": grain})
+
+
+def require_grain(log: DataFrame, needed: str) -> DataFrame:
+    """Return `log` unchanged, or raise `ValueError` where its times are too coarse for the operator."""
+    grain = grain_of(log)
+    if grain not in GRAINS:
+        raise ValueError("a rollup without a known grain: name it with measures.with_grain")
+    if GRAINS.index(grain) > GRAINS.index(needed):
+        raise ValueError(f"times by {grain} are too coarse: this needs {needed} ones")
+    return log
+
+
 def hits(log: DataFrame) -> Column:
     """Number of requests."""
     if "hits" in log.columns:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from accesslens.functions.measures import require_grain
+
 DateLike = str | dt.date
 
 
@@ -100,6 +102,7 @@ def last_hours(
     `bounded=False` leaves the upper end open; against the log's own newest
     timestamp the result is the same.
     """
+    require_grain(log, "exact")
     newest = _moment(log, anchor)
     condition = since(log, newest - F.expr(f"INTERVAL {int(hours)} HOURS"))
     if bounded and anchor is not None:
@@ -109,6 +112,7 @@ def last_hours(
 
 def closed_hours(log: DataFrame, hours: int, anchor: Column | dt.datetime | None = None) -> Column:
     """The `hours` full clock hours before the hour of the newest request."""
+    require_grain(log, "hour")
     current = F.date_trunc("hour", _moment(log, anchor))
     condition = since(log, current - F.expr(f"INTERVAL {int(hours)} HOURS"))
     return condition & (F.col("timestamp_utc") < as_log_time(log, current))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from accesslens.functions.display import thousands
-from accesslens.functions.measures import hits, hits_if, share_pct
+from accesslens.functions.measures import hits, hits_if, require_grain, share_pct
 from accesslens.functions.periods import DateLike
 from accesslens.functions.statuses import (
     STATUS_CLASSES,
@@ -97,6 +97,7 @@ def status_log_values(classes: DataFrame) -> DataFrame:
 
 def hourly_statuses(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """`hour, status_group, count` by hour of the day."""
+    require_grain(log, "hour")
     rows = on_dates(log, start, end)
     return rows.groupBy(
         F.hour("timestamp_utc").alias("hour"),

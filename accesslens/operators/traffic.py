@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accesslens.functions.display import hour_label
-from accesslens.functions.measures import hits
+from accesslens.functions.measures import hits, require_grain
 from accesslens.functions.periods import DateLike, as_log_time, date_lit
 from accesslens.operators.selection import in_closed_hours, on_days
 
@@ -19,12 +19,14 @@ def traffic_per_day(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame
 
 def traffic_per_hour(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """`hour_to_24, traffic_sum`; hours without requests are absent."""
+    require_grain(log, "hour")
     rows = on_days(log, start, end).withColumn("hour_to_24", F.hour("timestamp_utc"))
     return rows.groupBy("hour_to_24").agg(hits(log).alias("traffic_sum")).orderBy("hour_to_24")
 
 
 def traffic_avg_per_hour(log: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """`hour_to_24, avg_traffic`: mean over the days that have requests in that hour."""
+    require_grain(log, "hour")
     rows = on_days(log, start, end).withColumn("hour_to_24", F.hour("timestamp_utc"))
     per_day = rows.groupBy("day", "hour_to_24").agg(hits(log).alias("n"))
     mean = F.round(F.avg("n")).cast("bigint")

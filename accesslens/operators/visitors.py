@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accesslens.functions.measures import require_grain
 from accesslens.functions.periods import DateLike, date_lit, in_period, last_hours, request_date
 from accesslens.operators.selection import on_dates, on_device, top, without_nulls
 from accesslens.schema import VISITOR_KEY
@@ -28,6 +29,7 @@ def first_visits(log: DataFrame) -> DataFrame:
 
 def first_visit_times(log: DataFrame) -> DataFrame:
     """`ip, user_agent, first_visit_time` over the whole history."""
+    require_grain(log, "exact")
     return log.groupBy(VISITOR_KEY).agg(F.min("timestamp_utc").alias("first_visit_time"))
 
 
