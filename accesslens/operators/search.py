@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from accesslens.functions.display import clock_seconds
 from accesslens.functions.periods import DateLike, as_log_time, dates_within
@@ -110,6 +115,87 @@ def search_page(
     return ordered.offset(page * size).limit(size)
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a page ended: the last row, and how many rows equal to it have been shown."""
+
+    row: tuple
+    shown: int
+
+    @classmethod
+    def after(cls, rows: Sequence[Row], before: Place | None = None) -> Place | None:
+        """The place behind the rows of a page; `before` is the place at which the page began."""
+        if not rows:
+            return before
+        last = tuple(rows[-1][c] for c in RESULT_COLUMNS)
+        shown = sum(tuple(r[c] for c in RESULT_COLUMNS) == last for r in rows)
+        if before is not None and before.row == last:
+            shown += before.shown
+        return cls(last, shown)
+
+
+def next_page(
+    found: DataFrame,
+    place: Place | None = None,
+    size: int = PAGE_SIZE,
+    sort_by: str | None = None,
+    direction: str = "asc",
+) -> DataFrame:
+    """The `size` rows of a search result that follow `place`; its first rows for None.
+
+    Rows before the place are filtered out by their sort keys, in the scan where it can. So
+    each task keeps `size` rows on any page, where `search_page` keeps those of all pages
+    before as well. All columns are sort keys: only rows equal to the last one shown are
+    read again, and their number is skipped.
+    """
+    order = search_order(sort_by, direction)
+    if place is None:
+        return found.orderBy(*order).limit(size)
+    values = dict(zip(RESULT_COLUMNS, place.row, strict=True))
+    rest = found.where(_from_place(found, values, _directions(sort_by, direction)))
+    return rest.orderBy(*order).offset(place.shown).limit(size)
+
+
+def _directions(sort_by: str | None, direction: str) -> list[tuple[str, bool]]:
+    """The columns of `search_order`, and whether each descends."""
+    keys = [("timestamp", True)]
+    if sort_by in SORTABLE:
+        keys = [(sort_by, direction == "desc")] + (keys if sort_by != "timestamp" else [])
+    return keys + [(c, False) for c in TIE_COLUMNS]
+
+
+def _from_place(found: DataFrame, values: dict, keys: list[tuple[str, bool]]) -> Column:
+    """The row of these values and all after it. NULLs come first ascending, last descending."""
+    rest = F.lit(True)
+    for column, descending in reversed(keys):
+        c, value = F.col(column), values[column]
+        if value is None:
+            later = F.lit(False) if descending else c.isNotNull()
+            same = c.isNull()
+        else:
+            bound = _typed(found, column, value)
+            later = (c < bound) | c.isNull() if descending else c > bound
+            same = c == bound
+        rest = later | (same & rest)
+    # the first key alone, for the scan
+    column, descending = keys[0]
+    if values[column] is not None:
+        bound = _typed(found, column, values[column])
+        c = F.col(column)
+        rest = rest & ((c <= bound) | c.isNull() if descending else c >= bound)
+    return rest
+
+
+def _typed(found: DataFrame, column: str, value) -> Column:
+    kind = found.schema[column].dataType
+    if isinstance(value, dt.datetime):
+        if isinstance(kind, T.TimestampType):
+            # rows bring it in the local zone of this process
+            value = value.astimezone(dt.timezone.utc)
+        value = value.isoformat(sep=" ")
+    return F.lit(value).cast(kind)
+
+
 def page_info(found: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
     """`total_count, start_row, end_row, page_count` of a search result."""
     total = F.col("total_count")

@@ -51,6 +51,25 @@ def sample_rows(log: DataFrame, limit: int) -> DataFrame:
     return log.limit(limit)
 
 
+def stable_sample(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """The `limit` rows with the least hash of `keys` (all columns if none are named).
+
+    The same rows come out on every run and however the table is cut; a row's hash is its
+    own, so samples of parts, such as days, merge by `merged_samples` into the sample of the
+    whole. Each task passes on `limit` rows. Rows of one hash are taken in the order of the
+    keys; equal rows are all of one hash, so a row that is there often does not come alone.
+    """
+    keys = keys or tuple(rows.columns)
+    # NULL and text differ by their first letter; lengths keep neighbours apart
+    told = [F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in (F.col(k).cast("string") for k in keys)]
+    return rows.orderBy(F.md5(F.concat_ws("|", *told).cast("binary")), *keys).limit(limit)
+
+
+def merged_samples(first: DataFrame, second: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """The sample of both tables from the `stable_sample` of each, by the same keys."""
+    return stable_sample(first.unionByName(second), limit, *keys)
+
+
 def read_cities(spark: SparkSession, path: str) -> DataFrame:
     """City table from a CSV file with a header; extra columns are ignored.
 

@@ -305,6 +305,13 @@ def _cells(template: str) -> str:
 ORACLE_SQL: dict[str, str] = {
     # sources and sinks
     "a1_run_sql": _sql(PER_DAY),
+    "a2_stable_sample": _sql(
+        "SELECT timestamp_utc, ip, user_agent, status_code FROM keyed"
+        " ORDER BY md5(array_to_string([coalesce(length(x) || ':' || x, '-') FOR x IN keys], '|')),"
+        " timestamp_utc, ip NULLS FIRST, user_agent NULLS FIRST, status_code NULLS FIRST LIMIT 500",
+        "keyed AS (SELECT *, [CAST(epoch_us(timestamp_utc) AS VARCHAR), ip, user_agent, CAST(status_code AS VARCHAR)] AS keys"
+        " FROM weblog)",
+    ),
     "a3_open_table": _sql(f"SELECT http_method, {HITS} AS count FROM weblog GROUP BY http_method"),
     "a4_full_scan": _sql("SELECT * FROM weblog"),
     "a5_read_cities": _sql(
@@ -486,6 +493,7 @@ ORACLE_SQL: dict[str, str] = {
     "f8_channel_distribution": _sql(CHANNEL_DISTRIBUTION),
     "f8_from_rollup": _sql(CHANNEL_DISTRIBUTION),
     "f9_top_paths": _sql(_top("url_path", "weblog", f"{PERIOD} AND {RANKABLE}")),
+    "f9_top_paths_by_candidates": _sql(_top("url_path", "weblog", f"{PERIOD} AND {RANKABLE}")),
     "f10_top_paths_24h": _sql(_top("url_path", "weblog", f"{LAST_24H} AND {RANKABLE}")),
     "f11_daily_channel_pivot": _sql(
         "SELECT CAST(timestamp_utc AS DATE) AS visit_date, "
@@ -500,6 +508,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "f13_channel_totals": _sql(f"SELECT {LIST_CHANNEL} AS channel, {HITS} AS count FROM latest GROUP BY 1", LATEST),
     "f14_top_urls": _sql(_top("url", "latest", "url IS NOT NULL"), LATEST),
+    "f14_top_urls_by_candidates": _sql(_top("url", "latest", "url IS NOT NULL"), LATEST),
     "f15_sample_date_range": _sql(
         'SELECT min(CAST(timestamp_utc AS DATE)) AS "start", max(CAST(timestamp_utc AS DATE)) AS "end" FROM latest', LATEST
     ),
@@ -603,6 +612,7 @@ ORACLE_SQL: dict[str, str] = {
     "h11_available_classes_24h": _sql(_available("classes"), DAY_CLASSES),
     "h12_error_ips_4xx": _sql(_error_ips(400, 499)),
     "h12_error_ips_5xx": _sql(_error_ips(500, 599)),
+    "h12_error_ips_5xx_by_candidates": _sql(_error_ips(500, 599)),
     "h13_error_ips_by_class": _sql(
         f"SELECT '4xx' AS status_class, * FROM ({_error_ips(400, 499)})"
         f" UNION ALL SELECT '5xx', * FROM ({_error_ips(500, 599)})"
@@ -625,6 +635,10 @@ ORACLE_SQL: dict[str, str] = {
     "l4_capped_search": _sql("SELECT * FROM found", _found(cap=1000)),
     "l5_page": _sql(_page(3, 10), _found(_agent("chrome"))),
     "l5_last_page": _sql(_page(6, 150), _found()),
+    "l5_next_page": _sql(_page(3, 10), _found(_agent("chrome"))),
+    "l5_next_page_by_os": _sql(
+        f"SELECT * FROM found ORDER BY user_os DESC NULLS LAST, {SEARCH_TIES} LIMIT 40 OFFSET 80", _found(_agent("opera"))
+    ),
     "l5_page_info": _sql(_info(3, 10), _found(_agent("chrome"))),
     "l6_displayed": _sql(
         f"SELECT * REPLACE (strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp) FROM ({_page(0, 50)})",

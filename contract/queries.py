@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from accesslens.functions.channels import channel_by_like, channel_by_list
 from accesslens.functions.periods import latest_timestamp
-from accesslens.operators import geography, referrers, search, selection, statuses, traffic, visitors
+from accesslens.operators import geography, heavy, referrers, search, selection, statuses, traffic, visitors
 from accesslens.plans import first_seen, rollups, sketches, views
 from accesslens.schema import require_columns
 from accesslens.session import shared_folder
@@ -85,6 +85,22 @@ def _(spark, sf):
     return counted.agg(F.count_if(~F.col("known")).alias("n_rows"), F.count_if("known").alias("n_known"))
 
 
+SAMPLED = ["timestamp_utc", "ip", "user_agent", "status_code"]
+
+
+def sample_by_days(log: DataFrame) -> DataFrame:
+    """A sample of 500 requests, merged from those of two parts of the log."""
+    parts = [selection.on_dates(log, None, SPLIT), log.where(F.col("day") > SPLIT)]
+    micros = F.unix_micros(F.col("timestamp_utc").cast("timestamp"))
+    parts = [p.withColumn("micros", micros).select("micros", *SAMPLED) for p in parts]
+    keys = ["micros", *SAMPLED[1:]]
+    samples = [readers.stable_sample(p, 500, *keys) for p in parts]
+    return readers.merged_samples(*samples, 500, *keys).drop("micros")
+
+
+on_log("a2_stable_sample", sample_by_days)
+
+
 @query("a3_open_table")
 def _(spark, sf):
     fixture.events_table(spark, sf).createOrReplaceTempView("accesslens_events")
@@ -357,6 +373,13 @@ on_log(
     ),
 )
 on_period("f9_top_paths", referrers.top_paths, urls=True)
+on_log(
+    "f9_top_paths_by_candidates",
+    lambda log: referrers.top_paths(
+        heavy.heavy_rows(selection.with_rankable_path(selection.on_dates(log, START, END)), 10, "url_path"), START, END
+    ),
+    urls=True,
+)
 on_log("f10_top_paths_24h", referrers.top_paths_24h, urls=True)
 
 
@@ -369,6 +392,10 @@ on_latest("f11_daily_channel_pivot", referrers.daily_channel_pivot)
 on_latest("f12_top_domains", referrers.top_domains)
 on_latest("f13_channel_totals", referrers.channel_totals)
 on_latest("f14_top_urls", referrers.top_urls)
+on_latest(
+    "f14_top_urls_by_candidates",
+    lambda rows: referrers.top_urls(heavy.heavy_rows(selection.without_nulls(rows, "url"), 10, "url")),
+)
 on_latest("f15_sample_date_range", referrers.sample_date_range)
 
 # -- geography ------------------------------------------------------------------------
@@ -503,6 +530,14 @@ on_period(
 )
 on_period("h12_error_ips_4xx", statuses.error_ips, status="4xx")
 on_period("h12_error_ips_5xx", statuses.error_ips, status="5xx")
+
+
+def heavy_error_ips(log: DataFrame) -> DataFrame:
+    errors = selection.on_dates(log, START, END).where(F.col("status_code").between(500, 599))
+    return statuses.error_ips(heavy.heavy_rows(errors, 10, "ip"), START, END, "5xx")
+
+
+on_log("h12_error_ips_5xx_by_candidates", heavy_error_ips)
 on_period("h13_error_ips_by_class", statuses.error_ips_by_class)
 on_log("h1_from_rollup", lambda log: statuses.status_groups(traffic_rollup(log), START, END))
 
@@ -534,6 +569,22 @@ on_search("l3_unknown_column", sort_by="no_such_column", geo="germany")
 on_search("l4_capped_search", cap=1000)
 on_search("l5_page", lambda found: search.search_page(found, 3), user_agent="chrome")
 on_search("l5_last_page", lambda found: search.search_page(found, 6, 150))
+
+
+def walked(found: DataFrame, pages: int, size: int, **order) -> DataFrame:
+    """The last of some pages, each found from the last row of the one before."""
+    place = None
+    for _ in range(pages - 1):
+        place = search.Place.after(search.next_page(found, place, size, **order).collect(), place)
+    return search.next_page(found, place, size, **order)
+
+
+on_search("l5_next_page", lambda found: walked(found, 4, 10), user_agent="chrome")
+on_search(
+    "l5_next_page_by_os",
+    lambda found: walked(found, 3, 40, sort_by="user_os", direction="desc"),
+    user_agent="opera",
+)
 on_search("l5_page_info", lambda found: search.page_info(found, 3), user_agent="chrome")
 on_search("l6_displayed", lambda found: search.displayed(search.search_page(found, 0, 50)), geo="iran")
 
