@@ -114,22 +114,38 @@ def city_counts(cube: DataFrame) -> DataFrame:
 
 
 def geocoded(
-    counts: DataFrame, cities: DataFrame, match_country: bool = False
+    counts: DataFrame,
+    cities: DataFrame,
+    match_country: bool = False,
+    countries: DataFrame | None = None,
 ) -> DataFrame:
     """City counts with `lat, lng` and `scaled_count`.
 
     Cities match by name only, so a name listed twice yields two rows and an
     unlisted one has NULL coordinates. `match_country=True` also compares the
-    country, which `counts` must then carry.
+    country, which `counts` must then carry. Logs and city files name countries
+    differently: with `countries` both names are looked up there and their codes
+    compared; a name it lacks is compared as it stands, in any letter case.
     """
     places = cities.select("city", "country", "lat", "lng")
-    keys = ["city", "country"] if match_country else ["city"]
-    joined = counts.join(places, keys, "left")
+    if match_country and countries is not None:
+        places = _with_country_key(places.withColumnRenamed("country", "listed"), "listed", countries).drop("listed")
+        joined = _with_country_key(counts, "country", countries).join(places, ["city", "country_key"], "left")
+    else:
+        joined = counts.join(places, ["city", "country"] if match_country else ["city"], "left")
     return joined.withColumn("scaled_count", F.col("count") * F.lit(CITY_SCALE)).select(
         "city", "count", "country", "lat", "lng", "scaled_count"
     )
 
 
+def _with_country_key(df: DataFrame, column: str, countries: DataFrame) -> DataFrame:
+    """`country_key`: the code of a country, or its own name where it is unknown."""
+    codes = countries.select(F.col("alias").alias("known_alias"), F.col("iso3").alias("known_code"))
+    name = F.lower(F.trim(column))
+    found = df.join(codes, name == F.col("known_alias"), "left")
+    return found.withColumn("country_key", F.coalesce("known_code", name)).drop("known_alias", "known_code")
+
+
 def country_counts_24h(
     log: DataFrame, countries: DataFrame, hours: int = 24, anchor=None
 ) -> DataFrame:

@@ -73,6 +73,15 @@ dim_city AS (SELECT * FROM (VALUES
 ) AS t(city, country, lat, lng))
 """
 
+# what ISO 3166 says of the names in the log and the city file; a bare "Korea" is in no such table
+ISO_NAMES = """
+iso AS (SELECT * FROM (VALUES
+  ('iran','IRN','Asia'),('united states of america','USA','North America'),('united states','USA','North America'),
+  ('germany','DEU','Europe'),('france','FRA','Europe'),('brazil','BRA','South America'),
+  ('singapore','SGP','Asia'),('antarctica','ATA',NULL)
+) AS t(alias, iso3, continent))
+"""
+
 PERIOD = "CAST(timestamp_utc AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'"
 DAYS = "day BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'"
 NEWEST = "(SELECT max(timestamp_utc) FROM weblog)"
@@ -546,6 +555,29 @@ ORACLE_SQL: dict[str, str] = {
     "g8_city_counts": _sql(
         "SELECT city, CAST(sum(count) AS BIGINT) AS count FROM located WHERE city IS NOT NULL GROUP BY city", LOCATED
     ),
+    "g3_shipped_countries": _sql(
+        "SELECT i.iso3 AS iso_alpha, c.country, CAST(sum(c.count) AS BIGINT) AS count"
+        f" FROM cube c JOIN iso i ON lower(c.country) = i.alias WHERE {DAYS} GROUP BY ALL",
+        CUBE,
+        ISO_NAMES,
+    ),
+    "g4_shipped_continents": _sql(
+        "SELECT i.continent, c.country, CAST(sum(c.count) AS BIGINT) AS count"
+        f" FROM cube c JOIN iso i ON lower(c.country) = i.alias WHERE {DAYS} AND i.continent IS NOT NULL"
+        " GROUP BY GROUPING SETS ((i.continent, c.country), (i.continent))",
+        CUBE,
+        ISO_NAMES,
+    ),
+    "g9_city_geocode_by_code": _sql(
+        "SELECT c.city, c.count, c.country, d.lat, d.lng, c.count * CAST(1.5 AS DOUBLE) AS scaled_count"
+        " FROM c LEFT JOIN iso i ON lower(c.country) = i.alias"
+        " LEFT JOIN (SELECT * FROM dim_city LEFT JOIN iso ON lower(country) = alias) d"
+        " ON c.city = d.city AND coalesce(i.iso3, lower(c.country)) = coalesce(d.iso3, lower(d.country))",
+        CUBE,
+        CITIES,
+        ISO_NAMES,
+        "c AS (SELECT city, country, CAST(sum(count) AS BIGINT) AS count FROM cube WHERE city IS NOT NULL GROUP BY ALL)",
+    ),
     "g9_city_geocode": _sql(
         "SELECT c.city, c.count, d.country, d.lat, d.lng, c.count * CAST(1.5 AS DOUBLE) AS scaled_count"
         " FROM c LEFT JOIN dim_city d ON c.city = d.city",

@@ -17,6 +17,7 @@ from accesslens.plans import first_seen, rollups, sketches, views
 from accesslens.schema import require_columns
 from accesslens.session import shared_folder
 from accesslens.sources import readers, writers
+from accesslens.sources.countries import country_table
 from accesslens.streaming.first_visits import streamed_first_visits, write_first_visits
 from accesslens.streaming.hourly import upserted_hours, write_hourly_counts, write_hourly_upserts
 from contract import fixture
@@ -480,6 +481,25 @@ def _(spark, sf):
     return geography.geocoded(counted, fixture.cities(spark), match_country=True)
 
 
+@query("g9_city_geocode_by_code")
+def _(spark, sf):
+    """Country names of the log against those of the city file, both by the shipped table."""
+    cube = geography.geo_cube(fixture.requests(spark, sf))
+    counts = selection.without_nulls(cube, "city").groupBy("city", "country")
+    counted = counts.agg(F.sum("count").alias("count"))
+    return geography.geocoded(counted, fixture.cities(spark), True, country_table(spark))
+
+
+def shipped_countries(log: DataFrame) -> DataFrame:
+    """The period's requests of countries that the table derived from locale data knows."""
+    sliced = geography.cube_slice(geography.geo_cube(log), START, END, [True, False])
+    return geography.located(sliced, country_table(log.sparkSession))
+
+
+on_log("g3_shipped_countries", lambda log: geography.country_counts(shipped_countries(log)))
+on_log("g4_shipped_continents", lambda log: geography.continent_totals(shipped_countries(log)))
+
+
 @query("g10_country_counts_24h")
 def _(spark, sf):
     return geography.country_counts_24h(fixture.requests(spark, sf), fixture.countries(spark))

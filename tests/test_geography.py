@@ -141,3 +141,20 @@ def test_lookup_files(spark, tmp_path):
     assert tuples(read_countries(spark, str(countries))) == [
         ("iran", "IRN", "Asia"), ("antarctica", "ATA", None),
     ]
+
+
+def test_countries_match_by_code_or_by_their_own_name(spark):
+    counts = spark.createDataFrame(
+        [("Paris", "France", 1), ("Ashburn", "United States of America", 2), ("X", "Nowhere", 3), ("Y", None, 4)],
+        "city string, country string, count long",
+    )
+    cities = spark.createDataFrame(
+        [("Paris", "France", 1.0, 2.0), ("Paris", "United States", 3.0, 4.0), ("Ashburn", "United States", 5.0, 6.0),
+         ("X", " nowhere", 7.0, 8.0), ("X", "Elsewhere", 9.0, 9.0), ("Y", None, 9.0, 9.0)],
+        "city string, country string, lat double, lng double",
+    )
+    found = geography.geocoded(counts, cities, True, country_table(spark))
+    assert sorted(tuples(found.select("city", "country", "lat"))) == [
+        ("Ashburn", "United States of America", 5.0), ("Paris", "France", 1.0), ("X", "Nowhere", 7.0), ("Y", None, None),
+    ]
+    assert tuples(geography.geocoded(counts, cities, True).where("city = 'Ashburn'"))[0][3] is None
