@@ -656,6 +656,9 @@ ORACLE_SQL: dict[str, str] = {
     "l1_search_wildcard": _sql(
         f"SELECT {SEARCH_ROWS} FROM weblog WHERE {SEARCH_TIME} AND ip ILIKE '%10._.0%' AND url ILIKE '%HTTP%/%'"
     ),
+    "l1_search_indexed": _sql(
+        f"SELECT {SEARCH_ROWS} FROM weblog WHERE {SEARCH_TIME} AND ip ILIKE '%172.16.3%5%' AND {_agent('chrome')}"
+    ),
     "l2_search_columns": _sql(f"SELECT {SEARCH_ROWS} FROM weblog"),
     "l3_sorted_by_os_desc": _sql(
         "SELECT * FROM found", _found("geo ILIKE '%iran%'", "user_os DESC NULLS LAST, ")

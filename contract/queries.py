@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from accesslens.functions.channels import channel_by_like, channel_by_list
 from accesslens.functions.periods import latest_timestamp
 from accesslens.operators import geography, heavy, referrers, search, selection, statuses, traffic, visitors
-from accesslens.plans import first_seen, rollups, sketches, views
+from accesslens.plans import first_seen, rollups, sketches, text_index, views
 from accesslens.schema import require_columns
 from accesslens.session import shared_folder
 from accesslens.sources import readers, writers
@@ -582,6 +582,19 @@ def _matches(log: DataFrame, **terms) -> DataFrame:
 
 on_log("l1_search_matches", partial(_matches, geo="IRAN", user_agent="chrome"), urls=True)
 on_log("l1_search_wildcard", partial(_matches, ip="10._.0", url="HTTP%/"), urls=True)
+
+
+@query("l1_search_indexed")
+def _(spark, sf):
+    """The stored log, its files chosen by the trigrams of an address and of an agent."""
+    path = _new_folder(spark, "indexed")
+    writers.write_log(fixture.requests(spark, sf, urls=True), f"{path}/log")
+    text_index.build_index(readers.open_log(spark, f"{path}/log")).write.parquet(f"{path}/index")
+    terms = {"ip": "172.16.3%5", "user_agent": "chrome"}
+    kept = text_index.pruned_log(spark, f"{path}/log", spark.read.parquet(f"{path}/index"), **terms)
+    return _matches(kept.log, **terms)
+
+
 on_log("l2_search_columns", search.search_columns, urls=True)
 on_search("l3_sorted_by_os_desc", sort_by="user_os", direction="desc", geo="iran")
 on_search("l3_sorted_by_status_asc", sort_by="status_code", user_agent="Windows")
