@@ -24,6 +24,9 @@ from accesslens.llm.shared import arrow_map, identified, quoted, record
 #: Labelled documents per class that training may use, and the longest of them.
 DOCS_PER_CLASS = 1500
 MAX_CHARS = 20_000
+#: Documents, and distinct words, whose windows and n-grams training looks at together.
+GROUP_DOCS = 100
+GROUP_WORDS = 20_000
 
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NGRAMS = (3, 4, 5)
@@ -100,72 +103,153 @@ def train(
         share = float(labels.mean()) if len(labels) else 0.0
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Model(np.zeros(buckets), 0.0, window, 1.0, float(np.log(share / (1 - share))))
-    vocabulary: dict[str, int] = {}
-    tokens, starts, sizes, owner, base = [], [], [], [], 0
-    for d, text in enumerate(texts):
-        words = words_of(text)
-        tokens.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], int))
-        begin = windows_of(len(words), window)
-        starts.append(begin + base)
-        sizes.append(np.minimum(window, len(words) - begin))
-        owner.append(np.full(len(begin), d))
-        base += len(words)
-    tokens, starts, sizes, owner = map(np.concatenate, (tokens, starts, sizes, owner))
-    full = sizes > 0
-    starts, sizes, owner = starts[full], sizes[full], owner[full]
-    grams, gram_word = ngram_ids(list(vocabulary), buckets)
-    gram_ptr = np.searchsorted(gram_word, np.arange(len(vocabulary)))
-    per_word = np.bincount(gram_word, minlength=len(vocabulary)).astype(np.float32)
-    # the words of each window, flat
-    slot = np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-    slot_word, slot_window = tokens[slot], np.repeat(np.arange(len(starts)), sizes)
-    doc_ptr = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    doc_of = owner[doc_ptr]
-    doc_size = np.diff(np.r_[doc_ptr, len(owner)])
-    y = labels[doc_of]
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-
+    bag = _Bag.of(texts, labels, buckets, window)
     random = np.random.default_rng(seed)
-    vectors = random.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
-    softmax = random.uniform(-1 / dim, 1 / dim, (dim, 2)).astype(np.float32)
-    offset = np.zeros(2, np.float32)
-    speed = [np.zeros_like(p) for p in (vectors, softmax, offset)]
-
-    def logits() -> tuple[np.ndarray, np.ndarray]:
-        word = np.add.reduceat(vectors[grams], gram_ptr) / per_word[:, None]
-        ptr = np.r_[0, np.cumsum(sizes)[:-1]]
-        mean = np.add.reduceat(word[slot_word], ptr) / sizes[:, None]
-        out = mean @ softmax + offset
-        return mean, out[:, 1] - out[:, 0]
-
+    parameters = [
+        random.uniform(-1 / dim, 1 / dim, shape).astype(np.float32) for shape in ((buckets, dim), (dim, 2))
+    ]
+    parameters.append(np.zeros(2, np.float32))
+    speed = [np.zeros_like(p) for p in parameters]
     for _ in range(epochs):
-        mean, z = logits()
-        top = np.maximum.reduceat(z, doc_ptr)
-        raised = np.exp(z - np.repeat(top, doc_size))
-        total = np.add.reduceat(raised, doc_ptr)
-        pooled = top + np.log(total / doc_size)
-        error = (1 / (1 + np.exp(-pooled)) - y) * weight
-        dz = (np.repeat(error / total, doc_size) * raised).astype(np.float32)
-        d_out = np.stack([-dz, dz], 1)
-        d_mean = (d_out @ softmax.T) / sizes[:, None]
-        d_slot = d_mean[slot_window]
-        d_vectors = np.empty_like(vectors)
-        for k in range(dim):
-            d_word = np.bincount(slot_word, d_slot[:, k], len(vocabulary)) / per_word
-            d_vectors[:, k] = np.bincount(grams, d_word[gram_word], buckets)
-        parameters = (vectors, softmax, offset)
-        gradients = (d_vectors + decay * vectors, mean.T @ d_out, d_out.sum(0))
+        gradients = bag.gradients(*parameters)
+        gradients[0] += decay * parameters[0]
         for p, g, v in zip(parameters, gradients, speed, strict=True):
             v *= 0.8
             v += g / (np.abs(g).max() + 1e-8)
             p -= rate * v
-    _, z = logits()
-    slope, shift = _calibrated(np.maximum.reduceat(z, doc_ptr), y)
+    vectors, softmax, offset = parameters
+    slope, shift = _calibrated(bag.highest_logits(*parameters), bag.y)
     direction = (softmax[:, 1] - softmax[:, 0]).astype(np.float64)
     bias = float(offset[1] - offset[0])
     return Model(vectors @ direction, bias, window, slope, shift)
 
 
+@dataclass(frozen=True)
+class _Group:
+    """Windows of some documents: first word and number of words of each, and each document's windows."""
+
+    tokens: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    doc_ptr: np.ndarray
+    docs: slice
+
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of each window one after another, and where each window begins among them."""
+        ptr = np.cumsum(self.sizes) - self.sizes
+        at = np.repeat(self.starts - ptr, self.sizes) + np.arange(self.sizes.sum())
+        return self.tokens[at], ptr
+
+
+@dataclass(frozen=True)
+class _Bag:
+    """Labelled documents as windows of word numbers, words as bags of n-grams.
+
+    Nothing of the size of all windows times the length of a vector is ever held: a step
+    goes over groups of documents and adds up the gradient of all of them.
+    """
+
+    groups: list[_Group]
+    y: np.ndarray
+    weight: np.ndarray
+    grams: np.ndarray
+    gram_word: np.ndarray
+    gram_ptr: np.ndarray
+    buckets: int
+
+    @classmethod
+    def of(cls, texts: list[str], labels: np.ndarray, buckets: int, window: int) -> _Bag:
+        vocabulary: dict[str, int] = {}
+        groups, y = [], []
+        for at in range(0, len(texts), GROUP_DOCS):
+            tokens, starts, sizes, ptr, base = [], [], [], [], 0
+            before = len(y)
+            for text, label in zip(texts[at : at + GROUP_DOCS], labels[at : at + GROUP_DOCS]):
+                words = words_of(text)
+                if not words:
+                    continue
+                tokens.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+                begin = windows_of(len(words), window)
+                ptr.append(sum(map(len, starts)))
+                starts.append((begin + base).astype(np.int32))
+                sizes.append(np.minimum(window, len(words) - begin).astype(np.int32))
+                base += len(words)
+                y.append(label)
+            if ptr:
+                parts = (np.concatenate(p) for p in (tokens, starts, sizes))
+                groups.append(_Group(*parts, np.array(ptr), slice(before, len(y))))
+        grams, gram_word = ngram_ids(list(vocabulary), buckets)
+        gram_ptr = np.searchsorted(gram_word, np.arange(len(vocabulary)))
+        y = np.array(y, np.float64)
+        weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+        return cls(groups, y, weight, grams.astype(np.int32), gram_word.astype(np.int32), gram_ptr, buckets)
+
+    def _word_vectors(self, vectors: np.ndarray) -> np.ndarray:
+        """The mean of the vectors of each word's n-grams."""
+        ends = np.append(self.gram_ptr, len(self.grams))
+        found = np.empty((len(self.gram_ptr), vectors.shape[1]), np.float32)
+        for a in range(0, len(found), GROUP_WORDS):
+            b = min(a + GROUP_WORDS, len(found))
+            part = vectors[self.grams[ends[a] : ends[b]]]
+            found[a:b] = np.add.reduceat(part, self.gram_ptr[a:b] - ends[a]) / np.diff(ends[a : b + 1])[:, None]
+        return found
+
+    @staticmethod
+    def _forward(group: _Group, word: np.ndarray, softmax: np.ndarray, offset: np.ndarray):
+        slot_word, ptr = group.slots()
+        mean = np.add.reduceat(word[slot_word], ptr) / group.sizes.astype(np.float32)[:, None]
+        out = mean @ softmax + offset
+        return slot_word, mean, out[:, 1] - out[:, 0]
+
+    def highest_logits(self, vectors: np.ndarray, softmax: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Of each document, the logit of its highest window."""
+        word = self._word_vectors(vectors)
+        found = [np.maximum.reduceat(self._forward(g, word, softmax, offset)[2], g.doc_ptr) for g in self.groups]
+        return np.concatenate(found) if found else np.zeros(0)
+
+    def loss(self, vectors: np.ndarray, softmax: np.ndarray, offset: np.ndarray) -> float:
+        """The weighted cross-entropy that `gradients` derives."""
+        word, total = self._word_vectors(vectors), 0.0
+        for group in self.groups:
+            z = self._forward(group, word, softmax, offset)[2]
+            pooled, *_ = _soft_maximum(z, group.doc_ptr)
+            signed = np.where(self.y[group.docs] == 1, -pooled, pooled)
+            total += float((np.logaddexp(0, signed) * self.weight[group.docs]).sum())
+        return total
+
+    def gradients(self, vectors: np.ndarray, softmax: np.ndarray, offset: np.ndarray) -> list[np.ndarray]:
+        """Of the loss of all documents, by vectors, softmax and offset."""
+        word = self._word_vectors(vectors)
+        d_word = np.zeros(word.shape, np.float32)
+        d_softmax, d_offset = np.zeros_like(softmax), np.zeros_like(offset)
+        for group in self.groups:
+            slot_word, mean, z = self._forward(group, word, softmax, offset)
+            pooled, raised, total, size = _soft_maximum(z, group.doc_ptr)
+            error = (1 / (1 + np.exp(-pooled)) - self.y[group.docs]) * self.weight[group.docs]
+            dz = (np.repeat(error / total, size) * raised).astype(np.float32)
+            d_out = np.stack([-dz, dz], 1)
+            d_softmax += mean.T @ d_out
+            d_offset += d_out.sum(0)
+            d_mean = (d_out @ softmax.T) / group.sizes.astype(np.float32)[:, None]
+            window = np.repeat(np.arange(len(group.sizes), dtype=np.int32), group.sizes)
+            for k in range(word.shape[1]):
+                d_word[:, k] += np.bincount(slot_word, d_mean[window, k], len(word))
+        d_word /= np.diff(np.append(self.gram_ptr, len(self.grams))).astype(np.float32)[:, None]
+        d_vectors = np.empty_like(vectors)
+        for k in range(word.shape[1]):
+            d_vectors[:, k] = np.bincount(self.grams, d_word[self.gram_word, k], self.buckets)
+        return [d_vectors, d_softmax, d_offset]
+
+
+def _soft_maximum(z: np.ndarray, doc_ptr: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per document the logarithm of the mean of e to its windows' logits, and what it is made of."""
+    size = np.diff(np.append(doc_ptr, len(z)))
+    top = np.maximum.reduceat(z, doc_ptr)
+    raised = np.exp(z - np.repeat(top, size))
+    total = np.add.reduceat(raised, doc_ptr)
+    return top + np.log(total / size), raised, total, size
+
+
 def _calibrated(z: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[float, float]:
     """Slope and shift of a logistic curve from the highest window logit to the label."""
     middle, spread = z.mean(), z.std() + 1e-6
@@ -272,7 +356,7 @@ def toxicity_scores(
         return each
 
     texts = identified(docs, id_col, text_col)
-    return arrow_map(texts.select(F.col("id").cast("long"), "text"), start, "id long, score double")
+    return arrow_map(texts.select(F.col("id").cast("long"), "text"), start, "id long, score double", rows=256)
 
 
 def without_toxic(
@@ -291,4 +375,4 @@ def without_toxic(
 
         return each
 
-    return arrow_map(docs, start, docs.schema)
+    return arrow_map(docs, start, docs.schema, rows=256)

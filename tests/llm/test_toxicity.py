@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from accesslens.llm import toxicity
@@ -69,3 +70,41 @@ def test_odd_rows(spark, odd_rows, model):
     assert toxicity.Scorer(none).scores(["x", ""])[0] < 0.5
     labels = spark.createDataFrame([(1, None), (None, 1), (9, 1)], "doc_id long, toxic int")
     assert toxicity.labelled_sample(rows, labels) == ([], [])
+
+
+def test_gradient_against_finite_differences():
+    """Every parameter of a small model, moved a little either way; documents in several groups."""
+    rng = random.Random(2)
+    words = ["idiot", "hand", "the", "others", "end", "a"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(230)] + ["", " . "]
+    labels = np.array([k % 2 for k in range(len(texts))], float)
+    bag = toxicity._Bag.of(texts, labels, 16, 2)
+    assert len(bag.groups) == 3 and len(bag.y) == 230
+    numbers = np.random.default_rng(1)
+    # doubles, so that differences are exact enough
+    parameters = [numbers.normal(size=shape) for shape in ((16, 3), (3, 2), (2,))]
+    found = bag.gradients(*parameters)
+    for p, g in zip(parameters, found):
+        for at in np.ndindex(p.shape):
+            kept, losses = p[at], []
+            for step in (1e-3, -1e-3):
+                p[at] = kept + step
+                losses.append(bag.loss(*parameters))
+            p[at] = kept
+            assert g[at] == pytest.approx((losses[0] - losses[1]) / 2e-3, abs=2e-5)
+
+
+def test_scores_against_plain_loops(model):
+    """Windows, words and n-grams one by one."""
+    texts = ["You idiot, worthless.", "there then the other hand", "x", "", "Pathetics! " * 5]
+    for text, score in zip(texts, toxicity.Scorer(model).scores(texts)):
+        words = [w.strip(".,!").lower() for w in text.split()]
+        values = []
+        for word in words:
+            ids, _ = toxicity.ngram_ids([word], len(model.weights))
+            values.append(sum(model.weights[k] for k in ids) / len(ids))
+        windows = [values[k : k + 2] for k in range(0, len(values), 2)]
+        if len(values) > 1 and len(values) % 2:
+            windows[-1] = values[-2:]
+        z = max((sum(w) / len(w) for w in windows), default=0.0) + model.bias
+        assert score == pytest.approx(1 / (1 + np.exp(-(model.slope * z + model.shift))), abs=1e-6)
