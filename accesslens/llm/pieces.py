@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accesslens.llm.shared import arrow_map, identified, record
+from accesslens.llm.shared import arrow_map, identified, keep_in_process, record
 
 SPACE = "▁"
 #: Words kept per worker, and the longest that are kept.
@@ -210,6 +210,7 @@ _CODERS: dict[str, Coder] = {}
 
 def coder(model_path: str) -> Coder:
     """One coder per worker process and model."""
+    keep_in_process(__name__, _CODERS.clear)
     if model_path not in _CODERS:
         _CODERS[model_path] = Coder(model_path)
     return _CODERS[model_path]
@@ -233,4 +234,4 @@ def coded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: st
         return each
 
     texts = identified(docs, id_col, text_col).select(F.col("id").cast("long"), "text")
-    return arrow_map(texts, start, "doc_id long, ids array<int>, decoded string")
+    return arrow_map(texts, start, "doc_id long, ids array<int>, decoded string", rows=512)

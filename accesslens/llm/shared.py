@@ -60,8 +60,10 @@ def arrow_map(
     Batches that Spark makes larger are cut into `rows` rows.
     """
     small_batches(df.sparkSession)
+    owner = start.__module__
 
     def run(batches: Batches) -> Batches:
+        drop_caches_of_others(owner)
         each = start()
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -70,6 +72,21 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
+_PROCESS_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_in_process(owner: str, drop: Callable[[], None]) -> None:
+    """Tell that a module keeps something from task to task in this worker process, and how to drop it."""
+    _PROCESS_CACHES[owner] = drop
+
+
+def drop_caches_of_others(owner: str) -> None:
+    """Worker processes outlive a stage: what another operator keeps would stand beside our own."""
+    for name in [name for name in _PROCESS_CACHES if name != owner]:
+        _PROCESS_CACHES.pop(name)()
+    pa.default_memory_pool().release_unused()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds; documents are much longer than Spark expects of rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
