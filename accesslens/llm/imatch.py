@@ -31,8 +31,6 @@ LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
 #: a few terms of a text survives an edit, one with many hardly ever does.
 DENSITIES = [2.0**-k for k in range(4, 10) for _ in range(6)]
 HEX_DIGITS = 6
-#: With fewer terms of the lexicon a document is fingerprinted over all its terms.
-LEAST_TERMS = 8
 _CACHE_TERMS = 300_000
 
 _TERM = re.compile(r"[^\W_]+")
@@ -115,14 +113,16 @@ class Fingerprinter:
         self.terms = Terms()
 
     def of(self, text: str) -> list[str]:
-        """One hash per subset, zeros where the text has no term of it."""
-        terms = self.terms.of(text)
-        if len(self.lexicon):
-            at = np.searchsorted(self.lexicon, terms)
-            at[at == len(self.lexicon)] = 0
-            known = terms[self.lexicon[at] == terms]
-            if len(known) >= LEAST_TERMS:
-                terms = known
+        """One hash per subset, zeros where the text has no term of it, and one more.
+
+        The last one is for texts without any term of the lexicon: the hash of all their
+        terms, which keeps different ones apart. It is zeros for all other texts.
+        """
+        every = self.terms.of(text)
+        at = np.searchsorted(self.lexicon, every)
+        inside = at < len(self.lexicon)
+        inside[inside] = self.lexicon[at[inside]] == every[inside]
+        terms = every[inside]
         mixed = (terms[:, None] ^ self.seeds) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         chosen = mixed < self.thresholds
@@ -130,6 +130,8 @@ class Fingerprinter:
         for k, some in enumerate(chosen.any(0).tolist()):
             digest = xxhash.xxh3_64_hexdigest(terms[chosen[:, k]].tobytes()) if some else "0" * HEX_DIGITS
             out.append(digest[:HEX_DIGITS])
+        strange = len(every) and not len(terms)
+        out.append(xxhash.xxh3_64_hexdigest(every.tobytes())[:HEX_DIGITS] if strange else "0" * HEX_DIGITS)
         return out
 
 
