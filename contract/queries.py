@@ -219,12 +219,16 @@ def stored_sketches(spark: SparkSession, log: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def bounded(exact: DataFrame, estimated: DataFrame, *keys: str) -> DataFrame:
-    """The exact counts, and whether each estimate is within its margin of them."""
-    counts = [c for c in exact.columns if c not in keys]
-    near = [F.abs(F.col(f"x.{c}") - F.col(f"s.{c}")) <= F.col("s.margin") for c in counts]
-    same = [F.col(f"x.{k}") == F.col(f"s.{k}") for k in keys] or [F.lit(True)]
-    return exact.alias("x").join(estimated.alias("s"), same).select("x.*", reduce(and_, near).alias("within_margin"))
+def bounded(exact: DataFrame, estimated: DataFrame, key: str | None = None) -> DataFrame:
+    """The exact counts, and whether each estimate is within its margin of them; without a key, of one row."""
+    counts = [c for c in exact.columns if c != key]
+    if key:
+        told = estimated.select(key, *(F.col(c).alias(f"near_{c}") for c in [*counts, "margin"]))
+        rows, near = exact.join(told, key), {c: F.col(f"near_{c}") for c in [*counts, "margin"]}
+    else:
+        rows, near = exact, {c: estimated.select(c).scalar() for c in [*counts, "margin"]}
+    within = [F.abs(F.col(c) - near[c]) <= near["margin"] for c in counts]
+    return rows.select(*exact.columns, reduce(and_, within).alias("within_margin"))
 
 
 @query("t4_users_from_sketches")
