@@ -25,16 +25,20 @@ import os
 import re
 import uuid
 from array import array
+from codecs import charmap_decode
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from accesslens.llm.ordering import SHARD_ROWS, Shards, key_column
 from accesslens.llm.shared import Batches, arrow_map, identified, record, shared_folder, small_batches
@@ -42,14 +46,40 @@ from accesslens.llm.shared import Batches, arrow_map, identified, record, shared
 MAX_BITS = 16
 #: Ids of a block (whole documents, one at least) and between two checkpoints.
 BLOCK_IDS, STRIDE = 1 << 17, 128
-#: Chunks of text whose ids a worker remembers, and the longest of them.
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 64
+#: Chunks of text whose ids a worker remembers, the longest of them, and all their ids (both sums may
+#: be passed by one batch).
+CACHE_CHUNKS, CACHE_CHARS, CACHE_IDS = 300_000, 64, 4_000_000
+#: Words that go to the library's model in one call.
+JOINED_WORDS = 10_000
 
 
 # fixed values: characters between which the tokenizers always cut
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARK = "!-&(-/:-@\\[-`{-~"
-_CUTS = re.compile(f"[ \n]+|(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[{_MARK}])(?=[{_LETTER}])")
+_CUTS = re.compile(f"(?<=[{_LETTER}])(?=[{_MARK}])|(?<=[{_MARK}])(?=[{_LETTER}])")
+_PLAIN = re.compile(f"[{_LETTER}]+")
+_WORD_END = "</w>"
+
+
+def _byte_characters() -> str:
+    """The character that byte-level models have for each byte; the space stays, it parts words here."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (chr(256 + k) for k in range(256))
+    names = [chr(b) if b in shown else next(hidden) for b in range(256)]
+    return "".join(names[:32] + [" "] + names[33:])
+
+
+def _pieces(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of `pool` that begin and last so, one after the other."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _split(lines: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Number of words between spaces in each line, each word's place among the distinct ones, and those."""
+    words = pc.split_pattern(pa.array(lines, pa.string()), " ")
+    distinct = words.flatten().dictionary_encode()
+    return pc.list_value_length(words).to_numpy(), distinct.indices.to_numpy(), distinct.dictionary.to_numpy(False).tolist()
 
 
 class Encoder:
@@ -57,7 +87,9 @@ class Encoder:
 
     Its tokenizers drop or split at white space before anything else, and part letters
     from marks (all but the apostrophe of contractions), so the stretches between such
-    cuts are independent and encoded once each.
+    cuts are independent and encoded once each. A stretch of plain letters is one word of
+    the library's model: many go to it in one call, lower-cased and by bytes, as its
+    normalizer and splitter hand them over. All others go through the whole library.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -66,8 +98,81 @@ class Encoder:
         self.library = Tokenizer.from_file(tokenizer_path)
         #: texts that hold one of these are encoded whole
         self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
-        #: ids of each stretch as uint32 bytes, which join fast
-        self.known: dict[str, bytes] = {}
+        self.bytes = _byte_characters()
+        vocabulary = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[k for name, k in vocabulary.items() if name.endswith(_WORD_END)]] = True
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = CharDelimiterSplit(" ")
+        self.by_words = self._same_words()
+        self._forget()
+
+    def _forget(self) -> None:
+        #: number of each word and stretch; where its ids lie in `pool`, and how many they are
+        self.known: dict[str, int] = {}
+        self.begin, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _by_bytes(self, words: list[str]) -> str:
+        return charmap_decode(" ".join(words).lower().encode(), "strict", self.bytes)[0]
+
+    def _same_words(self) -> bool:
+        """Whether this tokenizer turns plain letters into what `_by_bytes` makes of them."""
+        every = [chr(c) for c in range(0x100) if _PLAIN.match(chr(c))]
+        samples = ["".join(every), "".join(reversed(every)), *every]
+        normalizer, splitter = self.library.normalizer, self.library.pre_tokenizer
+        if normalizer is None or splitter is None or getattr(self.library.model, "end_of_word_suffix", None) != _WORD_END:
+            return False
+        split = [splitter.pre_tokenize_str(normalizer.normalize_str(w)) for w in samples]
+        return [[piece for piece, _ in s] for s in split] == [[w] for w in self._by_bytes(samples).split(" ")]
+
+    def _add(self, names: list[str], size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Keep the ids of words; their numbers."""
+        first = len(self.size)
+        self.begin = np.r_[self.begin, len(self.pool) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.pool = np.concatenate([self.pool, ids])
+        # long ones are not looked up again
+        self.known.update((w, k) for k, w in enumerate(names, first) if len(w) <= CACHE_CHARS)
+        return np.arange(first, first + len(names))
+
+    def _found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers, -1 of unknown ones, and where those are."""
+        numbers = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        return numbers, np.flatnonzero(numbers < 0)
+
+    def _stretches(self, chunks: list[str]) -> np.ndarray:
+        """Numbers of stretches; new ones are encoded."""
+        numbers, new = self._found(chunks)
+        plain = np.array([self.by_words and bool(_PLAIN.fullmatch(chunks[k])) for k in new], bool)
+        for k in range(0, plain.sum(), JOINED_WORDS):
+            at = new[plain][k : k + JOINED_WORDS]
+            some = [chunks[i] for i in at]
+            (coded,) = self.words.encode_batch_fast([self._by_bytes(some)], add_special_tokens=False)
+            ids = np.array(coded.ids, np.uint32)
+            numbers[at] = self._add(some, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1), ids)
+        other = [chunks[i] for i in new[~plain]]
+        coded = [e.ids for e in self.library.encode_batch_fast(other, add_special_tokens=False)]
+        size = np.array([len(ids) for ids in coded], np.int64)
+        numbers[new[~plain]] = self._add(other, size, np.array([i for ids in coded for i in ids], np.uint32))
+        return numbers
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of words; unknown ones are cut into stretches."""
+        numbers, new = self._found(words)
+        if not len(new):
+            return numbers
+        names = [words[k] for k in new]
+        # words hold neither spaces nor line ends
+        counts, which, chunks = _split(_CUTS.sub(" ", "\n".join(names)).split("\n"))
+        parts = self._stretches(chunks)[which]
+        first = np.cumsum(counts) - counts
+        numbers[new] = parts[first]
+        several = np.flatnonzero(counts > 1)
+        own = np.repeat(counts > 1, counts)
+        ids = _pieces(self.pool, self.begin[parts[own]], self.size[parts[own]])
+        size = np.add.reduceat(self.size[parts], first)[several]
+        numbers[new[several]] = self._add([names[k] for k in several], size, ids)
+        return numbers
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = {}
@@ -75,21 +180,20 @@ class Encoder:
             lowered = text.lower()
             if any(s in lowered for s in self.special):
                 whole[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        split = [_CUTS.split(t) if k not in whole else [] for k, t in enumerate(texts)]
-        used = set().union(*split)
-        new = list(used.difference(self.known))
-        coded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        learnt = {chunk: array("I", e.ids).tobytes() for chunk, e in zip(new, coded, strict=True)}
-        if len(self.known) + len(learnt) > CACHE_CHUNKS:
-            self.known = {c: self.known[c] for c in used.intersection(self.known)}
-        self.known.update(learnt)
-        get = self.known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, chunks)), np.uint32) for chunks in split]
-        for chunk in new:
-            if len(chunk) > CACHE_CHARS:
-                del self.known[chunk]
-        for k, ids in whole.items():
-            out[k] = ids
+        counts, which, words = _split([t.replace("\n", " ") if k not in whole else "" for k, t in enumerate(texts)])
+        if len(self.known) > CACHE_CHUNKS or len(self.pool) > CACHE_IDS:
+            numbers, new = self._found(words)
+            kept, numbers = [w for w, k in zip(words, numbers.tolist(), strict=True) if k >= 0], numbers[numbers >= 0]
+            size, ids = self.size[numbers], _pieces(self.pool, self.begin[numbers], self.size[numbers])
+            self._forget()
+            self._add(kept, size, ids)
+        numbers = self._numbers(words)[which]
+        size = self.size[numbers]
+        ids = _pieces(self.pool, self.begin[numbers], size)
+        ends = np.r_[0, np.cumsum(size)][np.cumsum(counts)]
+        out = np.split(ids, ends[:-1]) if len(texts) else []
+        for k, own in whole.items():
+            out[k] = own
         return out
 
 

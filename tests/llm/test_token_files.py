@@ -80,3 +80,40 @@ def test_order_and_blocks(spark, odd_rows, tmp_path, monkeypatch):
     empty = str(tmp_path / "empty")
     t.write_token_files(rows.where("false"), empty, WORD_TOKENIZER, 2)
     assert t.read_token_files(spark, empty).count() == 0
+
+
+def test_plain_words_go_to_the_library_together(monkeypatch):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghéüßÀÿxyzQ", k=rng.randint(2, 12))) for _ in range(6000)]
+    texts = [" ".join(rng.choices(words, k=300)) + rng.choice([".", "!?", " 'tis\n", " 42x"]) for _ in range(60)]
+    expected = [e.ids for e in Tokenizer.from_file(WORD_TOKENIZER).encode_batch(texts, add_special_tokens=False)]
+    ours = t.Encoder(WORD_TOKENIZER)
+    sent = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, some, **options):
+            sent.extend(some)
+            return self.library.encode_batch_fast(some, **options)
+
+    for name in ("library", "words"):
+        if hasattr(ours, name):
+            setattr(ours, name, Counted(getattr(ours, name)))
+    # small batches, and fewer remembered words than there are
+    monkeypatch.setattr(t, "CACHE_CHUNKS", 3000)
+    coded = [ids.tolist() for k in range(0, 60, 20) for ids in ours.encode(texts[k : k + 20])]
+    assert coded == expected
+    assert len(sent) < 30
+
+
+def test_remembered_ids_are_bounded(monkeypatch):
+    monkeypatch.setattr(t, "CACHE_IDS", 500)
+    library, ours = Tokenizer.from_file(WORD_TOKENIZER), t.Encoder(WORD_TOKENIZER)
+    for k in range(20):
+        texts = [f"{k} word{k} {'long' * 500}{k} end.", "", "end."]
+        expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [ids.tolist() for ids in ours.encode(texts)] == expected
+        assert len(ours.pool) < 2500
+    assert ours.encode([]) == []
