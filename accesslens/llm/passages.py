@@ -256,11 +256,42 @@ class _Shared:
         values = hashes.ravel()[self.places]
         order = np.argsort(values, kind="stable")
         self.places, values = self.places[order], values[order]
-        begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[begins, len(values)])
+        # of each place, where the same shingles at most SLACK aside stand: by shingle, then by place
+        group = np.cumsum(np.r_[False, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+        at = group * (size + 2 * SLACK) + self.places // contexts.shape[1]
+        begins = np.searchsorted(at, at - SLACK)
+        counts = np.searchsorted(at, at + SLACK, side="right") - begins
         self.begin, self.count = np.zeros((2, hashes.size), np.int64)
-        self.begin[self.places] = np.repeat(begins, counts)
-        self.count[self.places] = np.repeat(np.where(counts > 1, counts, 0), counts)
+        self.begin[self.places] = begins
+        self.count[self.places] = np.where(counts > 1, counts, 0)
+
+    def bounds(self, cell: np.ndarray, passage_words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """First and last shingle that a near passage of each row can reach with any partners.
+
+        A place counts if its shingle stands at most SLACK aside once more. Matches of one partner lie up to
+        SLACK past a stretch, and pair one to one unless a shingle comes again within twice
+        that: the rows of such cells have no bound.
+        """
+        size, n = self.hashes.shape
+        length = passage_words - SHINGLE + 1
+        marked = (self.count > 0).reshape(size, n)
+        total = np.cumsum(np.pad(marked, ((1, 0), (0, 0))), axis=0, dtype=np.int16)
+        start = np.arange(size - length + 1)
+        within = total[np.minimum(size, start + length + SLACK)] - total[np.maximum(0, start - SLACK)]
+        enough = within >= 2 * length * similarity / (1 + similarity) - 1e-9
+        some = enough.any(0)
+        low = np.where(some, enough.argmax(0), size)
+        high = np.where(some, len(enough) - 1 - enough[::-1].argmax(0) + length - 1, -1)
+        place = np.arange(size)[:, None]
+        inside = marked & (place >= low) & (place <= high)
+        some = inside.any(0)
+        first = np.where(some, inside.argmax(0), size)
+        last = np.where(some, size - 1 - inside[::-1].argmax(0), -1)
+        again = np.zeros(n, bool)
+        for k in range(1, 2 * SLACK + 1):
+            again |= ((self.hashes[k:] == self.hashes[:-k]) & marked[k:] & marked[:-k]).any(0)
+        free = np.isin(cell, cell[again])
+        return np.where(free, -1, first), np.where(free, size, last)
 
     def partners(self, rows: np.ndarray, edge: np.ndarray, step: int, turn: np.ndarray) -> tuple:
         """Of each row, whether it has a partner number `turn` past its edge, which, and whether it is new."""
@@ -292,7 +323,7 @@ def _forests(
     A round compares one home of every cell with the later rows not yet joined to it,
     homes before the others: so a group of copies joins in its first round. After that,
     joined rows are compared with those that share a shingle just past their stretch,
-    until no stretch grows.
+    until no stretch grows or all that the shared shingles allow is reached.
     """
     order = np.lexsort((~home, cell))
     cell, home, names, places = cell[order], home[order], names[order], places[order]
@@ -344,8 +375,9 @@ def _forests(
         return record(_LINKS, [], [], [], [])
     rows = np.flatnonzero(last >= 0)
     shared = _Shared(cell[rows], ones[:, rows])
-    for edges, step in ((last, 1), (first, -1)):
-        live, turn = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+    least, most = shared.bounds(cell[rows], passage_words, similarity)
+    for edges, step, bound in ((last, 1, most), (first, -1, least)):
+        live, turn = np.flatnonzero(edges[rows] * step < bound * step), np.zeros(len(rows), np.int64)
         while len(live):
             edge = edges[rows]
             has, partner, new = shared.partners(live, edge[live], step, turn[live])
@@ -358,6 +390,7 @@ def _forests(
             grown = np.flatnonzero(edges[rows] != edge)
             turn[grown] = 0
             live = np.union1d(live, grown)
+            live = live[edges[rows[live]] * step < bound[live] * step]
     ends, homes = map(np.concatenate, zip(*joined, strict=True))
     alone = np.setdiff1d(rows, ends)
     ends, homes = np.r_[ends, alone], np.r_[homes, alone]

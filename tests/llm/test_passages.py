@@ -148,3 +148,32 @@ def test_odd_rows(spark, odd_rows):
     both = passages.repeated_passages(long.union(long.withColumn("doc_id", long["doc_id"] + 5))).collect()
     assert [(r.class_id, r.n_passages, r.passages[0].first, r.passages[0].last) for r in both] == [(4, 1, 0, 19_999)] * 2
     assert passages.repeated_passages(rows.where("false")).count() == 0
+
+
+def test_widening_looks_only_at_the_same_place(monkeypatch):
+    rng = np.random.default_rng(3)
+    # near copies of words that come again and again, each with changes of its own
+    text = np.tile(rng.integers(1, 1 << 15, 12) * 2 + 1, 9)[:103].astype(np.uint16)
+    contexts = np.tile(text, (60, 1))
+    for row in contexts:
+        row[rng.choice(np.r_[:45, 58:103], 3, replace=False)] = rng.integers(1, 1 << 15, 3) * 2 + 1
+    names = np.arange(60)
+    passes = []
+    plain = passages._Shared.partners
+    monkeypatch.setattr(passages._Shared, "partners", lambda *args: (passes.append(1), plain(*args))[1])
+    found = passages._forests(
+        np.zeros(60, np.int64), np.ones(60, bool), names, np.full(60, 49), contexts, 50, 0.8
+    ).to_pandas()
+    # each row's widest stretch, from all pairs
+    h, q = (k.ravel() for k in np.meshgrid(names, names, indexing="ij"))
+    h, q = h[h < q], q[h < q]
+    ones = contexts.T.copy()
+    near, begin, finish = passages._near(ones[:, h], ones[:, q], 50, 0.8)
+    widest = {}
+    for rows, first, last in ((h[near], begin[0], finish[0]), (q[near], begin[1], finish[1])):
+        for row, a, b in zip(rows.tolist(), first.tolist(), last.tolist()):
+            low, high = widest.get(row, (99, -1))
+            widest[row] = min(low, a), max(high, b + 4)
+    assert len(widest) > 20
+    assert {r.a: (r.first, r.last) for r in found.itertuples()} == widest
+    assert len(passes) < 1000, len(passes)
