@@ -38,16 +38,18 @@ SLACK = 2
 BEYOND = 5 + 1 + SLACK
 #: Most windows on either side of a cell.
 CELL = 1024
+#: Cells of at most so many rows have all pairs compared.
+FEW = 8
 #: Rows of the cells that are compared together, about, and pairs compared at once.
 CELLS_ROWS, PAIRS = 8192, 2048
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WINDOWS = pa.schema(
     [("key", pa.int64()), ("around", pa.int64()), ("text_id", pa.int64()), ("at", pa.int32()),
-     ("first", pa.int32()), ("last", pa.int32())]
+     ("first", pa.int32()), ("last", pa.int32()), ("again", pa.bool_())]
 )
 _DOCS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("text_id", pa.int64()), ("n_words", pa.int64())])
-_WINDOWS_TYPE = "key long, around long, text_id long, at int, first int, last int"
+_WINDOWS_TYPE = "key long, around long, text_id long, at int, first int, last int, again boolean"
 _LINKS = pa.schema(
     [("a", pa.int64()), ("b", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
 )
@@ -135,6 +137,49 @@ def compact_windows(hashes: np.ndarray, ends: np.ndarray, shortest: int) -> tupl
     return at, np.array(first, np.int64), np.array(last, np.int64)
 
 
+def at_runs_ends(
+    tokens: np.ndarray, ends: np.ndarray, found: tuple[np.ndarray, ...], shortest: int
+) -> tuple[np.ndarray, ...]:
+    """Windows like those of `compact_windows`, fewer of them where one word comes over and over.
+
+    Every token of a run of equal ones is a minimum, so the run has as many windows. A
+    stretch of `shortest` tokens from one of them on lies in the run, and then any such
+    stretch of the run says the same, or it holds the run's last token. So instead stand
+    the first token, every `shortest`-th one after it, and the last one; a minimum stands
+    for the last tokens of all runs of its like in its stretch, which an edit may have parted.
+    """
+    at, first, last = found
+    text = np.searchsorted(ends, np.arange(len(tokens)), side="right")
+    start = np.flatnonzero(np.r_[True, (tokens[1:] != tokens[:-1]) | (text[1:] != text[:-1])])
+    sizes = np.diff(np.r_[start, len(tokens)])
+    run = np.repeat(np.arange(len(start)), sizes)
+    long = sizes > 1
+    if not long[run[at]].any():
+        return found
+    begin, finish, in_long = start[run[at]], (start + sizes - 1)[run[at]], long[run[at]]
+    inside = np.flatnonzero(in_long & (at + shortest - 1 <= finish))
+    step = begin[inside] + (at[inside] - begin[inside]) // shortest * shortest
+    # the last tokens of the runs, by token, then by place
+    tops = (start + sizes - 1)[long]
+    number = np.searchsorted(kinds := np.unique(tokens[tops]), tokens[at])
+    known = kinds[np.minimum(number, len(kinds) - 1)] == tokens[at]
+    tops = np.sort(np.searchsorted(kinds, tokens[tops]) * len(tokens) + tops)
+    low = np.searchsorted(tops, number * len(tokens) + at)
+    high = np.searchsorted(tops, number * len(tokens) + np.minimum(at + shortest - 1, last), side="right")
+    count = np.where(known, high - low, 0)
+    count[inside] = 0
+    of = np.repeat(np.arange(len(at)), count)
+    top = tops[np.repeat(low, count) + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)] % len(tokens)
+    alone = np.flatnonzero(~in_long | (at == begin))
+    at = np.concatenate([at[alone], step, top])
+    first = np.concatenate([first[alone], step, first[of]])
+    last = np.concatenate([last[alone], step + shortest - 1, last[of]])
+    # what stands for several windows covers them all
+    order = np.argsort(at, kind="stable")
+    one = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+    return at[order][one], np.minimum.reduceat(first[order], one), np.maximum.reduceat(last[order], one)
+
+
 class Stretches:
     """Hashes of any stretch of an array of words, from sums of words times powers."""
 
@@ -153,10 +198,12 @@ class Stretches:
 
 
 def windows(texts: DataFrame, passage_words: int, hashes: int) -> DataFrame:
-    """`key`, `around`, `text_id`, `at`, `first`, `last` of the compact windows of all texts.
+    """`key`, `around`, `text_id`, `at`, `first`, `last`, `again` of the compact windows of all texts.
 
     `key` names hash function and min-hash, so the windows of equal runs always share one;
     `around` names the words of the window within a passage's length of its token, `first` and `last` where they are.
+    Windows of the same words that follow each other closely are one row, which covers them;
+    `again` tells that such a row is not the first of its text.
     """
     shortest, reach = passage_words - SHINGLE + 1, passage_words - 1
     seeds = [np.uint64(xxhash.xxh3_64_intdigest(f"function {k}")) for k in range(hashes)]
@@ -165,7 +212,7 @@ def windows(texts: DataFrame, passage_words: int, hashes: int) -> DataFrame:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [w for w in word_hashes(batch.column(0).to_pylist()) if len(w) >= passage_words]
             if not texts:
-                return record(_WINDOWS, *[[]] * 6)
+                return record(_WINDOWS, *[[]] * 7)
             words, sizes = np.concatenate(texts), np.array([len(w) for w in texts])
             names = np.array([text_id(w) for w in texts], np.int64)
             begins = np.cumsum(sizes) - sizes
@@ -179,17 +226,27 @@ def windows(texts: DataFrame, passage_words: int, hashes: int) -> DataFrame:
             parts: list[tuple] = []
             for seed in seeds:
                 values = _mixed(tokens ^ seed)
-                at, first, last = compact_windows(values, ends, shortest)
+                at, first, last = at_runs_ends(tokens, ends, compact_windows(values, ends, shortest), shortest)
                 least = values[at]
                 of = np.searchsorted(ends, at, side="right")
                 at, begin, end = place[at], place[first], place[last] + SHINGLE
                 begin, finish = np.maximum(begin, at - reach), np.minimum(end, at + SHINGLE + reach)
                 around = _mixed(stretches.of(begin, finish) ^ (at - begin).astype(np.uint64))
-                base = begins[of]
-                parts.append((least, around, names[of], at - base, begin - base, finish - 1 - base))
-            keys, around, names, *places = map(np.concatenate, zip(*parts, strict=True))
+                parts.append((least, around, of, at, begin, finish - 1))
+            keys, around, of, at, begin, finish = map(np.concatenate, zip(*parts, strict=True))
+            # windows of the same words and text side by side, in their order
+            order = np.argsort(_mixed(keys ^ (around + of.astype(np.uint64)) * _MIX), kind="stable")
+            keys, around, of, at, begin, finish = (c[order] for c in (keys, around, of, at, begin, finish))
+            fresh = np.r_[True, (np.diff(keys) != 0) | (np.diff(around) != 0) | (np.diff(of) != 0)]
+            group = np.flatnonzero(fresh)
+            turn = (at - np.repeat(at[group], np.diff(np.r_[group, len(at)]))) // shortest
+            one = np.flatnonzero(fresh | np.r_[True, (np.diff(turn) != 0) | (np.diff(at) > passage_words)])
+            base = begins[of[one]]
+            places = [at[one] - base, begin[one] - base, finish[np.r_[one[1:], len(at)] - 1] - base]
             places = [p.astype(np.int32) for p in places]
-            return record(_WINDOWS, keys.view(np.int64), around.view(np.int64), names, *places)
+            return record(
+                _WINDOWS, keys[one].view(np.int64), around[one].view(np.int64), names[of[one]], *places, ~fresh[one]
+            )
 
         return each
 
@@ -264,18 +321,24 @@ class _Shared:
         self.begin, self.count = np.zeros((2, hashes.size), np.int64)
         self.begin[self.places] = begins
         self.count[self.places] = np.where(counts > 1, counts, 0)
+        # matches pair one to one unless a row has the shingle again within twice SLACK
+        again = np.zeros(hashes.shape, bool)
+        for k in range(1, 2 * SLACK + 1):
+            again[k:] |= (hashes[k:] == hashes[:-k]) & inside[k:]
+        most = np.where(np.bincount(group, again.ravel()[self.places]) > 0, 2 * SLACK + 1, 1) if len(group) else group
+        self.weight = np.zeros(hashes.size, np.int16)
+        self.weight[self.places] = np.where(counts > 1, most[group], 0)
 
-    def bounds(self, cell: np.ndarray, passage_words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, passage_words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
         """First and last shingle that a near passage of each row can reach with any partners.
 
-        A place counts if its shingle stands at most SLACK aside once more. Matches of one partner lie up to
-        SLACK past a stretch, and pair one to one unless a shingle comes again within twice
-        that: the rows of such cells have no bound.
+        A place counts if its shingle stands at most SLACK aside once more, and as often as
+        one row can match it. Matches of one partner lie up to SLACK past a stretch.
         """
         size, n = self.hashes.shape
         length = passage_words - SHINGLE + 1
-        marked = (self.count > 0).reshape(size, n)
-        total = np.cumsum(np.pad(marked, ((1, 0), (0, 0))), axis=0, dtype=np.int16)
+        weight = self.weight.reshape(size, n)
+        total = np.cumsum(np.pad(weight, ((1, 0), (0, 0))), axis=0, dtype=np.int16)
         start = np.arange(size - length + 1)
         within = total[np.minimum(size, start + length + SLACK)] - total[np.maximum(0, start - SLACK)]
         enough = within >= 2 * length * similarity / (1 + similarity) - 1e-9
@@ -283,15 +346,9 @@ class _Shared:
         low = np.where(some, enough.argmax(0), size)
         high = np.where(some, len(enough) - 1 - enough[::-1].argmax(0) + length - 1, -1)
         place = np.arange(size)[:, None]
-        inside = marked & (place >= low) & (place <= high)
-        some = inside.any(0)
-        first = np.where(some, inside.argmax(0), size)
-        last = np.where(some, size - 1 - inside[::-1].argmax(0), -1)
-        again = np.zeros(n, bool)
-        for k in range(1, 2 * SLACK + 1):
-            again |= ((self.hashes[k:] == self.hashes[:-k]) & marked[k:] & marked[:-k]).any(0)
-        free = np.isin(cell, cell[again])
-        return np.where(free, -1, first), np.where(free, size, last)
+        reached = (weight > 0) & (place >= low) & (place <= high)
+        some = reached.any(0)
+        return np.where(some, reached.argmax(0), size), np.where(some, size - 1 - reached[::-1].argmax(0), -1)
 
     def partners(self, rows: np.ndarray, edge: np.ndarray, step: int, turn: np.ndarray) -> tuple:
         """Of each row, whether it has a partner number `turn` past its edge, which, and whether it is new."""
@@ -314,6 +371,20 @@ class _Shared:
         return live, row, new & ~known
 
 
+def _able(cell: np.ndarray, contexts: np.ndarray, passage_words: int, similarity: float) -> np.ndarray:
+    """Rows of sorted cells that may hold a near passage: enough of their shingles stand there twice.
+
+    Rows of cells of at most FEW are all compared and so are not looked at.
+    """
+    sizes = np.unique(cell, return_counts=True)[1]
+    able = np.repeat((sizes > 1) & (sizes <= FEW), sizes)
+    many = np.flatnonzero(np.repeat(sizes > FEW, sizes))
+    if len(many):
+        first, last = _Shared(cell[many], contexts[many].T).bounds(passage_words, similarity)
+        able[many[first <= last]] = True
+    return np.flatnonzero(able)
+
+
 def _forests(
     cell: np.ndarray, home: np.ndarray, names: np.ndarray, places: np.ndarray, contexts: np.ndarray,
     passage_words: int, similarity: float,
@@ -326,15 +397,19 @@ def _forests(
     until no stretch grows or all that the shared shingles allow is reached.
     """
     order = np.lexsort((~home, cell))
-    cell, home, names, places = cell[order], home[order], names[order], places[order]
-    ones = contexts[order].T.copy()
+    cell, home, names, places, contexts = cell[order], home[order], names[order], places[order], contexts[order]
+    kept = _able(cell, contexts, passage_words, similarity)
+    cell, home, names, places = cell[kept], home[kept], names[kept], places[kept]
+    if not len(cell):
+        return record(_LINKS, [], [], [], [])
+    ones = contexts[kept].T.copy()
     # words are odd bytes and the space past an end is zero
     others = ones + (ones == 0) * np.uint16(2)
     start = np.flatnonzero(np.r_[True, np.diff(cell) != 0])
     end = np.r_[start[1:], len(cell)]
     homes_end = start + np.add.reduceat(home.astype(np.int64), start)
     label, at, groups = np.arange(len(cell)), start.copy(), end - start
-    reach = passage_words - 1
+    few = groups <= FEW
     size = len(ones) - SHINGLE + 1
     first, last = np.full(len(cell), size), np.full(len(cell), -1)
     joined: list[tuple] = []
@@ -352,7 +427,7 @@ def _forests(
         return np.concatenate(hits)
 
     while True:
-        live = np.flatnonzero((groups > 1) & (at < np.minimum(homes_end, end - 1)))
+        live = np.flatnonzero(((groups > 1) | few) & (at < np.minimum(homes_end, end - 1)))
         if not len(live):
             break
         begin = at[live] + 1
@@ -360,9 +435,10 @@ def _forests(
         h = np.repeat(at[live], count)
         q = np.repeat(begin, count) + np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
         of = np.repeat(live, count)
-        open_ = (label[h] != label[q]) & (names[h] != names[q])
+        open_ = ((label[h] != label[q]) | few[of]) & (names[h] != names[q])
         h, q, of = h[open_], q[open_], of[open_]
         linked = compared(h, q)
+        linked = linked[label[h[linked]] != label[q[linked]]]
         if len(linked):
             joined.append((q[linked], h[linked]))
             moved = np.arange(len(cell))
@@ -373,9 +449,11 @@ def _forests(
         at[live] += 1
     if not joined:
         return record(_LINKS, [], [], [], [])
-    rows = np.flatnonzero(last >= 0)
+    met = np.flatnonzero(last >= 0)
+    # where every pair was compared, no stretch can grow
+    rows = met[~np.repeat(few, end - start)[met]]
     shared = _Shared(cell[rows], ones[:, rows])
-    least, most = shared.bounds(cell[rows], passage_words, similarity)
+    least, most = shared.bounds(passage_words, similarity)
     for edges, step, bound in ((last, 1, most), (first, -1, least)):
         live, turn = np.flatnonzero(edges[rows] * step < bound * step), np.zeros(len(rows), np.int64)
         while len(live):
@@ -392,7 +470,7 @@ def _forests(
             live = np.union1d(live, grown)
             live = live[edges[rows[live]] * step < bound[live] * step]
     ends, homes = map(np.concatenate, zip(*joined, strict=True))
-    alone = np.setdiff1d(rows, ends)
+    alone = np.setdiff1d(met, ends)
     ends, homes = np.r_[ends, alone], np.r_[homes, alone]
     base = places[ends] - (passage_words - 1)
     begin, finish = base + first[ends], base + last[ends] + SHINGLE - 1
@@ -403,27 +481,58 @@ def _cell_ids(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
     return np.stack([rows.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
 
 
+def _sides(passage_words: int, similarity: float) -> tuple[int, int]:
+    """How far from the token places stand of which every near passage matches one on either side: least and most.
+
+    A stretch of a passage's length in a context holds the places of one side wholly,
+    and they are one more than the shingles that a near passage may miss.
+    """
+    length = passage_words - SHINGLE + 1
+    misses = length - int(np.ceil(2 * length * similarity / (1 + similarity) - 1e-9))
+    most = passage_words // 2 - 3
+    return most - misses, most
+
+
+def _outer(contexts: np.ndarray, passage_words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each context on both sides of its token, and which are whole.
+
+    Matches stand up to SLACK aside, so two contexts of a near passage share one of them.
+    """
+    token = passage_words - 1
+    least, most = _sides(passage_words, similarity)
+    near, far = least - SLACK, most + SLACK
+    places = np.r_[token - far : token - near + 1, token + near : token + far + 1]
+    hashes, inside = np.zeros((len(contexts), len(places)), np.uint64), np.ones((len(contexts), len(places)), bool)
+    for k in range(SHINGLE):
+        hashes = _mixed(hashes * _MIX + contexts[:, places + k])
+        inside &= contexts[:, places + k] > 0
+    return hashes, inside
+
+
 def near_passages(
-    candidates: DataFrame, texts: DataFrame, passage_words: int, similarity: float
+    candidates: DataFrame, texts: DataFrame, rows: DataFrame, passage_words: int, similarity: float
 ) -> DataFrame:
     """`a`, `b`, `first`, `last`: links among the windows of each key, and a's words in them.
 
-    `candidates` has one row per key and `around`. Keys with many rows are cut into
-    cells in both directions.
+    `candidates` has the windows to compare, `texts` the texts by `row_key` and `rows` the ids of both. Of a key with many
+    rows those go on that share a shingle far from the token with another row; if many
+    are left, they are cut into cells in both directions.
     """
     reach = passage_words - 1
     width = 2 * reach + SHINGLE
+    # stretches of short passages, or of little similarity, need hold no such places
+    sifted = _sides(passage_words, similarity)[0] >= 4
     sizes = candidates.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cuts = F.ceil(F.col("n") / CELL).cast("int")
-    wanted = candidates.join(sizes.select("key", cuts.alias("cuts")), "key")
+    wanted = candidates.join(sizes.select("key", (F.col("n") > CELL).alias("many")), "key")
     # a text's wanted windows are bounded by its own length
-    by_text = wanted.groupBy("text_id").agg(F.collect_list(F.struct("key", "at", "cuts")).alias("wanted"))
-    named = texts.select("text_id", "text").join(by_text, "text_id")
+    by_text = wanted.groupBy("text_id").agg(F.collect_list(F.struct("key", "at", "many")).alias("wanted"))
+    one_row = rows.groupBy("text_id").agg(F.min("row_key").alias("row_key"))
+    named = texts.select("row_key", "text").join(by_text.join(one_row, "text_id"), "row_key").dropDuplicates(["row_key"])
 
     def start():
         out = pa.schema(
-            [("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("home", pa.bool_()),
-             ("text_id", pa.int64()), ("at", pa.int32()), ("context", pa.binary())]
+            [("key", pa.int64()), ("text_id", pa.int64()), ("at", pa.int32()), ("outer", pa.list_(pa.int64())),
+             ("context", pa.binary())]
         )
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -434,19 +543,39 @@ def near_passages(
                 # two bytes per word, never zero; zeros past the ends match nothing
                 padded = np.pad((words >> np.uint64(48)).astype(np.uint16) | np.uint16(1), reach + SHINGLE)
                 contexts = padded[at[:, None] + SHINGLE + np.arange(width)]
-                for w, context in zip(wanted, contexts, strict=True):
-                    part = (name ^ w["at"]) % w["cuts"]
-                    raw = context.tobytes()
-                    rows += [(w["key"], part, j, True, name, w["at"], raw) for j in range(part, w["cuts"])]
-                    rows += [(w["key"], i, part, False, name, w["at"], raw) for i in range(part)]
+                outer = [None] * len(at)
+                for k in [k for k, w in enumerate(wanted) if w["many"]]:
+                    hashes, inside = _outer(contexts[k : k + 1], passage_words, similarity)
+                    own = _mixed(hashes[inside] ^ np.array([wanted[k]["key"]]).view(np.uint64))
+                    outer[k] = np.unique(own.view(np.int64)) if sifted else []
+                for w, o, context in zip(wanted, outer, contexts, strict=True):
+                    rows.append((w["key"], name, w["at"], o, context.tobytes()))
             return record(out, *(zip(*rows, strict=True) if rows else [[]] * len(out)))
 
         return each
 
-    placed = arrow_map(
+    contexts = arrow_map(
         named.select("text_id", "text", "wanted"), start,
-        "key long, i int, j int, home boolean, text_id long, at int, context binary", rows=64,
+        "key long, text_id long, at int, outer array<long>, context binary", rows=64,
     )
+    contexts = stored(contexts)
+    row = ["key", "text_id", "at"]
+    plain, left = contexts.where("outer is null"), contexts.where("outer is not null")
+    outer = left.select(*row, F.explode("outer").alias("shingle"))
+    again = outer.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    if sifted:
+        left = left.join(outer.join(again, "shingle").select(*row), row, "left_semi")
+    counts = left.groupBy("key").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cuts"))
+    part = F.pmod(F.xxhash64("text_id", "at"), F.col("cuts")).cast("int")
+    cell = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), F.lit(home).alias("home"))
+    homes = F.transform(F.sequence("part", F.col("cuts") - 1), lambda j: cell(F.col("part"), j, True))
+    others = F.transform(F.sequence(F.lit(0), F.col("part") - 1), lambda i: cell(i, F.col("part"), False))
+    dealt = F.when(F.col("part") > 0, F.concat(homes, others)).otherwise(homes)
+    columns = ["key", "i", "j", "home", "text_id", "at", "context"]
+    left = left.join(counts, "key").withColumn("part", part).select("*", F.explode(dealt).alias("cell"))
+    left = left.select("key", "cell.*", "text_id", "at", "context").select(columns)
+    whole = [F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("home")]
+    placed = plain.select("key", *whole, "text_id", "at", "context").union(left)
     cells = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Batches) -> Batches:
@@ -513,14 +642,15 @@ def repeated_passages(
     shared = found.groupBy("key").agg(F.min("text_id").alias("a"), F.max("text_id").alias("b")).where("a != b")
     met = stored(found.join(shared.select("key"), "key").distinct())
     classes = met.groupBy("key", "around").agg(
-        F.min(F.struct("text_id", "at")).alias("one"), F.max("text_id").alias("high")
+        F.min(F.struct("text_id", "at")).alias("one"), F.max("text_id").alias("high"), F.count("*").alias("n")
     )
-    same = met.join(classes.where("one.text_id != high").select("key", "around", F.col("one.text_id").alias("b")), ["key", "around"])
-    same = same.select(F.col("text_id").alias("a"), "b", "first", "last")
-    candidates = classes.select("key", "around", "one.text_id", "one.at")
-    one_text = rows.groupBy("text_id").agg(F.min("row_key").alias("row_key"))
-    first_texts = texts.select("row_key", "text").join(one_text, "row_key").dropDuplicates(["row_key"])
-    near = near_passages(candidates, first_texts, passage_words, similarity)
+    common = classes.where("one.text_id != high").select("key", "around", F.col("one.text_id").alias("b"))
+    same = met.join(common, ["key", "around"]).select(F.col("text_id").alias("a"), "b", "first", "last")
+    # where no other text has these words, what is near the first place may be near the others
+    alone = classes.where("one.text_id = high and n > 1").select("key", "around")
+    others = met.where("again").join(alone, ["key", "around"]).select("key", "text_id", "at")
+    candidates = classes.select("key", "one.text_id", "one.at").union(others)
+    near = near_passages(candidates, texts, rows, passage_words, similarity)
     links = stored(same.union(near))
     roots = components(links)
     placed = by_text.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").select(

@@ -177,3 +177,51 @@ def test_widening_looks_only_at_the_same_place(monkeypatch):
     assert len(widest) > 20
     assert {r.a: (r.first, r.last) for r in found.itertuples()} == widest
     assert len(passes) < 1000, len(passes)
+
+
+def test_runs_of_words_have_few_windows(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    docs = {}
+    for k, n in enumerate([40, 49, 50, 51, 70, 95, 96, 140, 300, 301, 900]):
+        docs[k] = words(k) + ["the"] * n + words(9 + k)
+        docs[100 + k] = words(60) + ["a", "b"] * n + words(60)
+    tail = words(30)
+    # a run and what follows it repeat, so do those parted by another word
+    docs |= {200 + k: words(60) + ["z"] * (30 + 7 * k) + tail + words(k) for k in range(5)}
+    docs |= {300 + k: words(60) + ["y"] * 25 + ["x"] + ["y"] * 25 + tail[: 5 * k] + words(60) for k in range(4)}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.class_id, [(s.first, s.last) for s in r.passages]) for r in passages.repeated_passages(frame).collect()}
+    for key, spans in plain_spans(docs).items():
+        # near passages may reach further
+        assert all(any(a <= first and last <= b for a, b in found[key][1]) for first, last in spans), key
+        assert not (2 <= key <= 10 or 100 <= key <= 110) or found[key][1] == spans, key
+    assert {found[k][0] for k in range(1, 11)} == {1} and {found[k][0] for k in range(100, 111)} == {100}
+    rows = passages.windows(frame.select("text"), 50, 6).count()
+    assert rows < 12 * sum(len(set(w)) for w in docs.values()) + 400 * len(docs), rows
+
+
+@pytest.mark.parametrize("cell", [1024, 100])
+def test_a_common_line_costs_no_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(passages, "CELL", cell)
+    rng = np.random.default_rng(4)
+    contexts = rng.integers(1, 1 << 15, (600, 103)).astype(np.uint16) * 2 + 1
+    contexts[:, 45:58] = contexts[0, 45:58]
+    # three of them have a passage in common
+    contexts[100:400:100, 30:90] = contexts[100, 30:90]
+    pairs = []
+    plain = passages._near
+    monkeypatch.setattr(passages, "_near", lambda ones, *args: (pairs.append(ones.shape[1]), plain(ones, *args))[1])
+    found = passages._forests(
+        np.zeros(600, np.int64), np.ones(600, bool), np.arange(600), np.full(600, 49), contexts, 50, 0.8
+    ).to_pandas()
+    assert set(found.a) == {100, 200, 300} and set(zip(found["first"], found["last"])) == {(30, 89)}
+    assert sum(pairs) < 10, pairs
+    # and of a key of many rows only they are dealt to cells
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghij"), (1 << 12, 6))])
+    text = words[rng.integers(0, len(words), (300, 120))]
+    text[:, 50:63] = text[0, 50:63]
+    text[5:20:5, 40:100] = text[5, 40:100]
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(text.tolist())], "doc_id long, text string")
+    docs = passages.repeated_passages(frame).collect()
+    assert {r.doc_id: [(s.first, s.last) for s in r.passages] for r in docs if r.passages} == {k: [(40, 99)] for k in (5, 10, 15)}
