@@ -225,3 +225,100 @@ def test_a_common_line_costs_no_pairs(spark, monkeypatch, cell):
     frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(text.tolist())], "doc_id long, text string")
     docs = passages.repeated_passages(frame).collect()
     assert {r.doc_id: [(s.first, s.last) for s in r.passages] for r in docs if r.passages} == {k: [(40, 99)] for k in (5, 10, 15)}
+
+
+def test_rows_that_share_parts_with_many_are_not_compared_with_all(monkeypatch):
+    rng = np.random.default_rng(7)
+    words = lambda *shape: rng.integers(1, 1 << 15, shape).astype(np.uint16) * 2 + 1
+    contexts, left, right = words(600, 103), words(20, 22), words(20, 22)
+    contexts[:, 45:58] = contexts[0, 45:58]
+    # one side says as much as 31 shingles, both are a passage
+    one, other = rng.integers(0, 20, (2, 600))
+    contexts[:, 23:45], contexts[:, 58:80] = left[one], right[other]
+    pairs = []
+    plain = passages._near
+    monkeypatch.setattr(passages, "_near", lambda ones, *args: (pairs.append(ones.shape[1]), plain(ones, *args))[1])
+    found = passages._forests(
+        np.zeros(600, np.int64), np.ones(600, bool), np.arange(600), np.full(600, 49), contexts, 50, 0.8
+    ).to_pandas()
+    sides = one * 20 + other
+    assert set(found.a) == set(np.flatnonzero(np.bincount(sides)[sides] > 1).tolist())
+    assert (sides[found.a] == sides[found.b]).all()
+    assert set(zip(found["first"], found["last"])) == {(23, 79)}
+    assert sum(pairs) < 6000, sum(pairs)
+
+
+def test_stretches_do_not_depend_on_the_order_of_rows():
+    rng = np.random.default_rng(11)
+    contexts = rng.integers(1, 1 << 15, (12, 103)).astype(np.uint16) * 2 + 1
+    contexts[:, 49:54] = contexts[0, 49:54]
+    # the first row shares what comes before its token with some rows, what comes after it with others
+    contexts[1:4, :45] = contexts[0, :45]
+    contexts[4:8, 56:] = contexts[0, 56:]
+    contexts[1:4, 40:45] = contexts[0, 40:45]
+    found = set()
+    for _ in range(30):
+        order = rng.permutation(12)
+        links = passages._forests(
+            np.zeros(12, np.int64), np.ones(12, bool), order, np.full(12, 49), contexts[order], 50, 0.8
+        ).to_pandas()
+        found.add(tuple(sorted(zip(links.a, links["first"], links["last"]))))
+    assert len(found) == 1 and (0, 0, 102) in found.pop()
+
+
+def test_shared_windows_against_all_windows(spark):
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    run, line = words(130), words(20)
+    docs = [words(30) + run + words(5 * k) for k in range(6)] + [words(90) + line + words(90) for _ in range(4)]
+    docs += [line * 9, line * 9 + words(60), words(60) + ["the"] * 200, words(70) + ["the"] * 150, words(20), []]
+    docs += docs[3:13] + [docs[0]] * 7
+    rows = [(k, f"row {k}", " ".join(w)) for k, w in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "id long, row_key string, text string").repartition(5)
+    every = {tuple(r) for r in passages.windows(frame.select("text"), 50, 6).collect()}
+    keys, classes = defaultdict(set), defaultdict(list)
+    for key, around, text, at, first, last, again in every:
+        keys[key].add(text)
+        classes[key, around].append((text, at, first, last, again))
+    spans, wanted, same = set(), defaultdict(set), defaultdict(set)
+    for (key, _), windows in classes.items():
+        if len(keys[key]) > 1:
+            texts = {w[0] for w in windows}
+            if len(texts) > 1:
+                spans |= {(w[0], w[2], w[3]) for w in windows}
+                same[min(texts)] |= texts
+            wanted[key] |= {min(windows)[:2]} | ({w[:2] for w in windows if w[4]} if len(texts) == 1 else set())
+    wanted = {(key, *w) for key, some in wanted.items() if len({w[0] for w in some}) > 1 for w in some}
+    told, links, found = passages.shared_windows(frame, 50, 6)
+    assert sorted((r.doc_id, r.row_key, r.n_words) for r in told.collect()) == [
+        (k, f"row {k}", len(w)) for k, w in enumerate(docs)
+    ]
+    assert {(r.key, r.text_id, r.at) for r in found.collect()} == wanted
+    links = links.collect()
+    assert {(r.a, r.first, r.last) for r in links} == spans
+
+    def joined(pairs):
+        root = {}
+        up = lambda x: x if root.setdefault(x, x) == x else up(root[x])
+        for a, b in pairs:
+            root[max(up(a), up(b))] = min(up(a), up(b))
+        return {x: up(x) for x in root}
+
+    assert joined((r.a, r.b) for r in links) == joined((a, b) for b, some in same.items() for a in some)
+
+
+@pytest.mark.parametrize("cell", [1024, 3])
+def test_keys_of_many_rows(spark, monkeypatch, cell):
+    rng = random.Random(31)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=5)) for _ in range(n)]
+    docs, line = {}, words(9)
+    for k in range(25):
+        run = words(80)
+        near = run[:40] + ["changed"] + run[41:]
+        docs |= {4 * k + j: words(60) + part[:45] + line + part[45:] + words(60) for j, part in enumerate((run, near, run[30:], words(70)))}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string").repartition(4)
+    expected = {tuple(map(str, r)) for r in passages.repeated_passages(frame).collect()}
+    monkeypatch.setattr(passages, "MANY", 0)
+    monkeypatch.setattr(passages, "CELL", cell)
+    assert {tuple(map(str, r)) for r in passages.repeated_passages(frame).collect()} == expected
+    assert sum(n != "0" for _, _, _, n, _ in expected) >= 50
