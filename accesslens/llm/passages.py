@@ -9,9 +9,9 @@ ancestors in the tree, so the tree is built over sliding minima alone.
 
 Windows meet by hash function and min-hash. Windows with the same words for a passage's
 length on both sides are one class and link as they are; only one of each class goes
-on. What remains of a min-hash is compared stretch by stretch, in cells of bounded
-size, and gives a spanning forest of its links. Components of all links are the classes
-of documents.
+on. What remains of a min-hash is compared stretch by stretch, in cells of rows that
+share shingles far from the token, and links each row to the first one of its group.
+Components of all links are the classes of documents.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ FEW = 8
 CELLS_ROWS, PAIRS = 16384, 2048
 #: Pairs of a round, about.
 ROUND = 1 << 16
-#: Cells of more rows have their pairs looked through by one byte of each shingle first, so many pairs at once.
+#: Cells of more rows have their pairs looked through by one byte of each shingle first, so many at once.
 WIDE, BLOCK = 64, 8192
 
 #: Windows go to so many shards by their key; those packed and those sorted at once, about.
@@ -489,19 +489,40 @@ def _near(ones: np.ndarray, others: np.ndarray, passage_words: int, similarity:
             runs &= same[k : n - SHINGLE + 1 + k]
         matched[0, a : a + len(runs)] |= runs
         matched[1, b : b + len(runs)] |= runs
-    total = np.zeros((size + 1, 2, ones.shape[1]), np.int16)
-    for k in range(size):
-        np.add(total[k], matched[:, k], out=total[k + 1])
-    stretch = (total[length:] - total[:-length]).swapaxes(0, 1)
-    enough = stretch >= 2 * length * similarity / (1 + similarity) - 1e-9
-    near = np.flatnonzero(enough.any((0, 1)))
-    found = (enough[0] | enough[1])[:, near]
+    return _stretches(matched, length, similarity)
+
+
+def _stretches(matched: np.ndarray, length: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs whose matches, by side and place, make up a near passage, and its first and last shingles on either side."""
+    size = matched.shape[1]
+    least = int(np.ceil(2 * length * similarity / (1 + similarity) - 1e-9))
+    found = np.empty((size - length + 1, matched.shape[2]), bool)
+    count = matched[:, :length].sum(1, dtype=np.uint16)
+    for k in range(len(found)):
+        np.any(count >= least, axis=0, out=found[k])
+        if k + length < size:
+            count += matched[:, k + length]
+            count -= matched[:, k]
+    near = np.flatnonzero(found.any(0))
+    found = found[:, near]
     place = np.arange(size)[:, None]
     first, last = found.argmax(0), len(found) - 1 - found[::-1].argmax(0) + length - 1
     common = matched[:, :, near] & (place >= first) & (place <= last)
     return near, common.argmax(1), size - 1 - common[:, ::-1].argmax(1)
 
 
+def _likely_near(ones: np.ndarray, others: np.ndarray, passage_words: int, similarity: float) -> tuple:
+    """What `_near` finds, by two bytes of each shingle: all of its pairs, and stretches at least as wide."""
+    size = len(ones)
+    matched = np.zeros((2, size, ones.shape[1]), bool)
+    for shift in range(-SLACK, SLACK + 1):
+        a, b, n = max(0, -shift), max(0, shift), size - abs(shift)
+        same = ones[a : a + n] == others[b : b + n]
+        matched[0, a : a + n] |= same
+        matched[1, b : b + n] |= same
+    return _stretches(matched, passage_words - SHINGLE + 1, similarity)
+
+
 def _shingles_of(contexts: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """Hashes of the shingles of contexts in columns, four words of two bytes at once; they differ by cell."""
     size = len(contexts) - SHINGLE + 1
@@ -695,7 +716,9 @@ def _forests(
     order = np.argsort(cell, kind="stable")
     cell, home, names, places, contexts = cell[order], home[order], names[order], places[order], contexts[order]
     cell = _parted(cell, contexts, passage_words, similarity)
-    order = np.lexsort((~home, cell))
+    # the first homes of a cell are of several texts, as rows of one text are joined by rows of others
+    mixed = _mixed((names.view(np.uint64) * _MIX + places.astype(np.uint64)) * _MIX)
+    order = np.lexsort((mixed, ~home, cell))
     cell, home, names, places, contexts = cell[order], home[order], names[order], places[order], contexts[order]
     kept = _able(cell, contexts, passage_words, similarity)
     cell, home, names, places = cell[kept], home[kept], names[kept], places[kept]
@@ -712,23 +735,47 @@ def _forests(
     label, at, groups = np.arange(len(cell)), start.copy(), end - start
     few = groups <= FEW
     turns, wide = np.where(few, FEW, 1), groups > WIDE
-    if wide.any():
-        codes = np.empty((len(ones) - SHINGLE + 1, len(cell)), np.uint8)
-        for k in range(0, len(cell), 512):
-            codes[:, k : k + 512] = _shingles_of(ones[:, k : k + 512].astype(np.uint64), np.zeros(1, np.int64)) >> np.uint64(56)
+    # two bytes of each shingle; those past an end are 0 on one side and 1 on the other
+    coded = np.flatnonzero(~few[part])
+    code_of = np.cumsum(~few[part]) - 1
+    codes = np.empty((len(ones) - SHINGLE + 1, len(coded)), np.uint16)
+    codes_of_others = codes.copy()
+    for k in range(0, len(coded), 512):
+        words = ones[:, coded[k : k + 512]]
+        inside = words[: len(codes)] > 0
+        for j in range(1, SHINGLE):
+            inside &= words[j : j + len(codes)] > 0
+        code = (_shingles_of(words.astype(np.uint64), np.zeros(1, np.int64)) >> np.uint64(48)).astype(np.uint16)
+        codes[:, k : k + 512] = (code | np.uint16(2)) * inside
+        codes_of_others[:, k : k + 512] = codes[:, k : k + 512] + ~inside
     size = len(ones) - SHINGLE + 1
     first, last = np.full(len(cell), size), np.full(len(cell), -1)
 
-    def compared(h: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """The near ones of the pairs, whose rows' stretches then cover them."""
+    def compared(h: np.ndarray, q: np.ndarray, sifted: bool = True) -> np.ndarray:
+        """The near ones of the pairs that join two groups, and the stretches of rows then cover those of all pairs.
+
+        By two bytes of their shingles most pairs are seen to change nothing; they are `sifted` out.
+        """
         hits = [np.zeros(0, np.int64)]
         for k in range(0, len(h), PAIRS):
             hs, qs = h[k : k + PAIRS], q[k : k + PAIRS]
+            some = np.arange(len(hs))
+            if sifted:
+                some, begin, finish = _likely_near(
+                    codes[:, code_of[hs]], codes_of_others[:, code_of[qs]], passage_words, similarity
+                )
+                wider = label[hs[some]] != label[qs[some]]
+                for rows, a, b in ((hs[some], begin[0], finish[0]), (qs[some], begin[1], finish[1])):
+                    wider |= (a < first[rows]) | (b > last[rows])
+                some = some[wider]
+            if not len(some):
+                continue
+            hs, qs = hs[some], qs[some]
             near, begin, finish = _near(ones[:, hs], others[:, qs], passage_words, similarity)
             for rows, a, b in ((hs[near], begin[0], finish[0]), (qs[near], begin[1], finish[1])):
                 np.minimum.at(first, rows, a)
                 np.maximum.at(last, rows, b)
-            hits.append(near + k)
+            hits.append(some[near] + k)
         return np.concatenate(hits)
 
     def likely(homes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -743,10 +790,12 @@ def _forests(
             (homes[label[homes] != group], later),
         ):
             for k in range(0, len(rows) if len(own) else 0, BLOCK):
-                part = rows[k : k + BLOCK]
-                for hs in np.array_split(own, -(-len(own) * len(part) // BLOCK)):
-                    one, other = _maybe(codes[:, hs], codes[:, part], passage_words, similarity).nonzero()
-                    found.append((hs[one], part[other]))
+                block = rows[k : k + BLOCK]
+                for hs in np.array_split(own, -(-len(own) * len(block) // BLOCK)):
+                    one, other = _maybe(
+                        codes[:, code_of[hs]].astype(np.uint8), codes[:, code_of[block]].astype(np.uint8), passage_words, similarity
+                    ).nonzero()
+                    found.append((hs[one], block[other]))
         h, q = map(np.concatenate, zip(*found, strict=True))
         return h[q > h], q[q > h]
 
@@ -766,7 +815,10 @@ def _forests(
             h, q = np.r_[h, some[0]], np.r_[q, some[1]]
         open_ = ((label[h] != label[q]) | few[part[h]]) & (names[h] != names[q])
         h, q = h[open_], q[open_]
-        linked = compared(h, q)
+        alike = few[part[h]]
+        order = np.argsort(~alike, kind="stable")
+        h, q, n = h[order], q[order], alike.sum()
+        linked = np.r_[compared(h[:n], q[:n], False), n + compared(h[n:], q[n:])]
         at[live] += count
         turns[live] = np.minimum(2 * turns[live], ROUND)
         linked = linked[label[h[linked]] != label[q[linked]]]
